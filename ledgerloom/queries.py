@@ -1,0 +1,403 @@
+"""The registered queries of the ledger, and the SQL that they are compared with.
+
+Each query reads whole tables. Those with inputs that the tables lack derive them by a rule that both
+sides state.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import amounts, text, vendors
+from ledgerloom.operators import catalog, documents, review
+from ledgerloom.operators import ledger as L
+from ledgerloom.plans import extraction
+from ledgerloom.sources import readers, sinks
+from ledgerloom.streaming import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+YEAR = 2018
+AS_OF = 2034
+FOUND: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: Common tables for the SQL side.
+BASE = (
+    "ledger0 AS ("
+    + readers.LEDGER_SQL.format(lineitem="lineitem", orders="orders", customer="customer", part="part")
+    + """),
+categories AS (SELECT CAST(row_number() OVER (ORDER BY name) AS INT) AS id, name FROM (SELECT DISTINCT c_mktsegment AS name FROM customer WHERE c_mktsegment IS NOT NULL)),
+ledger AS (SELECT l.*, c.id AS category_id, date AS updated_at,
+  trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(vendor)), '\\b(inc|ltd|corp|co|llc)\\b', '', 'g'), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS normalized_vendor
+  FROM ledger0 l LEFT JOIN categories c ON l.category = c.name),
+of_year AS (SELECT * FROM ledger WHERE date LIKE '2018-%')
+"""
+)
+CENTS = "CAST(CAST({0} AS DECIMAL(18,2)) AS DOUBLE)"
+
+
+def total(column: str, where: str = "") -> str:
+    return f"CAST(coalesce(sum(CAST({column} AS DECIMAL(18,2))), 0) AS DOUBLE)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        FOUND[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql if sql.lstrip().startswith("WITH") else f"WITH {BASE} {sql}"
+        return f
+
+    return add
+
+
+@query(f"""SELECT count(*) AS total_receipts, {total('total')} AS total_amount, {total('gst')} AS total_gst, {total('qst')} AS total_qst,
+{total('pst')} AS total_pst, {total('hst')} AS total_hst, count(DISTINCT nullif(normalized_vendor, '')) AS vendor_count FROM of_year""")
+def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.summary(readers.receipts(spark, sf_dir), YEAR)
+
+
+@query(f"SELECT coalesce(category, 'Uncategorized') AS name, {total('total')} AS total FROM of_year GROUP BY 1")
+def summary_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.by_category(readers.receipts(spark, sf_dir), readers.categories(spark, sf_dir), YEAR)
+
+
+@query(f"SELECT left(date, 7) AS month, {total('total')} AS total FROM of_year GROUP BY 1")
+def summary_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.by_month(readers.receipts(spark, sf_dir), YEAR)
+
+
+@query(f"""SELECT count(*) AS total_receipts, {total('total')} AS total_amount, (SELECT count(DISTINCT coalesce(category, '')) FROM of_year) AS categories,
+(SELECT count(DISTINCT left(date, 7)) FROM of_year) AS months FROM of_year""")
+def summary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.summary_document(readers.receipts(spark, sf_dir), readers.categories(spark, sf_dir), YEAR)
+    read = F.from_json("json", "total_receipts long, total_amount double, by_category array<struct<name:string>>, by_month array<struct<month:string>>")
+    return found.select(read.alias("j")).select("j.total_receipts", "j.total_amount", F.size("j.by_category").cast("long").alias("categories"), F.size("j.by_month").cast("long").alias("months"))
+
+
+@query(f"""SELECT CASE WHEN grouping(c) = 1 THEN 'TOTAL' ELSE c END AS category, count(*) AS count, {total('pre_tax')} AS pre_tax,
+CAST(coalesce(sum(CAST(gst AS DECIMAL(18,2)) + CAST(qst AS DECIMAL(18,2)) + CAST(pst AS DECIMAL(18,2)) + CAST(hst AS DECIMAL(18,2))), 0) AS DOUBLE) AS tax,
+{total('total')} AS total, CAST(grouping(c) AS INT) AS is_total FROM (SELECT *, coalesce(category, 'Uncategorized') AS c FROM of_year) GROUP BY ROLLUP (c)""")
+def report_by_category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.report_by_category(readers.receipts(spark, sf_dir), readers.categories(spark, sf_dir), YEAR)
+
+
+_SHARE = "round(CAST(sum(CAST({0} AS DECIMAL(18,2))) AS DOUBLE) * 100 / (SELECT t FROM tax), 1)"
+
+
+@query(
+    ", tax AS (SELECT CAST(sum(CAST(gst AS DECIMAL(18,2)) + CAST(qst AS DECIMAL(18,2)) + CAST(pst AS DECIMAL(18,2)) + CAST(hst AS DECIMAL(18,2))) AS DOUBLE) AS t FROM of_year) "
+    + " UNION ALL ".join(f"SELECT '{t.upper()}' AS tax, {total(t)} AS amount, {_SHARE.format(t)} AS share FROM of_year" for t in ("gst", "qst", "pst", "hst"))
+    + " UNION ALL SELECT 'TOTAL', t, 100.0 FROM tax"
+)
+def report_tax_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.tax_shares(readers.receipts(spark, sf_dir), YEAR)
+
+
+@query(f"""SELECT count(*) AS receipts, {total('pre_tax')} AS pre_tax, {total('gst')} AS gst, {total('qst')} AS qst, {total('pst')} AS pst, {total('hst')} AS hst,
+CAST(sum(CAST(gst AS DECIMAL(18,2)) + CAST(qst AS DECIMAL(18,2)) + CAST(pst AS DECIMAL(18,2)) + CAST(hst AS DECIMAL(18,2))) AS DOUBLE) AS total_tax,
+{total('total')} AS total, count(DISTINCT nullif(normalized_vendor, '')) AS vendors FROM of_year""")
+def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.report_totals(readers.receipts(spark, sf_dir), YEAR)
+
+
+@query("SELECT id, date, vendor, total, category_id FROM of_year WHERE category_id = 2 AND vendor ILIKE '%red%' ORDER BY date DESC, id LIMIT 500 OFFSET 5")
+def receipts_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.find(readers.receipts(spark, sf_dir), year=YEAR, category_id=2, vendor="red", offset=5)
+    return found.select("id", "date", "vendor", "total", "category_id")
+
+
+@query("""SELECT id, vendor, date, total, category AS category_name, currency, CASE WHEN document_id % 7 = 0 THEN 0 ELSE document_id + 1000 END AS source_id,
+CASE WHEN document_id % 7 != 0 THEN 'https://docs.example/documents/' || CAST(document_id + 1000 AS VARCHAR) END AS source_url FROM ledger""")
+def receipt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.receipts(spark, sf_dir)
+    shown = L.receipt_rows(rows, readers.sources_of(rows), readers.categories(spark, sf_dir), "https://docs.example/")
+    return shown.select("id", "vendor", "date", "total", "category_name", "currency", "source_id", "source_url")
+
+
+@query("SELECT DISTINCT vendor FROM ledger WHERE vendor != ''")
+def vendor_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.vendors(readers.receipts(spark, sf_dir))
+
+
+@query("SELECT DISTINCT vendor FROM ledger WHERE vendor != '' ORDER BY vendor LIMIT 50")
+def vendor_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.vendor_hints(readers.receipts(spark, sf_dir))
+
+
+@query("SELECT DISTINCT vendor FROM ledger WHERE contains(lower(vendor), 'blue') ORDER BY vendor LIMIT 6")
+def vendor_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.suggest_vendors(readers.receipts(spark, sf_dir), "Blue")
+
+
+@query(f"""SELECT count(*) AS receipts, {total('pre_tax')} AS pre_tax, {total('gst')} AS gst, {total('qst')} AS qst, {total('pst')} AS pst, {total('hst')} AS hst,
+{total('total')} AS total FROM ledger WHERE contains(lower(vendor), 'bolt')""")
+def filtered_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.filtered_totals(readers.receipts(spark, sf_dir), "Bolt")
+
+
+@query("SELECT c.id, c.name, count(l.id) AS receipts FROM categories c LEFT JOIN ledger l ON l.category_id = c.id GROUP BY c.id, c.name")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.category_counts(readers.categories(spark, sf_dir), readers.receipts(spark, sf_dir))
+
+
+_MONEY = "printf('%.2f', CAST({0} AS DECIMAL(18,2)))"
+
+
+@query("""SELECT date AS "Date", vendor AS "Vendor", coalesce(category, '') AS "Category", CAST(CAST(pre_tax AS DECIMAL(18,2)) AS VARCHAR) AS "Pre-Tax",
+CAST(CAST(gst AS DECIMAL(18,2)) AS VARCHAR) AS "GST", CAST(CAST(qst AS DECIMAL(18,2)) AS VARCHAR) AS "QST", CAST(CAST(pst AS DECIMAL(18,2)) AS VARCHAR) AS "PST",
+CAST(CAST(hst AS DECIMAL(18,2)) AS VARCHAR) AS "HST", CAST(CAST(total AS DECIMAL(18,2)) AS VARCHAR) AS "Total", currency AS "Currency" FROM of_year""")
+def csv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.csv_rows(readers.receipts(spark, sf_dir), readers.categories(spark, sf_dir), YEAR)
+
+
+@query(f"""SELECT id, date, left(vendor, 32) AS vendor, left(coalesce(category, ''), 18) AS category, pre_tax, gst, qst, pst, hst, total, 0 AS is_total FROM of_year
+UNION ALL SELECT NULL, 'TOTAL', '', '', {total('pre_tax')}, {total('gst')}, {total('qst')}, {total('pst')}, {total('hst')}, {total('total')}, 1 FROM of_year""")
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.report_ledger(readers.receipts(spark, sf_dir), readers.categories(spark, sf_dir), YEAR)
+
+
+@query(" UNION ALL ".join(f"SELECT id, '{t}' AS tax, {t} AS amount FROM ledger WHERE {t} > 0" for t in ("gst", "qst", "pst", "hst")))
+def paid_taxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.paid_taxes(readers.receipts(spark, sf_dir))
+
+
+@query("SELECT id, normalized_vendor FROM ledger")
+def vendor_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.ledger(spark, sf_dir).select("id", "normalized_vendor")
+
+
+@query(""", counts AS (SELECT normalized_vendor AS vendor, count(*) AS count, string_split(normalized_vendor, ' ') AS w FROM ledger GROUP BY 1),
+keyed AS (SELECT vendor, count, CASE WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] ELSE vendor END AS key FROM counts)
+SELECT key, vendor, count, count(*) OVER (PARTITION BY key) AS variants, CAST(sum(count) OVER (PARTITION BY key) AS BIGINT) AS receipts FROM keyed QUALIFY variants >= 2""")
+def merge_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.merge_suggestions(readers.receipts(spark, sf_dir))
+
+
+ALIASES = [(1, "Red Bolt SMALL inc", "Red Bolts"), (2, "blue nut LARGE Ltd.", "Blue Nuts"), (3, "RED  BOLT, small", "Late Name"), (4, "green gear ECONOMY", "Green Gears Inc.")]
+_ALIAS_SQL = """, aliases AS (SELECT * FROM (VALUES ('red bolt small', 'Red Bolts', 'red bolts'), ('blue nut large', 'Blue Nuts', 'blue nuts'),
+('green gear economy', 'Green Gears Inc.', 'green gears')) t(raw, canonical, normalized))"""
+
+
+def aliases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ALIASES, "id int, raw_name string, canonical_name string")
+
+
+@query(_ALIAS_SQL + " SELECT id, vendor, coalesce(canonical, vendor) AS resolved FROM ledger LEFT JOIN aliases ON normalized_vendor = raw")
+def alias_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.resolve_vendors(readers.ledger(spark, sf_dir).select("id", "vendor"), aliases(spark))
+
+
+@query(_ALIAS_SQL + " SELECT id, coalesce(canonical, vendor) AS vendor, coalesce(normalized, normalized_vendor) AS normalized_vendor FROM ledger LEFT JOIN aliases ON normalized_vendor = raw")
+def alias_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.backfill_aliases(readers.ledger(spark, sf_dir), aliases(spark)).select("id", "vendor", "normalized_vendor")
+
+
+@query(""", last AS (SELECT normalized_vendor, arg_max(category_id, struct_pack(u := updated_at, i := id)) AS inferred FROM ledger WHERE category_id IS NOT NULL GROUP BY 1)
+SELECT id, coalesce(category_id, inferred) AS category_id FROM ledger LEFT JOIN last USING (normalized_vendor)""")
+def category_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.receipts(spark, sf_dir)
+    return catalog.infer_category(rows, rows).select("id", "category_id")
+
+
+@query("""SELECT id, vendor, date, pre_tax, total, nullif(gst, 0) AS gst, nullif(qst, 0) AS qst, nullif(pst, 0) AS pst, nullif(hst, 0) AS hst FROM ledger
+WHERE total < 1000000""")
+def receipt_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts have six digits before the point at most; larger receipts cannot be read back."""
+    rows = readers.ledger(spark, sf_dir).where("total < 1000000").select("id", F.col("receipt_text").alias("text"))
+    a = extraction.anchors(rows)
+    return a.select("id", "anchors.*").select("id", "vendor", "date", "pre_tax", "total", "gst", "qst", "pst", "hst")
+
+
+_PARSED = """, parsed AS (SELECT id, vendor, date, total, confidence,
+CASE WHEN id % 4 = 0 THEN round(pre_tax + 0.10, 2) WHEN id % 4 = 1 THEN round(pre_tax + 1.0, 2) WHEN id % 4 = 2 THEN round(pre_tax + 2.5, 2) WHEN id % 8 = 3 THEN 0.0 ELSE pre_tax END AS pre_tax,
+CASE WHEN id % 19 = 0 THEN round(total * 0.6, 2) WHEN id % 23 = 0 THEN total ELSE gst END AS gst, qst, pst, hst FROM ledger)"""
+
+
+@query(_PARSED + """,
+taxed AS (SELECT *, CASE WHEN gst > 0 AND gst >= total THEN 'Z' WHEN gst > 0 AND gst > 0.5 * total THEN 'C' END AS wg FROM parsed),
+t2 AS (SELECT * REPLACE (CASE WHEN wg IS NULL THEN gst ELSE 0.0 END AS gst) FROM taxed),
+t3 AS (SELECT *, round(gst + qst + pst + hst, 2) AS tax FROM t2),
+t4 AS (SELECT *, abs(round(pre_tax + tax, 2) - total) AS gap FROM t3),
+t5 AS (SELECT *, pre_tax > 0 AND gap > 0.15 AND gap <= 2.0 AS adjust, pre_tax > 0 AND gap > 2.0 AS mismatch, pre_tax = 0 AND tax > 0 AND total - tax > 0 AS infer FROM t4)
+SELECT id, CASE WHEN adjust OR infer THEN round(total - tax, 2) ELSE pre_tax END AS pre_tax, gst, total, NOT mismatch AS math_valid,
+CAST((CASE WHEN wg IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN adjust OR mismatch OR infer THEN 1 ELSE 0 END) AS INT) AS n_warnings,
+round(least(1.0, greatest(0.0, confidence - (CASE WHEN wg IS NOT NULL THEN 0.1 ELSE 0 END) - (CASE WHEN mismatch THEN 0.2 ELSE 0 END)
+  + 0.15 + CASE WHEN greatest(gst, qst, hst) > 0 THEN 0.05 ELSE 0 END)), 3) AS confidence FROM t5""")
+def post_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pre = "CASE WHEN id % 4 = 0 THEN round(pre_tax + 0.10, 2) WHEN id % 4 = 1 THEN round(pre_tax + 1.0, 2) WHEN id % 4 = 2 THEN round(pre_tax + 2.5, 2) WHEN id % 8 = 3 THEN 0.0D ELSE pre_tax END"
+    gst = "CASE WHEN id % 19 = 0 THEN round(total * 0.6, 2) WHEN id % 23 = 0 THEN total ELSE gst END"
+    rows = readers.ledger(spark, sf_dir).withColumns({"pre_tax": F.expr(pre), "gst": F.expr(gst)})
+    done = extraction.post_process(rows.select("id", F.struct(*extraction.RECEIPT).alias("receipt")), text=None, as_of_year=AS_OF)
+    return done.select("id", "receipt.pre_tax", "receipt.gst", "receipt.total", "receipt.math_valid", F.size("receipt.warnings").alias("n_warnings"), "receipt.confidence")
+
+
+_REVIEW = """, input AS (SELECT id, document_id, category_id, category, confidence, CASE WHEN id % 11 = 0 THEN NULL ELSE date END AS date, CASE WHEN id % 13 = 0 THEN 0 ELSE total END AS total,
+CASE WHEN id % 17 = 0 THEN NULL ELSE vendor END AS vendor FROM ledger),
+flags AS (SELECT * FROM (SELECT *, concat_ws('|', CASE WHEN confidence < 0.65 THEN 'low_confidence' END, CASE WHEN total <= 0 THEN 'missing_total' END,
+  CASE WHEN date IS NULL THEN 'missing_date' END, CASE WHEN vendor IS NULL THEN 'missing_vendor' END) AS reason FROM input) WHERE reason != '')"""
+
+
+def _review_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.receipts(spark, sf_dir)
+    out = {"date": "CASE WHEN id % 11 != 0 THEN date END", "total": "CASE WHEN id % 13 = 0 THEN 0D ELSE total END", "vendor": "CASE WHEN id % 17 != 0 THEN vendor END"}
+    return rows.withColumns({c: F.expr(e) for c, e in out.items()})
+
+
+@query(_REVIEW + " SELECT id AS receipt_id, reason FROM flags")
+def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.flag(_review_input(spark, sf_dir))
+
+
+@query(_REVIEW + """ SELECT id AS receipt_id, reason, 'pending' AS status, CASE WHEN document_id % 7 = 0 THEN 0 ELSE document_id + 1000 END AS source_id, vendor, date, total, confidence,
+category_id, category AS category_name, CASE WHEN document_id % 7 != 0 THEN 'https://docs.example/documents/' || CAST(document_id + 1000 AS VARCHAR) END AS source_url FROM flags WHERE id % 3 != 0""")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _review_input(spark, sf_dir)
+    flags = review.flag(rows).withColumn("status", F.when(F.col("receipt_id") % 3 == 0, "approved").otherwise("pending"))
+    return review.queue(flags, rows, readers.sources_of(rows), readers.categories(spark, sf_dir), base_url="https://docs.example")
+
+
+@query(_REVIEW + " SELECT count(*) AS pending FROM flags WHERE id % 3 != 0")
+def review_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = review.flag(_review_input(spark, sf_dir)).withColumn("status", F.when(F.col("receipt_id") % 3 == 0, "approved").otherwise("pending"))
+    return review.pending_count(flags)
+
+
+@query(_REVIEW + """, old AS (SELECT id, 'old' AS reason, CASE WHEN id % 2 = 0 THEN 'pending' ELSE 'approved' END AS status FROM ledger WHERE id % 5 = 0)
+SELECT coalesce(o.id, f.id) AS receipt_id, CASE WHEN o.status IS NULL OR (o.status = 'pending' AND f.reason IS NOT NULL) THEN f.reason ELSE o.reason END AS reason,
+coalesce(o.status, 'pending') AS status FROM old o FULL JOIN flags f ON o.id = f.id""")
+def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = readers.receipts(spark, sf_dir).where("id % 5 = 0").select(F.col("id").alias("receipt_id"), F.lit("old").alias("reason"), F.expr("CASE WHEN id % 2 = 0 THEN 'pending' ELSE 'approved' END").alias("status"))
+    return review.merge_flags(old, review.flag(_review_input(spark, sf_dir)))
+
+
+@query(_REVIEW + " SELECT id AS receipt_id, unnest(string_split(reason, '|')) AS reason FROM flags")
+def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.reason_rows(review.flag(_review_input(spark, sf_dir)))
+
+
+@query("""SELECT count(*) AS processed, count(*) FILTER (id % 10 = 0) AS errors, count(*) FILTER (id % 10 = 1) AS skipped, count(*) FILTER (id % 10 > 3) AS receipts,
+count(*) FILTER (id % 10 > 3 AND id % 4 > 0) AS flagged FROM ledger""")
+def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.ledger(spark, sf_dir).select(
+        F.expr("CASE WHEN id % 10 = 0 THEN 'error' WHEN id % 10 = 1 THEN 'skipped' ELSE 'done' END").alias("status"), F.expr("id % 10 > 3").alias("is_receipt"), F.expr("id % 4").alias("n_warnings")
+    )
+    return documents.batch_stats(rows)
+
+
+_BANK = " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in documents.BANK_KEYWORDS)
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, length(text) AS n, trim(text, E' \t\n\r') AS s FROM documents)
+SELECT doc_id, CAST(n AS INT) AS n_chars, length(s) >= 40 AS usable, length(s) >= 20 AS good_text, n > 15000 AS is_large, ({_BANK}) >= 3 AND n > 1000 AS is_statement,
+CAST(CASE WHEN n > 15000 THEN 10000 + 36 ELSE n END AS INT) AS parse_chars FROM d""")
+def document_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.gates(readers.table(spark, sf_dir, "documents"), statement_chars=1000)
+
+
+@query("WITH d AS (SELECT * FROM documents) SELECT doc_id, CASE WHEN text != '' THEN sha256(text) END AS content_hash FROM d")
+def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, trim(CASE WHEN doc_id % 10 = 0 THEN text || ' (new)' ELSE text END, E' \t\n\r') AS t, trim(text, E' \t\n\r') AS o, doc_id % 4 = 0 AS tagged, doc_id % 3 = 0 AS has FROM documents),
+e AS (SELECT *, t != o AND t != '' AS changed, length(t) >= 40 AS has_text, NOT tagged AND has AND doc_id % 5 != 4 AS forced FROM d)
+SELECT doc_id, changed OR doc_id % 5 = 4 AS content_changed, has_text, forced, has_text AND NOT forced AS use_stored, forced OR NOT has_text AS needs_ocr,
+t != '' AND (changed OR forced OR doc_id % 5 = 4) AS needs_parse FROM e""")
+def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state that knows four of five documents; one of ten has changed, three of four lost their tag."""
+    docs = readers.table(spark, sf_dir, "documents")
+    now = docs.select("doc_id", F.expr("CASE WHEN doc_id % 10 = 0 THEN text || ' (new)' ELSE text END").alias("text"), F.expr("doc_id % 4 = 0").alias("tagged"))
+    before = text.strip(F.col("text"))
+    state = docs.where("doc_id % 5 != 4").select(
+        "doc_id", text.content_hash(before).alias("content_hash"), before.alias("ocr_text"), text.content_hash(before).alias("parse_hash"), F.lit(None).cast("string").alias("text_model"), F.expr("doc_id % 3 = 0").alias("has_receipt")
+    )
+    return documents.changes(now, state).select("doc_id", "content_changed", "has_text", "forced", "use_stored", "needs_ocr", "needs_parse")
+
+
+@query("""WITH boxes AS (SELECT l_orderkey AS doc_id, CAST(l_partkey % 400 AS DOUBLE) AS y, p_name AS text FROM lineitem JOIN part ON l_partkey = p_partkey),
+s AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id ORDER BY y, text) < 15 THEN 0 ELSE 1 END AS start FROM boxes),
+r AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY y, text ROWS UNBOUNDED PRECEDING) AS row FROM s)
+SELECT doc_id, CAST(row AS BIGINT) AS row, string_agg(text, ' ' ORDER BY y, text) AS text FROM r GROUP BY doc_id, row""")
+def ocr_row_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = readers.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("text"))
+    boxes = readers.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_partkey").join(part, "l_partkey")
+    return documents.text_rows(boxes.select("doc_id", (F.col("l_partkey") % 400).cast("double").alias("y"), F.col("text").alias("ord"), "text"))
+
+
+@query("""SELECT document_id, date || '-' || left(vendor, 60) || '-Receipt' AS title, date || 'T12:00:00Z' AS created,
+'{"Amount":"CAD' || CAST(CAST(total AS DECIMAL(18,2)) AS VARCHAR) || '","Vendor":"' || vendor || '","Category":"' || coalesce(category, '') || '","Currency":"CAD"}' AS fields FROM ledger""")
+def write_back_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.write_back_rows(readers.receipts(spark, sf_dir), readers.categories(spark, sf_dir))
+
+
+@query("""SELECT id, CASE WHEN id % 4 = 0 THEN 'New & Co. ' || CAST(id AS VARCHAR) ELSE vendor END AS vendor, CASE WHEN id % 4 = 0 THEN 'new ' || CAST(id AS VARCHAR) ELSE normalized_vendor END AS normalized_vendor,
+CASE WHEN id % 20 = 0 THEN NULL WHEN id % 12 = 0 AND id % 20 != 0 THEN 1 ELSE category_id END AS category_id, CASE WHEN id % 4 = 0 THEN 1.5 ELSE total END AS total FROM ledger WHERE id % 28 != 0
+UNION ALL SELECT id, vendor, normalized_vendor, category_id, total FROM ledger WHERE id % 28 = 0""")
+def receipt_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes to one receipt of four: one of five clears the category, one of three sets it, one of seven names an unknown one."""
+    rows = readers.receipts(spark, sf_dir)
+    category = "CASE WHEN id % 28 = 0 THEN 99 WHEN id % 20 = 0 THEN 0 WHEN id % 12 = 0 THEN 1 END"
+    asked = rows.where("id % 4 = 0").select("id", F.expr("concat('New & Co. ', id)").alias("vendor"), F.lit(1.5).alias("total"), F.expr(category).alias("category_id"))
+    return L.patch(rows, asked, readers.categories(spark, sf_dir)).select("id", "vendor", "normalized_vendor", "category_id", "total")
+
+
+@query("SELECT id, CASE WHEN category_id NOT IN (1, 3) THEN category_id END AS category_id FROM ledger")
+def category_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = readers.categories(spark, sf_dir)
+    return catalog.delete_categories(names, readers.receipts(spark, sf_dir), names.where("id IN (1, 3)").select("id"))[1].select("id", "category_id")
+
+
+@query("""SELECT r.id AS receipt_id, CASE WHEN l.document_id IS NULL THEN 'not_found' ELSE 'found' END AS status, l.document_id
+FROM (SELECT o_orderkey * 2 AS id FROM orders) r LEFT JOIN ledger l USING (id)""")
+def rescan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = readers.table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 2).alias("receipt_id"))
+    return L.rescan_status(ids, readers.receipts(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT 1) SELECT CAST(NULL AS VARCHAR) AS vision_model, 'small' AS text_model, true AS use_stored_text_first, false AS skip_vision_if_text_exists, false AS force_rescan""")
+def typed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("text_model", "small"), ("skip_vision_if_text_exists", "no")]
+    return catalog.settings(spark.createDataFrame(rows, "key string, value string"))
+
+
+@query("""WITH n AS (SELECT c_custkey AS id, CAST(c_acctbal AS DECIMAL(12,2)) AS v FROM customer)
+SELECT id, CASE WHEN v < 0 THEN 0.0 ELSE CAST(v AS DOUBLE) END AS amount, CAST(v AS DOUBLE) AS repaired FROM n""")
+def amount_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances written with a currency sign, spaces and letters that look like digits."""
+    value = F.col("c_acctbal").cast("decimal(12,2)").cast("string")
+    ocr = F.concat(F.lit("$ "), F.translate(value, "015862", "OlSBGZ"))
+    return readers.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), amounts.to_amount(value).alias("amount"), amounts.fix_ocr_number(ocr).alias("repaired"))
+
+
+@query("""SELECT id, CASE WHEN id % 3 = 0 THEN round(total + 5, 2) ELSE total END AS said, total, CASE WHEN gst > 0 THEN gst ELSE NULL END AS gst, vendor FROM ledger WHERE total < 1000000""")
+def merged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider's answers with wrong totals and without taxes or vendors, completed from the text."""
+    rows = extraction.anchors(readers.ledger(spark, sf_dir).where("total < 1000000"), "receipt_text")
+    said = F.expr("CASE WHEN id % 3 = 0 THEN round(total + 5, 2) ELSE total END")
+    none = F.lit(None).cast("double")
+    answer = F.struct(F.lit("").alias("date"), F.lit(None).cast("string").alias("vendor"), said.alias("total"), none.alias("pre_tax"), *[none.alias(t) for t in ("gst", "qst", "pst", "hst")], F.lit("CAD").alias("currency"), F.lit(0.5).alias("confidence"))
+    rows = rows.withColumn("answer", answer)
+    merged = rows.withColumn("m", extraction.merged_answer(F.col("answer"), F.col("anchors")))
+    return merged.select("id", "answer.total", "m").select("id", F.col("total").alias("said"), "m.total", "m.gst", "m.vendor")
+
+
+@query("""SELECT id, 'Amazon' AS by_domain, CASE WHEN id % 2 = 0 THEN 'Costco' END AS by_logo FROM ledger""")
+def dictionary_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readers.ledger(spark, sf_dir)
+    site = F.concat("vendor", F.lit(" see https://WWW.Amazon.ca/x"))
+    said = F.when(F.col("id") % 2 == 0, F.lit('"COSTCO wholesale"')).otherwise("unknown")
+    return rows.select("id", vendors.by_domain(site).alias("by_domain"), F.nullif(vendors.logo_vendor(said), F.lit("unknown")).alias("by_logo"))
+
+
+@query()
+def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the same receipts' texts, one in ten changed in between: what the second run parses, and the states."""
+    texts = readers.ledger(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("receipt_text").alias("text"), F.lit(True).alias("tagged"))
+    state, _ = incremental.process(texts, spark.createDataFrame([], readers.STATE), as_of_year=AS_OF)
+    later = texts.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("\nthank you"))).otherwise(F.col("text")))
+    state, again = incremental.process(later, state, as_of_year=AS_OF)
+    parsed = again.select("doc_id", "date", "vendor", "total", F.lit(True).alias("parsed_again"))
+    return state.select("doc_id", "last_status", "has_receipt").join(parsed, "doc_id", "left")
