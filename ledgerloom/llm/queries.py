@@ -11,6 +11,7 @@ from ledgerloom.llm import licenses, line_dedup, mixing, quality, toxicity, url_
 from ledgerloom.llm.common import table
 from ledgerloom.llm.jaccard_join import near_duplicates
 from ledgerloom.llm.sentencepiece_codec import encode_decode
+from ledgerloom.llm.suffix_dedup import remove_repeats
 from ledgerloom.llm.vector_search import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.query(spark, sf_dir)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return mixing.sample(docs, mixing.rake(docs)).drop("text")
@@ -57,7 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_quality_rules, op2_toxicity, op3_jaccard_join, op4_license_scans, op5_sentencepiece, op6_url_filters, op8_mixing, op9_top_k, op10_line_dedup)
+    found = (op1_quality_rules, op2_toxicity, op3_jaccard_join, op4_license_scans, op5_sentencepiece, op6_url_filters, op7_suffix_dedup, op8_mixing, op9_top_k, op10_line_dedup)
     return {f.__name__: f for f in found}
 
 
