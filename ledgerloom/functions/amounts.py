@@ -24,15 +24,25 @@ def priority(clean: Column, field: str) -> Column:
     return F.greatest(*hits) if len(hits) > 1 else hits[0]
 
 
-def labelled_amounts(lines: Column) -> Column:
+def amount_lines(lines: Column) -> Column:
+    """Structs (at, amount, clean) of the lines with an amount above 0."""
+    at = F.transform(lines, lambda line, k: F.struct(k.alias("at"), parse_amount(line).alias("amount"), line.alias("line")))
+    found = F.filter(at, lambda x: x["amount"] > 0)
+    return F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["amount"].alias("amount"), F.lower(strip_accents(F.lower(x["line"]))).alias("clean")))
+
+
+def ranked_lines(found: Column) -> Column:
+    """Structs (at, amount and the priority of each field) of what amount_lines gives."""
+    return F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["amount"].alias("amount"), *[priority(x["clean"], f).alias(f) for f in FIELDS]))
+
+
+def labelled_amounts(ranked: Column) -> Column:
     """Struct of FIELDS: of the lines whose label fits, the one of greatest priority; ties: the lowest for the total, else the top."""
-    at = F.transform(lines, lambda line, k: F.struct(k.alias("at"), parse_amount(line).alias("amount"), F.lower(strip_accents(F.lower(line))).alias("clean")))
-    with_amount = F.filter(at, lambda x: x["amount"] > 0)
 
     def best(field: str) -> Column:
         order = (lambda x: x["at"]) if field == "total" else (lambda x: -x["at"])
-        ranked = F.transform(with_amount, lambda x: F.struct(priority(x["clean"], field).alias("p"), order(x).alias("o"), x["amount"].alias("amount")))
-        return F.array_max(F.filter(ranked, lambda x: x["p"].isNotNull()))["amount"]
+        fit = F.filter(ranked, lambda x: x[field].isNotNull())
+        return F.array_max(F.transform(fit, lambda x: F.struct(x[field].alias("p"), order(x).alias("o"), x["amount"].alias("amount"))))["amount"]
 
     return F.struct(*[best(f).alias(f) for f in FIELDS])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.fixed import DATE_CONFIRM, DATE_REJECT, ENGLISH_MONTHS, EXTRA_MONTHS, FRENCH_MONTHS, LATE_DATE_PATTERNS, LATE_DATE_PREFER, LATE_DATE_REJECT
-from ledgerloom.functions.text import strip, strip_accents
+from ledgerloom.functions.text import let, strip, strip_accents
 
 _EARLY_MONTHS = FRENCH_MONTHS | ENGLISH_MONTHS
 _LATE_MONTHS = ENGLISH_MONTHS | {k: v for k, v in FRENCH_MONTHS.items() if k in ("janvier", "fevrier", "février", "mars", "avril", "mai", "juin", "juillet", "aout", "août", "septembre", "octobre", "novembre", "decembre", "décembre")} | {"janv": 1, "févr": 2, "fevr": 2} | EXTRA_MONTHS | {"juil": 7, "sept": 9}
@@ -36,7 +36,11 @@ def _either_order(s: Column) -> Column:
     return F.when(first, _numeric(s, pattern, (3, 2, 1))).otherwise(_numeric(s, pattern, (3, 1, 2)))
 
 
-def _written(s: Column, months: dict[str, int]) -> Column:
+def _written(text: Column, months: dict[str, int]) -> Column:
+    return let(text, lambda s: _written_in(s, months))
+
+
+def _written_in(s: Column, months: dict[str, int]) -> Column:
     """A month's name, the first number of four digits and the first other number up to 31."""
     table = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(f"{v:02d}").alias("month")) for k, v in months.items()])
     month = F.get(F.filter(table, lambda m: F.contains(s, m["name"])), F.lit(0))["month"]

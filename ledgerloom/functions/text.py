@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,16 @@ _NFD = _fold_table("NFD", _BLOCKS)
 _NFKD = _fold_table("NFKD", _COMPATIBLE)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, where use names it many times or in a lambda of its own."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def bare(word: str) -> str:
+    """A word of a fixed table without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn")
+
+
 def strip_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, *_NFD), r"\p{Mn}+", "")
 

@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.fixed import BUYER_INLINE, BUYER_LINE, DOMAIN_VENDORS, KNOWN_VENDORS, LATE_DOMAIN_VENDORS, LOGO_VENDORS, MARKETPLACES, NOT_A_VENDOR
-from ledgerloom.functions.text import is_upper, strip, strip_accents, title
+from ledgerloom.functions.text import bare, is_upper, let, strip, strip_accents, title
 
 
 def first_contained(text: Column, table: dict[str, str], *, strip_keys: bool = False) -> Column:
     """The value of the first key, in the table's order, that text contains."""
-    key = (lambda k: strip_accents(F.lit(k))) if strip_keys else F.lit
-    rows = F.array(*[F.struct(key(k).alias("key"), F.lit(v).alias("value")) for k, v in table.items()])
-    return F.get(F.filter(rows, lambda r: F.contains(text, r["key"])), F.lit(0))["value"]
+    key = bare if strip_keys else str
+    rows = F.array(*[F.struct(F.lit(key(k)).alias("key"), F.lit(v).alias("value")) for k, v in table.items()])
+    return let(text, lambda t: F.get(F.filter(rows, lambda r: F.contains(t, r["key"])), F.lit(0))["value"])
 
 
 def by_domain(text: Column) -> Column:
@@ -30,15 +30,13 @@ def by_known_name(lines: Column) -> Column:
 
 
 def by_marketplace(text: Column) -> Column:
-    clean = strip_accents(F.lower(text))
-    return F.coalesce(*[F.when(clean.rlike("(?U)" + p), F.lit(v)) for p, v in MARKETPLACES])
+    return let(strip_accents(F.lower(text)), lambda clean: F.coalesce(*[F.when(clean.rlike("(?U)" + p), F.lit(v)) for p, v in MARKETPLACES]))
 
 
 def by_first_line(lines: Column) -> Column:
     """The first of eight lines that can be a name. A line after a buyer's label is passed over unread."""
 
-    def step(state: Column, raw: Column) -> Column:
-        line = strip_accents(strip(raw))
+    def step(state: Column, line: Column) -> Column:
         label, inline = line.rlike("(?iU)" + BUYER_LINE), line.rlike("(?iU)" + BUYER_INLINE)
         unfit = inline | line.rlike(r"(?U)^[0-9\s\-\(\)\+\.]+$") | line.rlike(r"(?U)^[0-9]+\s+\w") | (F.length(line) < 3) | line.rlike("(?iU)" + NOT_A_VENDOR)
         name = F.when(is_upper(line), title(line)).otherwise(line)
@@ -49,7 +47,7 @@ def by_first_line(lines: Column) -> Column:
         )
 
     start = F.struct(F.lit(False).alias("skip"), F.lit(None).cast("string").alias("found"))
-    return F.aggregate(F.slice(lines, 1, 8), start, step, lambda s: s["found"])
+    return F.aggregate(F.transform(F.slice(lines, 1, 8), lambda x: strip_accents(strip(x))), start, step, lambda s: s["found"])
 
 
 def find_vendor(text: Column, lines: Column) -> Column:

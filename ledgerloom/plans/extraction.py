@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.amounts import FIELDS, adjust_confidence, drop_impossible_taxes, labelled_amounts, sanitize_taxes, to_amount, validate_math
+from ledgerloom.functions.amounts import FIELDS, adjust_confidence, amount_lines, drop_impossible_taxes, labelled_amounts, ranked_lines, sanitize_taxes, to_amount, validate_math
 from ledgerloom.functions.dates import late_date, parse_late, transaction_date
 from ledgerloom.functions.fixed import TAXES
 from ledgerloom.functions.text import clean_lines, clean_vendor, strip
@@ -20,7 +20,10 @@ RECEIPT = ["date", "vendor", *FIELDS, "currency", "confidence"]
 def anchors(docs: DataFrame, text: str = "text", *, logo: str | None = None) -> DataFrame:
     """docs with the struct anchors: what the deterministic parser finds, null where it finds nothing."""
     rows = docs.withColumn("_lines", clean_lines(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.withColumn("_amounts", labelled_amounts(F.col("_lines")))
+    # One column after the other, so that no step is worked out twice.
+    rows = rows.withColumn("_found", amount_lines(F.col("_lines")))
+    rows = rows.withColumn("_ranked", ranked_lines(F.col("_found")))
+    rows = rows.withColumn("_amounts", labelled_amounts(F.col("_ranked")))
     amounts = drop_impossible_taxes(F.col("_amounts"))
     vendor = find_vendor(F.coalesce(F.col(text), F.lit("")), F.col("_lines"))
     if logo:
@@ -28,7 +31,7 @@ def anchors(docs: DataFrame, text: str = "text", *, logo: str | None = None) ->
         vendor = F.coalesce(F.when(vendor != "", vendor), said, vendor)
     rows = rows.withColumns({"_amounts": amounts, "_date": transaction_date(F.col("_lines")), "_vendor": vendor})
     struct = F.struct(*[F.col("_amounts")[f].alias(f) for f in FIELDS], F.col("_date").alias("date"), F.col("_vendor").alias("vendor"))
-    return rows.withColumn("anchors", struct).drop("_lines", "_amounts", "_date", "_vendor")
+    return rows.withColumn("anchors", struct).drop("_lines", "_found", "_ranked", "_amounts", "_date", "_vendor")
 
 
 def is_complete(a: Column) -> Column:
