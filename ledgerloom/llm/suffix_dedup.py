@@ -11,10 +11,12 @@ the window's bytes alone, so equal windows have it at the same place.
    bytes to the left, into sorted front-coded runs. A task merges the runs of its cores by a loser tree
    (suffix_merge.py). From the common prefixes on both sides follows, for each place of the window around
    the anchor, which windows are equal.
-3. The covered bytes of each document are merged and removed.
+3. A core with very many different surroundings, such as the edge of a passage that a third of the
+   documents share, is not sorted in one task: each window around its anchors is hashed and counted, and
+   windows, like surroundings, are reduced to one in the map task before they meet.
+4. The covered bytes of each document are merged and removed.
 
-Work and memory are linear in the text: copies with equal surroundings are reduced in the map task, and
-one core's different surroundings take 330 bytes each in a task.
+Work and memory are linear in the text.
 
 Defined cases: a null text counts as empty; a text shorter than the window loses nothing; texts of any length
 are taken whole; repeated rows count as repeats of each other and each give a row, as do rows that share an
@@ -39,6 +41,8 @@ GAP = 96
 GRAM = 16
 #: Anchors that a worker gathers before it sends them on, 28 bytes each.
 FLUSH = 1_500_000
+#: Different surroundings of one core that one worker's batch sends to the core's bucket.
+HOT = 512
 #: Bytes of text whose anchors one task takes in at a time, on average.
 BUCKET_BYTES = 16 << 20
 _PLACE = np.uint64((1 << 28) - 1)
@@ -71,7 +75,8 @@ def _bucket(core: np.ndarray, buckets: int) -> np.ndarray:
     return ((core >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-COLUMNS = [("core", np.uint64), ("whole", np.uint64), ("row", np.int64), ("at", np.int32), ("left", np.uint8), ("right", np.uint8), ("many", np.uint8)]
+COLUMNS = [("core", np.uint64), ("whole", np.uint64), ("row", np.int64), ("at", np.int32), ("left", np.uint8), ("right", np.uint8), ("many", np.uint8), ("hot", np.uint8)]
+SETTLED, SORT, WINDOWS = 0, 1, 2
 
 
 def _blobs(buckets: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -82,21 +87,33 @@ def _blobs(buckets: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(buckets[borders[:-1]].astype(np.int32)), *(pa.array(r, pa.binary()) for r in rows)], ["bucket", *(n for n, _ in COLUMNS)])
 
 
+def _packed(parts: list[list[np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Anchors in columns by the bucket of their core.
+
+    many: 1 for one of several equal ones here, 2 for the others, which are settled. hot: of a core with
+    more than HOT different surroundings here, 1 for those that go to the core's bucket and 2 for the rest.
+    Settled and hot ones need no meeting, so they are spread evenly over all buckets.
+    """
+    core, whole, row, at, left, right = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((whole, core))
+    c, w = core[order], whole[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = (c[1:] == c[:-1]) & (w[1:] == w[:-1])
+    many, hot = np.zeros(len(order), np.uint8), np.zeros(len(order), np.uint8)
+    many[order[same]] = 2
+    many[order[~same & np.concatenate([same[1:], [False]])]] = 1
+    kinds, kc = order[~same], c[~same]
+    begins = np.flatnonzero(np.concatenate([[True], kc[1:] != kc[:-1]]))
+    sizes = np.diff(np.append(begins, len(kc)))
+    place, size = np.arange(len(kc)) - np.repeat(begins, sizes), np.repeat(sizes, sizes)
+    hot[kinds] = np.where(size <= HOT, 0, np.where(place < HOT, 1, 2))
+    aside = (many == 2) | (hot == 2)
+    bucket = np.where(aside, _bucket(mix(whole + np.arange(len(whole), dtype=np.uint64)), buckets), _bucket(core, buckets))
+    return _blobs(bucket, [core, whole, row, at.astype(np.int32), left.astype(np.uint8), right.astype(np.uint8), many, hot])
+
+
 def _detect_map(rows: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Anchors in columns packed by bucket. many: 1 for one of several equal ones here, 2 for the others, which are settled."""
-
-    def packed(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        core, whole, row, at, left, right = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((whole, core))
-        same = np.zeros(len(order), bool)
-        same[1:] = (core[order][1:] == core[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-        many = np.zeros(len(order), np.uint8)
-        many[order[same]] = 2
-        first = ~same & np.concatenate([same[1:], [False]])
-        many[order[first]] = 1
-        # Settled anchors need no meeting, so they are spread evenly.
-        bucket = np.where(many == 2, _bucket(mix(row.view(np.uint64)), buckets), _bucket(core, buckets))
-        return _blobs(bucket, [core, whole, row, at.astype(np.int32), left.astype(np.uint8), right.astype(np.uint8), many])
+    """All anchors, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
@@ -114,22 +131,50 @@ def _detect_map(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                 parts.append([core, whole, keys[first + docs], at - offsets[docs], left, right])
                 held += len(at)
                 if held > FLUSH:
-                    yield packed(parts)
+                    yield _packed(parts, buckets)
                     parts, held = [], 0
         if held:
-            yield packed(parts)
+            yield _packed(parts, buckets)
 
-    return rows.select("row", "text").mapInArrow(run, "bucket int, " + ", ".join(f"{n} binary" for n, _ in COLUMNS))
+    return rows.select("row", "text").mapInArrow(run, PACKED)
 
 
-FOUND = "row long, at int, low int, high int, sort boolean, wanted boolean"
+def _window_map(rows: DataFrame, buckets: int, length: int) -> DataFrame:
+    """Every window around the given anchors, packed like anchors: core and surroundings are the window itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            for row, text, places in zip(*(batch.column(k) for k in range(3)), strict=True):
+                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                at = np.array([p["at"] for p in places.as_py()], np.int64)
+                left, right = around(at, np.zeros(len(at), np.int64), np.array([0, len(data)]), length)
+                starts = at[:, None] - np.arange(GAP)[None, :]
+                fits = (starts >= at[:, None] - left[:, None]) & (starts + length <= (at + right)[:, None])
+                at = np.unique(starts[fits])  # anchors near one another have windows in common
+                window = Rolling(data).of(at, at + length)
+                none, full = np.zeros(len(at), np.int64), np.full(len(at), length)
+                parts.append([window, window, np.full(len(at), row.as_py(), np.int64), at, none, full])
+                held += len(at)
+                if held > FLUSH:
+                    yield _packed(parts, buckets)
+                    parts, held = [], 0
+        if held:
+            yield _packed(parts, buckets)
+
+    return rows.mapInArrow(run, PACKED)
+
+
+PACKED = "bucket int, " + ", ".join(f"{n} binary" for n, _ in COLUMNS)
+FOUND = "row long, at int, low int, high int, step int, wanted boolean"
 
 
 def _detect(length: int):
     def each(table: pa.Table) -> pa.Table:
         """Settled anchors with the window places they cover, and anchors that are to be sorted."""
-        core, whole, row, at, left, right, many = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(n)]) for n, kind in COLUMNS)
-        meets = np.flatnonzero(many < 2)
+        core, whole, row, at, left, right, many, hot = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(n)]) for n, kind in COLUMNS)
+        meets = np.flatnonzero((many < 2) & (hot < 2))
         order = meets[np.lexsort((whole[meets], core[meets]))]
         c, w = core[order], whole[order]
         new_core = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
@@ -137,15 +182,20 @@ def _detect(length: int):
         kind, group = np.cumsum(new_whole) - 1, np.cumsum(new_core) - 1
         copies = np.bincount(kind, 1 + (many[order] == 1))
         kinds = np.bincount(group[new_whole])
+        is_hot = np.bincount(group, hot[order] == 1) > 0
         settled = copies[kind] > 1
-        sort = new_whole & (kinds[group] > 1)
+        partner = new_whole & ((kinds[group] > 1) | is_hot[group])
+        step = np.where(is_hot[group], WINDOWS, SORT)
         high, low = np.minimum(left, GAP - 1).astype(np.int32), np.maximum(0, length - right.astype(np.int32)).astype(np.int32)
-        picked = np.concatenate([np.flatnonzero(many == 2), order[settled & ~sort], order[sort]])
-        is_sorted = np.repeat([False, True], [len(picked) - int(sort.sum()), int(sort.sum())])
-        wanted = np.concatenate([np.ones(len(picked) - int(sort.sum()), bool), ~settled[sort]])
-        # A settled anchor that is sorted all the same, as a partner, covers its windows too.
-        columns = [row[picked], at[picked], low[picked], high[picked], is_sorted, wanted]
-        return pa.Table.from_arrays([pa.array(x) for x in columns], ["row", "at", "low", "high", "sort", "wanted"])
+        aside = np.flatnonzero(hot == 2)
+        # Settled anchors cover their windows, also those that are partners of others in a later step.
+        done = np.concatenate([np.flatnonzero(many == 2), order[settled], aside[many[aside] == 1]])
+        later = np.concatenate([order[partner], aside])
+        steps = np.concatenate([np.zeros(len(done), np.int32), step[partner].astype(np.int32), np.full(len(aside), WINDOWS, np.int32)])
+        wanted = np.concatenate([np.ones(len(done), bool), ~settled[partner], np.ones(len(aside), bool)])
+        picked = np.concatenate([done, later])
+        columns = [row[picked], at[picked], low[picked], high[picked], steps, wanted]
+        return pa.Table.from_arrays([pa.array(x) for x in columns], ["row", "at", "low", "high", "step", "wanted"])
 
     return each
 
@@ -276,11 +326,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
     found = cut(_detect_map(rows, buckets, length).groupBy("bucket").applyInArrow(_detect(length), FOUND))
-    to_sort = found.where("sort").groupBy("row").agg(F.collect_list(F.struct("at", "wanted")).alias("places"))
-    sortable = rows.select("row", "text").join(to_sort.hint("shuffle_hash"), "row").select("row", "text", "places")
-    merged = _runs(sortable, buckets, length).groupBy("bucket").applyInArrow(_merge(length), "row long, at int, low int, high int")
-    # An anchor that is settled covers its windows; one that was sorted covers what the merge has found.
-    covered = found.where("NOT sort OR NOT wanted").select("row", "at", "low", "high").union(merged)
+
+    def with_text(step: int) -> DataFrame:
+        places = found.where(F.col("step") == step).groupBy("row").agg(F.collect_list(F.struct("at", "wanted")).alias("places"))
+        return rows.select("row", "text").join(places.hint("shuffle_hash"), "row").select("row", "text", "places")
+
+    merged = _runs(with_text(SORT), buckets, length).groupBy("bucket").applyInArrow(_merge(length), "row long, at int, low int, high int")
+    covered = found.where(F.col("step") == SETTLED).select("row", "at", "low", "high").union(merged)
+    if not found.where(F.col("step") == WINDOWS).isEmpty():
+        met = _window_map(with_text(WINDOWS), buckets, length).groupBy("bucket").applyInArrow(_detect(length), FOUND)
+        covered = covered.union(met.where(F.col("step") == SETTLED).select("row", "at", "low", "high"))
     spans = covered.groupBy("row").agg(F.collect_list(F.struct((F.col("at") - F.col("high")).alias("a"), (F.col("at") - F.col("low") + length).alias("b"))).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark import cloudpickle
 
+from ledgerloom.llm import suffix_dedup
 from ledgerloom.llm.suffix_dedup import remove_repeats
 from ledgerloom.llm.suffix_merge import Run, common_prefix, front_code, merge
 
@@ -61,6 +63,13 @@ def test_against_all_windows(spark, texts):
     assert sum(n for _, n, *_ in wanted) > 5000
 
 
+def test_hot_cores_by_windows(spark, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    cloudpickle.register_pickle_by_value(suffix_dedup)
+    check(spark, texts)
+    cloudpickle.unregister_pickle_by_value(suffix_dedup)
+
+
 def test_test_tables(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     check(spark, [r.text for r in rows])
