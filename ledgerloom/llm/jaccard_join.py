@@ -181,15 +181,17 @@ def join_region(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _join_leaves(table: pa.Table) -> pa.Table:
-    regions, nodes = np.asarray(table.column("region")), np.asarray(table.column("node"))
-    content = table.column("content").combine_chunks()
+    table = table.combine_chunks()
+    content, lists = table.column("content").combine_chunks(), table.column("regions").combine_chunks()
+    regions, row = np.asarray(lists.flatten()), np.repeat(np.arange(table.num_rows), np.asarray(lists.value_lengths()))
+    nodes = np.asarray(table.column("node"))[row]
     order = np.lexsort((nodes, regions))
     borders = np.flatnonzero(np.concatenate([[True], regions[order][1:] != regions[order][:-1], [True]]))
     a, b = [], []
     for first, last in zip(borders, borders[1:]):  # noqa: B905
         at = order[first:last]
         if len(at) > 1:
-            for i, j in join_region([np.frombuffer(content[int(k)].as_buffer(), np.uint64) for k in at]):
+            for i, j in join_region([np.frombuffer(content[int(row[k])].as_buffer(), np.uint64) for k in at]):
                 a.append(nodes[at[i]])
                 b.append(nodes[at[j]])
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -212,8 +214,9 @@ def _rings(rows: DataFrame) -> DataFrame:
 
 
 def _divided(members: DataFrame, sets: DataFrame, leaf: int) -> DataFrame:
-    """members (region, node) with regions of more than leaf sets cut into rings and, at last, tiles."""
+    """members (region, node, anchor) with regions of more than leaf sets cut into rings and, at last, tiles."""
     done = []
+    region = F.col("region")
     for level in range(ROUNDS + 1):
         sizes = members.groupBy("region").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(level))).alias("pivot"))
         large = cut(members.join(sizes.where(F.col("size") > leaf), "region"))
@@ -224,12 +227,13 @@ def _divided(members: DataFrame, sets: DataFrame, leaf: int) -> DataFrame:
             chunks = F.ceil(2 * F.col("size") / leaf).cast("int")
             own = F.pmod(F.xxhash64("node", F.lit(97)), chunks).cast("int")
             tiles = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-            done.append(tiles.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "node"))
+            tile = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
+            done.append(tiles.select(tile.alias("region"), "node", tile.alias("anchor")))
             break
         pivots = large.select("region", F.col("pivot").alias("node")).distinct().join(sets, "node").select("region", F.col("content").alias("pivot_content"))
         rings = _rings(large.select("region", "node").join(sets, "node").join(pivots, "region").select("region", "node", "content", "pivot_content"))
         both = rings.withColumn("ring", F.explode(F.array("ring", F.col("ring") - 1))).where("ring >= 0")
-        members = cut(both.select(F.xxhash64("region", "ring").alias("region"), "node"))
+        members = cut(both.select(F.xxhash64("region", "ring").alias("region"), "node").withColumn("anchor", region))
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -255,7 +259,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, nodes: DataFrame, *, text_col: str, n_sets: int) -> DataFrame:
-    """region and node: every linked pair of nodes is together in a region."""
+    """region, node and anchor (the region's pivot): every linked pair of nodes is together in a region."""
     buckets = max(8, -(-n_sets // BUCKET_SETS))
     met = _map_cells(docs, text_col, buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long, times long, region boolean")
     met = cut(met.groupBy("a", "b", "region").agg(F.sum("times").alias("times")))
@@ -269,8 +273,8 @@ def candidates(docs: DataFrame, nodes: DataFrame, *, text_col: str, n_sets: int)
     enough = F.when(F.col("x_klass") == F.col("y_klass"), F.greatest(need["x"], need["y"])).otherwise(F.greatest(one["x"], one["y"]))
     # A pair that also meets in large cells may count less here; its region covers it.
     fits = (100 * F.least("x_n", "y_n") >= SIMILAR * F.greatest("x_n", "y_n")) & (F.abs(F.col("x_klass") - F.col("y_klass")) <= 1) & (F.col("times") >= enough)
-    of_pairs = pairs.where(fits).select(F.xxhash64("a", "b").alias("region"), F.explode(F.array("a", "b")).alias("node"))
-    of_cells = met.where("region").select(F.col("b").alias("region"), F.col("a").alias("node"))
+    of_pairs = pairs.where(fits).select(F.xxhash64("a", "b").alias("region"), F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("anchor"))
+    of_cells = met.where("region").select(F.col("b").alias("region"), F.col("a").alias("node"), F.col("b").alias("anchor"))
     return cut(of_pairs.union(of_cells).distinct())
 
 
@@ -296,9 +300,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(id_col, text_col).join(wanted.hint("shuffle_hash"), id_col).select("node", text_col)
     sets = cut(texts.mapInArrow(contents, "node long, content binary").dropDuplicates(["node"]))
     parts = _divided(members, sets, leaf)
+    # Regions whose pivots share a region share most sets, so they go to one task, where each set is sent once;
+    # a family of more than a few leaves is dealt to several tasks.
+    kin = members.groupBy(F.col("node").alias("anchor")).agg(F.min("anchor").alias("family"))
+    kept = parts.join(kin, "anchor", "left").withColumn("family", F.coalesce("family", "anchor"))
+    sizes = kept.groupBy("family").agg(F.ceil(F.count("*") / (4 * leaf)).alias("shares"))
+    dealt = kept.join(sizes, "family").withColumn("bucket", F.xxhash64("family", F.pmod(F.xxhash64("region"), "shares")))
     buckets = max(8, -(-members.count() // LEAF))
-    leaves = parts.join(sets, "node").withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)))
-    links = leaves.groupBy("bucket").applyInArrow(_join_leaves, "a long, b long")
+    sent = dealt.groupBy(F.pmod("bucket", F.lit(buckets)).alias("bucket"), "node").agg(F.collect_set("region").alias("regions"))
+    links = sent.join(sets, "node").groupBy("bucket").applyInArrow(_join_leaves, "a long, b long")
     least = nodes.select("node", "least")
     a = links.distinct().join(least.select(F.col("node").alias("a"), F.col("least").alias("la")), "a")
     ab = a.join(least.select(F.col("node").alias("b"), F.col("least").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
