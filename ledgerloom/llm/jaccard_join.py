@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, drop, text_chunks
+from ledgerloom.llm.common import cut, drop, mix, text_chunks
 from ledgerloom.llm.shingles import CLASSES, SIMILAR, cells, linked, shingle_sets
 
 #: Cells with more sets than this become parts of regions; in the others each pair is counted.
 SMALL_CELL = 8
 #: Cells that a worker gathers before it sends them on, 14 bytes each.
 FLUSH = 2_000_000
+#: Sets of one cell that one worker's batch sends to the cell's bucket.
+HOT = 256
 LEAF = 2048
 #: Distinct sets whose cells one task takes in at a time, on average.
 BUCKET_SETS = 1024
@@ -65,17 +67,30 @@ def _map_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _map_cells(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """bucket, keys and nodes: cells of distinct sets, packed by the range of the hash they fall in."""
+    """bucket, keys, nodes and spread: cells of distinct sets, packed by the range of the hash they fall in.
+
+    Of a cell with more than HOT sets here only the HOT least go to its bucket. The others are spread over all
+    buckets (spread: true, with the cell's name instead of its key) and learn their pivot by a join.
+    """
 
     def packed(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(keys, kind="stable")
+        order = np.lexsort((nodes, keys))
         keys, nodes = keys[order], nodes[order]
+        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        beyond = np.arange(len(keys)) - np.repeat(begins, np.diff(np.append(begins, len(keys)))) >= HOT
         bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        borders = np.searchsorted(bucket, np.arange(buckets + 1))
-        some = np.flatnonzero(np.diff(borders))
-        short = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6])
-        rows = [(short[borders[b] : borders[b + 1]].tobytes(), nodes[borders[b] : borders[b + 1]].tobytes()) for b in some]
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], ["bucket", "keys", "nodes"])
+        rows = []
+        for spread, at in ((False, np.flatnonzero(~beyond)), (True, np.flatnonzero(beyond))):
+            k, n, b = keys[at], nodes[at], bucket[at]
+            if spread:
+                k = cell_name(k, b)
+                b = np.arange(len(k)) * buckets // max(1, len(k))
+            else:
+                k = np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :6])
+            borders = np.searchsorted(b, np.arange(buckets + 1))
+            rows += [(x, k[borders[x] : borders[x + 1]].tobytes(), n[borders[x] : borders[x + 1]].tobytes(), spread) for x in np.flatnonzero(np.diff(borders)).tolist()]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "keys", "nodes", "spread"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -101,13 +116,18 @@ def _map_cells(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
         if held:
             yield packed(np.concatenate(keys), np.concatenate(nodes))
 
-    return docs.select(text_col).mapInArrow(run, "bucket int, keys binary, nodes binary")
+    return docs.select(text_col).mapInArrow(run, "bucket int, keys binary, nodes binary, spread boolean")
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Pairs of small cells with how often they meet (region false), and (member, pivot) of large cells."""
-    keys, nodes = [], []
-    for k, n in zip(table.column("keys"), table.column("nodes"), strict=True):
+    """By kind: pairs of small cells with how often they meet, (member, pivot) of large cells, and of hot cells (member, name) and (pivot, name)."""
+    bucket = np.uint64(table.column("bucket")[0].as_py())
+    keys, nodes, hot, hot_names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, n, spread in zip(table.column("keys"), table.column("nodes"), table.column("spread"), strict=True):
+        if spread.as_py():
+            hot_names.append(np.frombuffer(k.as_buffer(), np.int64))
+            hot.append(np.frombuffer(n.as_buffer(), np.int64))
+            continue
         short = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 6)
         wide = np.zeros((len(short), 8), np.uint8)
         wide[:, :6] = short
@@ -119,7 +139,7 @@ def _meet(table: pa.Table) -> pa.Table:
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
     key, node = key[fresh], node[fresh]
-    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
     sizes = np.diff(np.append(begins, len(key)))
     a, b = [], []
     for n in range(2, SMALL_CELL + 1):
@@ -133,8 +153,19 @@ def _meet(table: pa.Table) -> pa.Table:
     large = np.repeat(sizes > SMALL_CELL, sizes)
     pivots = np.repeat(node[begins], sizes)
     edges = np.unique(np.stack([node[large], pivots[large]]), axis=1)
-    columns = [np.concatenate([pairs[0], edges[0]]), np.concatenate([pairs[1], edges[1]]), np.concatenate([times, np.zeros(edges.shape[1], np.int64)]), np.repeat([False, True], [pairs.shape[1], edges.shape[1]])]
-    return pa.Table.from_arrays([pa.array(c) for c in columns], ["a", "b", "times", "region"])
+    busy = begins[sizes >= HOT]
+    names = cell_name(key[busy], np.full(len(busy), bucket)).view(np.int64)
+    hot_members, hot_pivots = np.stack([np.concatenate(hot), np.concatenate(hot_names)]), np.stack([node[busy], names])
+    parts = [pairs, edges, hot_members, hot_pivots]
+    both = np.concatenate(parts, axis=1)
+    sizes = [x.shape[1] for x in parts]
+    times = np.concatenate([times, np.zeros(sum(sizes[1:]), np.int64)])
+    return pa.Table.from_arrays([pa.array(c) for c in (both[0], both[1], times, np.repeat(np.arange(4, dtype=np.int32), sizes))], ["a", "b", "times", "kind"])
+
+
+def cell_name(keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """A cell's name outside its bucket, from what is kept of its key there."""
+    return mix((keys & np.uint64((1 << 48) - 1)) ^ (buckets.astype(np.uint64) << np.uint64(48)))
 
 
 def join_region(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -261,12 +292,12 @@ def components(links: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, nodes: DataFrame, *, text_col: str, n_sets: int) -> DataFrame:
     """region, node and anchor (the region's pivot): every linked pair of nodes is together in a region."""
     buckets = max(8, -(-n_sets // BUCKET_SETS))
-    met = _map_cells(docs, text_col, buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long, times long, region boolean")
-    met = cut(met.groupBy("a", "b", "region").agg(F.sum("times").alias("times")))
+    met = _map_cells(docs, text_col, buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long, times long, kind int")
+    met = cut(met.groupBy("a", "b", "kind").agg(F.sum("times").alias("times")))
     sized = nodes.select("node", "n", "klass", "f0", "f1")
     x = sized.select(*[F.col(c).alias(f"x_{c}") for c in sized.columns])
     y = sized.select(*[F.col(c).alias(f"y_{c}") for c in sized.columns])
-    pairs = met.where("NOT region").join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
+    pairs = met.where("kind = 0").join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
     differ = F.floor((F.col("x_n") + F.col("y_n")) / 9)
     need = {s: F.greatest(F.col(f"{s}_f0") - differ, F.lit(0)) + F.greatest(F.col(f"{s}_f1") - differ, F.lit(0)) for s in "xy"}
     one = {s: F.greatest(F.when(F.col(f"{s}_klass") == F.greatest("x_klass", "y_klass"), F.col(f"{s}_f0")).otherwise(F.col(f"{s}_f1")) - differ, F.lit(0)) for s in "xy"}
@@ -274,7 +305,10 @@ def candidates(docs: DataFrame, nodes: DataFrame, *, text_col: str, n_sets: int)
     # A pair that also meets in large cells may count less here; its region covers it.
     fits = (100 * F.least("x_n", "y_n") >= SIMILAR * F.greatest("x_n", "y_n")) & (F.abs(F.col("x_klass") - F.col("y_klass")) <= 1) & (F.col("times") >= enough)
     of_pairs = pairs.where(fits).select(F.xxhash64("a", "b").alias("region"), F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("anchor"))
-    of_cells = met.where("region").select(F.col("b").alias("region"), F.col("a").alias("node"), F.col("b").alias("anchor"))
+    hot = met.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("name"))
+    pivots = met.where("kind = 3").select(F.col("a").alias("pivot"), F.col("b").alias("name"))
+    edges = met.where("kind = 1").select("a", "b").union(hot.join(pivots, "name").select("node", "pivot"))
+    of_cells = edges.select(F.col("b").alias("region"), F.col("a").alias("node"), F.col("b").alias("anchor"))
     return cut(of_pairs.union(of_cells).distinct())
 
 

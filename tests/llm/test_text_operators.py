@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from ledgerloom.llm import jaccard_join, quality, toxicity
 from ledgerloom.llm.sentencepiece_codec import Codec, default_model, encode_decode
@@ -138,6 +139,10 @@ def test_jaccard_join_in_rings_and_tiles(spark, texts, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, leaf=16).collect()} == wanted
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()} == wanted
+    monkeypatch.setattr(jaccard_join, "HOT", 10)  # workers are forked anew for each test session, so it must reach them by value
+    cloudpickle.register_pickle_by_value(jaccard_join)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, leaf=64).collect()} == wanted
+    cloudpickle.unregister_pickle_by_value(jaccard_join)
 
 
 def test_join_region_connects_what_is_linked(texts):
