@@ -28,12 +28,17 @@ def process(docs: DataFrame, state: DataFrame, *, as_of_year: int, provider: Pro
     found = docs.join(changes(docs, state, force=force), "doc_id").withColumn("text", strip(F.coalesce("text", F.lit(""))))
     todo = found.where("needs_parse")
     parsed = parse(todo.where(usable(F.col("text"))).select("doc_id", "text"), as_of_year=as_of_year, provider=provider)
-    receipts = parsed.select("doc_id", "receipt.*").withColumn("normalized_vendor", normalize_vendor(F.col("vendor")))
+    receipts = parsed.where("is_receipt").select("doc_id", "receipt.*").withColumn("normalized_vendor", normalize_vendor(F.col("vendor")))
     fails = F.col("needs_parse") & ~usable(F.col("text"))
     status = F.when(F.col("text") == "", "skipped").when(fails, "error").otherwise("done")
     error = F.when(F.col("text") == "", "No usable text").when(fails, "text_too_short")
     old = state.select("doc_id", F.col("parse_hash").alias("_parse"), F.col("has_receipt").alias("_has"))
     hashed = F.when(F.col("needs_parse") & (F.lit(parity) | ~fails), content_hash(F.col("text"))).otherwise(F.col("_parse"))
+    if provider is None:  # then whatever is parsed is a receipt
+        new = F.col("needs_parse") & ~fails
+    else:
+        found = found.join(receipts.select("doc_id", F.lit(True).alias("_receipt")), "doc_id", "left")
+        new = F.coalesce("_receipt", F.lit(False))
     touched = found.join(old, "doc_id", "left").select(
         "doc_id",
         "content_hash",
@@ -42,7 +47,7 @@ def process(docs: DataFrame, state: DataFrame, *, as_of_year: int, provider: Pro
         F.lit(None).cast("string").alias("text_model"),
         status.alias("last_status"),
         error.alias("error_message"),
-        (F.coalesce("_has", F.lit(False)) | (F.col("needs_parse") & ~fails)).alias("has_receipt"),
+        (F.coalesce("_has", F.lit(False)) | new).alias("has_receipt"),
     )
     untouched = state.join(docs.select("doc_id"), "doc_id", "left_anti")
     return untouched.unionByName(touched), receipts

@@ -132,7 +132,7 @@ def test_tags_and_labels(spark):
     assert values(spark, [[0.1, 0.7, 0.2], [0.1, 0.1, 0.8], [0.14, 0.1, 0.1]], lambda c: documents.best_label(c, ["a", "b", "unknown"]), "array<double>") == ["b", "unknown", "unknown"]
 
 
-@pytest.mark.parametrize("answer", ['```json\n{"vendor": "Shop", "total": "22.0", "confidence": 0.9}\n```', 'Sure: {"vendor": "Shop", "total": "22.0"} as asked'])
+@pytest.mark.parametrize("answer", ['```json\n{"is_receipt": true, "vendor": "Shop", "total": "22.0", "confidence": 0.9}\n```', 'Sure: {"is_receipt": true, "vendor": "Shop", "total": "22.0"} as asked'])
 def test_provider_is_asked_only_for_incomplete_rows(spark, answer):
     docs = spark.createDataFrame([(1, "Corner Shop\nDate: 2024-01-05\nTotal 20.00\nGST 1.00\nand more text to be long"), (2, "no total here, nothing to read at all in this text")], "doc_id long, text string")
 
@@ -149,3 +149,23 @@ def test_subtotal_after_total(spark):
     docs = spark.createDataFrame([(1, "Shop\nTOTAL 11.00\nSubtotal 10.00"), (2, "Shop\nGrand total 9.00\nTotal 11.00")], "doc_id long, text string")
     found = {r.doc_id: r.anchors for r in extraction.anchors(docs).collect()}
     assert found[1].total == 10.0 and found[1].pre_tax == 10.0 and found[2].total == 9.0
+
+
+def test_provider_is_asked_again(spark):
+    words = " and enough other words to be a text that can be used"
+    docs = spark.createDataFrame([(1, "one" + words), (2, "two" + words), (3, "three" + words)], "doc_id long, text string")
+
+    def provider(frame):
+        def answer(text, context):
+            if text.startswith("one"):
+                return '{"is_receipt": true, "vendor": "Late", "total": 5}' if "one JSON object" in context else "no idea"
+            if text.startswith("two"):
+                return '{"date": "2024-02-03", "total": "7.5"}' if context.startswith("Missing fields: date, total") else '{"is_receipt": true, "vendor": "Two", "confidence": 0.3}'
+            return '{"is_receipt": false, "vendor": "None"}'
+
+        return frame.assign(answer=[answer(t, c) for t, c in zip(frame.text, frame.context, strict=True)])
+
+    found = {r.doc_id: r for r in providers.parse(docs, as_of_year=2030, provider=provider).collect()}
+    assert (found[1].receipt.vendor, found[1].receipt.total) == ("Late", 5.0)
+    assert (found[2].receipt.vendor, found[2].receipt.total, found[2].receipt.date) == ("Two", 7.5, "2024-02-03")
+    assert not found[3].is_receipt and found[3].receipt.warnings == []
