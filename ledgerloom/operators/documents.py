@@ -10,8 +10,8 @@ from ledgerloom.functions.fixed import BANK_KEYWORDS, LARGE_TEXT_CHARS, LARGE_TE
 from ledgerloom.functions.text import content_hash, strip
 
 
-def is_pdf(content: Column) -> Column:
-    return F.coalesce(F.substring(content, 1, 4) == F.lit(b"%PDF"), F.lit(False))
+def is_pdf(column: str) -> Column:
+    return F.coalesce(F.substring(F.col(column), 1, 4) == F.lit(b"%PDF"), F.lit(False))
 
 
 def keyword_hits(text: Column) -> Column:

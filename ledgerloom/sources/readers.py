@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def upgraded(receipts: DataFrame) -> DataFrame:
+    """receipts of an older layout with the columns added since, at their defaults."""
+    added = {"qst": F.lit(0.0), "currency": F.lit("CAD")}
+    return receipts.withColumns({c: v for c, v in added.items() if c not in receipts.columns})
+
+
 def binary_documents(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     """path, length and content of files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", "content")

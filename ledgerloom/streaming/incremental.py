@@ -61,6 +61,12 @@ def upsert_receipts(receipts: DataFrame, parsed: DataFrame) -> DataFrame:
     return rows.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if f"_{c}" in new.columns else F.col(c) for c in receipts.columns])
 
 
+def status(spark: SparkSession, name: str = "receipt-batch") -> dict:
+    """Whether the named stream is running, and what it last did."""
+    found = next((q for q in spark.streams.active if q.name == name), None)
+    return {"running": found is not None, "last": found.lastProgress if found else None}
+
+
 def start(spark: SparkSession, source: str, schema: str, checkpoint: str, handle: Callable[[DataFrame, int], None], *, name: str = "receipt-batch") -> StreamingQuery:
     """Handles all new files of source once and stops; an outer scheduler starts it. A second start while one runs is refused."""
     if any(q.name == name for q in spark.streams.active):

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from ledgerloom import queries
+from ledgerloom.operators import documents
 from ledgerloom.sources import readers, sinks
 from ledgerloom.streaming import incremental
 
@@ -81,7 +82,7 @@ def test_stream_handles_new_files_once(spark, tmp_path):
     for k in (1, 2):
         spark.createDataFrame([(k, DOC.format(k), True)], schema).write.mode("append").parquet(str(tmp_path / "in"))
         incremental.start(spark, str(tmp_path / "in"), schema, str(tmp_path / "check"), handle).awaitTermination(60)
-    assert seen == [1, 2]
+    assert seen == [1, 2] and incremental.status(spark) == {"running": False, "last": None}
 
 
 def test_csv_and_snapshots(spark, tmp_path):
@@ -95,6 +96,18 @@ def test_csv_and_snapshots(spark, tmp_path):
         sinks.write_snapshot(categories, str(tmp_path / "t"), 1)
 
 
+def test_older_layouts_and_json_documents(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a")], "id long, vendor string")
+    assert tuple(readers.upgraded(old).first()) == (1, "a", 0.0, "CAD")
+    lines = ['{"id": 1, "content": "x", "tags": [{"id": 5, "name": "receipt-processed"}], "custom_fields": [{"field": 2, "value": "v"}]}', '{"id": 2, "content": "y", "tags": [7, 8]}', '{"id": 3, "tags": []}']
+    (tmp_path / "docs.json").write_text("\n".join(lines))
+    found = {r.id: r.tags for r in readers.json_documents(spark, str(tmp_path / "docs.json")).collect()}
+    assert [(t.id, t.name) for t in found[1]] == [(5, "receipt-processed")] and [(t.id, t.name) for t in found[2]] == [(7, None), (8, None)] and found[3] == []
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 x")
+    pdf = readers.binary_documents(spark, str(tmp_path)).select(documents.is_pdf("content")).first()
+    assert pdf[0] is True
+
+
 def test_report_has_four_tables(spark):
     found = sinks.report(readers.receipts(spark, SF), readers.categories(spark, SF), 2018)
     assert list(found) == ["summary", "taxes", "categories", "ledger"]
