@@ -42,6 +42,8 @@ FLUSH = 2_000_000
 #: Sets of one cell that one worker's batch sends to the cell's bucket.
 HOT = 256
 LEAF = 2048
+#: Elements of sets that are compared with one set at once.
+AT_ONCE = 1_000_000
 #: Distinct sets whose cells one task takes in at a time, on average.
 BUCKET_SETS = 1024
 ROUNDS = 2
@@ -191,21 +193,26 @@ def join_region(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
     index: dict[int, list[int]] = {}
     out = []
+    mark = np.zeros(len(tokens), np.int8)
     for k in order:
         mine = np.sort(ranks[k])
         n = len(mine)
         prefix = mine[: n - -(-n * SIMILAR // 100) + 1]
         prefix = prefix[common[prefix] > 1].tolist()
         met = dict.fromkeys(j for t in prefix for j in index.get(t, ()))
-        own = None
-        for j in met:
-            if 100 * len(sets[j]) < SIMILAR * n or root(j) == root(k):
-                continue
-            own = set(mine.tolist()) if own is None else own
-            shared = sum(map(own.__contains__, ranks[j].tolist()))
-            if linked(shared, n, len(sets[j])):
-                parent[root(j)] = root(k)
-                out.append((j, k))
+        own = root(k)
+        rivals = [j for j in met if 100 * len(sets[j]) >= SIMILAR * n and root(j) != own]
+        mark[mine] = 1
+        step = max(1, AT_ONCE // n)
+        for first in range(0, len(rivals), step):
+            part = rivals[first : first + step]
+            ends = np.cumsum([len(ranks[j]) for j in part])
+            counts = np.add.reduceat(mark[np.concatenate([ranks[j] for j in part])], np.concatenate([[0], ends[:-1]]), dtype=np.int64)
+            for j, shared in zip(part, counts.tolist(), strict=True):
+                if linked(shared, n, len(sets[j])) and root(j) != root(k):
+                    parent[root(j)] = root(k)
+                    out.append((j, k))
+        mark[mine] = 0
         for t in prefix:
             index.setdefault(t, []).append(k)
     return out

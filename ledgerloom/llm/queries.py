@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import licenses, line_dedup, mixing, quality, toxicity, url_lists
+from ledgerloom.llm import licenses, line_dedup, mixing, quality, toxicity, url_lists, vector_search
 from ledgerloom.llm.common import table
 from ledgerloom.llm.jaccard_join import near_duplicates
 from ledgerloom.llm.sentencepiece_codec import encode_decode
 from ledgerloom.llm.suffix_dedup import remove_repeats
-from ledgerloom.llm.vector_search import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,7 +52,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"))
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scans": licenses.SQL, "op6_url_filters": url_lists.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op4_license_scans": licenses.SQL, "op6_url_filters": url_lists.SQL, "op9_top_k": vector_search.SQL, "op10_line_dedup": line_dedup.SQL}
