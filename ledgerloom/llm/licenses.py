@@ -1,21 +1,34 @@
 """Operator 4: licence scan by sparse TF-IDF cosine and inheritance from directories. DataFrame functions only.
 
-Lines that speak of a licence, anywhere in a text, are compared with templates by the cosine of their
-TF-IDF vectors; each distinct line is compared once. A file's own licence is that of its best line, if
-the cosine reaches ``min_cosine``. A licence file gives its licence to its directory, and a file
-without one of its own takes that of the nearest ancestor directory that has one.
+Three kinds of units are compared by the cosine of their TF-IDF vectors; each distinct unit is compared once:
 
-Term weights: count in the line times ln((1 + lines) / (1 + lines with the term)) + 1, over all licence
-lines of all files and the templates.
+- every line, with the notices ``TEMPLATES``;
+- every block, a run of adjacent comment lines or of adjacent other lines that are not blank, with the headers and
+  bodies of ``license_texts``, and with the notices if it has two lines or more;
+- the whole text of every licence file, with the same.
 
-Defined cases: a null or empty text has no licence line; a null path has no directory and inherits nothing;
+A file's own licence is that of its best unit, if the cosine reaches ``min_cosine``. A licence file gives its
+licence to its directory, and a file without one of its own takes that of the nearest ancestor directory that
+has one.
+
+Term weights: count in the unit times ln((1 + units) / (1 + units with the term)) + 1. For lines the units that
+are counted are the lines that speak of a licence (``MARKER``) and the notices; for blocks and files all blocks,
+licence files and texts. A term that none of them has is in 0 units. No unit is left out by its words: only
+those go that hold no heavy term of any text, whose cosine cannot reach ``min_cosine`` (see ``_core``).
+
+Defined cases: a null or empty text has no unit; a null path has no directory and inherits nothing;
 ties go to the greater name in alphabetical order; repeated rows each give a row with the same result;
 an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+import re
+from collections import Counter
+from importlib import resources
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, table
@@ -34,6 +47,10 @@ TEMPLATES = {
 MARKER = "licen[cs]|copyright|rights reserved|spdx|warrant|redistribut|public domain"
 WORD = "[a-z0-9]+"
 MIN_COSINE = 0.6
+#: A line that starts like this is a comment; blocks hold comment lines or other lines, not both.
+COMMENT = r"[ \t]*+(?:#|//|/\*|\*|--|;|%|<!--)"
+BLOCK = rf"(?md)((?:^{COMMENT}[^\n]*+(?:\n|\z))++|(?:^(?!{COMMENT})[^\n]*\S[^\n]*+(?:\n|\z))++)"
+SEVERAL_LINES = r"\A\s*\S[^\n]*\n\s*\S"
 LICENSE_FILE = r"(^|/)(LICEN[CS]E|COPYING)(\.[a-z]+)?$"
 
 
@@ -41,32 +58,65 @@ def _terms(line: F.Column) -> F.Column:
     return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
 
 
-def line_licenses(lines: DataFrame, templates: dict[str, str], min_cosine: float) -> DataFrame:
-    """line, license and score of the distinct lines among lines (column line) that reach min_cosine."""
-    spark = lines.sparkSession
-    notices = spark.createDataFrame(sorted(templates.items()), "license string, line string")
-    counts = cut(lines.groupBy("line").agg(F.count("*").alias("n")))
-    total = (counts.agg(F.sum("n")).first()[0] or 0) + len(templates)
-    terms = counts.select("line", "n", F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
-    of_notices = notices.select("license", F.explode(_terms(F.col("line"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
-    seen = terms.select("term", "n").union(of_notices.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("n").alias("df"))
-    weight = F.col("tf") * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0)
-    weighted = terms.join(seen, "term").select("line", "term", weight.alias("w"))
-    by_notice = of_notices.join(seen, "term").select("license", "term", weight.alias("v"))
-    by_notice = by_notice.withColumn("t_norm", F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("license")))
-    norms = weighted.groupBy("line").agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
-    # The templates' terms are a fixed, small table.
-    dots = weighted.join(F.broadcast(by_notice), "term").groupBy("line", "license", "t_norm").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(norms, "line").select("line", "license", F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("t_norm")), 4).alias("score"))
-    return scored.where(F.col("score") >= min_cosine).groupBy("line").agg(F.max(F.struct("score", "license")).alias("best")).select("line", "best")
-
-
-def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
+def license_texts() -> list[tuple[str, str]]:
+    """(license, text) of the headers and bodies of the standard licences that the package holds."""
+    found = sorted((f.name, f.read_text(encoding="utf-8")) for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt"))
+    return [(name.rsplit(".", 2)[0], text) for name, text in found]
+
+
+def _weight(tf, total, df, log):
+    return tf * (log((1.0 + total) / (1.0 + df)) + 1.0)
+
+
+def _core(weights: dict[str, float], min_cosine: float) -> set[str]:
+    """The heaviest terms of a text, so many that a unit without any of them cannot reach min_cosine: by Cauchy and Schwarz
+    its cosine is at most the norm of the other terms over the norm of all. Scores are rounded to four digits, so a little less counts."""
+    left = norm = sum(v * v for v in weights.values())
+    core = set()
+    for term in sorted(weights, key=weights.get, reverse=True):
+        if left < norm * max(0.0, min_cosine - 1e-4) ** 2 * (1 - 1e-9):
+            break
+        core.add(term)
+        left -= weights[term] ** 2
+    return core
+
+
+def best_matches(units: DataFrame, counted: DataFrame, texts: list[tuple[str, str]], min_cosine: float, *, n_notices: int = 0) -> DataFrame:
+    """_id and best (score, license) of units (_id, unit) that reach min_cosine; term weights are from counted (unit) and the texts.
+    The first n_notices texts are not compared with units of one line."""
+    spark = units.sparkSession
+    of_texts = [(k, name, Counter(re.findall(WORD, text.lower()))) for k, (name, text) in enumerate(texts)]
+    in_texts = spark.createDataFrame([(term,) for _, _, tf in of_texts for term in tf], "term string")
+    seen = cut(counted.select(F.explode(F.array_distinct(_terms(F.col("unit")))).alias("term")).union(in_texts).groupBy("term").agg(F.count("*").alias("df")))
+    total = counted.count() + len(texts)
+    known = dict(map(tuple, seen.join(F.broadcast(in_texts.distinct()), "term", "left_semi").collect()))  # the texts' terms only
+    weights = [(k, name, {term: _weight(n, total, known[term], math.log) for term, n in tf.items()}) for k, name, tf in of_texts]
+    core = sorted(set().union(*[_core(w, min_cosine) for _, _, w in weights]))
+    rows = [(k, name, math.fsum(v * v for v in w.values()), term, v) for k, name, w in weights for term, v in w.items()]
+    by_text = spark.createDataFrame(rows, "k int, license string, t_norm double, term string, v double")
+    near = units.where(F.arrays_overlap(_terms(F.col("unit")), F.array(*map(F.lit, core))))
+    near = cut(near.select("_id", F.concat(F.md5("unit"), F.when(F.col("unit").rlike(SEVERAL_LINES), "+").otherwise("")).alias("key"), "unit"))
+    terms = near.groupBy("key").agg(F.first("unit").alias("unit")).select("key", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    weighted = terms.join(seen, "term", "left").select("key", "term", _weight(F.col("tf"), total, F.coalesce("df", F.lit(0)), F.log).alias("w"))
+    norms = weighted.groupBy("key").agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
+    # The texts' terms are a fixed, small table.
+    dots = weighted.join(F.broadcast(by_text), "term").where((F.col("k") >= n_notices) | F.col("key").endswith("+")).groupBy("key", "k", "license", "t_norm").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    scored = dots.join(norms, "key").select("key", "license", F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("t_norm")), 4).alias("score"))
+    best = scored.where(F.col("score") >= min_cosine).groupBy("key").agg(F.max(F.struct("score", "license")).alias("best"))
+    return near.select("_id", "key").join(best, "key").groupBy("_id").agg(F.max("best").alias("best"))
+
+
+def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] | None = None, texts: list[tuple[str, str]] | None = None, min_cosine: float = MIN_COSINE) -> DataFrame:
     """id_col, path, own_license, own_score, inherited_license, inherited_from, license."""
-    lines = files.select(F.col(id_col).alias("_id"), F.explode(F.split(text_col, "\n")).alias("line")).where(F.lower("line").rlike(MARKER))
-    lines = cut(lines.select("_id", F.trim("line").alias("line")))
-    found = line_licenses(lines.select("line"), templates or TEMPLATES, min_cosine)
-    own = lines.join(found, "line").groupBy("_id").agg(F.max("best").alias("_own"))
+    notices = sorted((templates or TEMPLATES).items())
+    text = F.regexp_replace(text_col, "\r\n?", "\n")
+    lines = files.select(F.col(id_col).alias("_id"), F.explode(F.split(text_col, "\n")).alias("unit")).select("_id", F.trim("unit").alias("unit"))
+    marked = cut(lines.where(F.lower("unit").rlike(MARKER)).select("unit"))
+    whole = F.when(F.col(path_col).rlike(LICENSE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
+    blocks = files.select(F.col(id_col).alias("_id"), F.explode(F.concat(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1)), whole)).alias("unit"))
+    found = best_matches(lines, marked, notices, min_cosine)
+    found = found.union(best_matches(blocks, blocks, notices + (license_texts() if texts is None else texts), min_cosine, n_notices=len(notices)))
+    own = found.groupBy("_id").agg(F.max("best").alias("_own"))
     placed = files.select(F.col(id_col).alias("_id"), F.col(path_col).alias("path"), F.regexp_extract(path_col, "^(.*)/[^/]*$", 1).alias("_dir"))
     placed = cut(placed.join(own, "_id", "left"))
     given = placed.where(F.col("path").rlike(LICENSE_FILE) & F.col("_own").isNotNull()).groupBy(F.col("_dir").alias("_from")).agg(F.max("_own").alias("_given"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -88,6 +89,36 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id int, path string, text string")).count() == 0
 
 
+def test_licenses_of_blocks_and_whole_files(spark):
+    texts = {}
+    for name, text in licenses.license_texts():
+        texts.setdefault(name, []).append(text)
+    header = min(texts["Apache-2.0"], key=len)
+    wrapped = "\n".join(f"# {x}" for x in textwrap.wrap(" ".join(header.split()), 40))
+    files = [
+        (1, "mit/LICENSE", "Copyright (c) 2020 Someone\n\n" + texts["MIT"][0]), (2, "mit/src/a.txt", "plain"), (3, "bsd/LICENSE", texts["BSD-3-Clause"][0]),
+        (4, "gpl/COPYING", max(texts["GPL-3.0"], key=len)), (5, "x/a.py", wrapped + "\nimport os\nprint(os)\n"), (6, "x/b.txt", "Creative Commons Attribution 4.0 International"),
+        (7, "x/c.py", "/*\n * Released under\n * the MIT License\n */\nint x;\nint y;"), (8, "x/d.txt", "the rain of the day\nand the use of it\nin any other form"), (9, "x/e.c", "".join(f" * {x}\r\n" for x in min(texts["GPL-3.0"], key=len).splitlines())),
+        (10, "x/long.txt", "word here\n" * 30000), (11, None, texts["MIT"][0]),
+    ]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(files, "doc_id int, path string, text string")).collect()}
+    got = {k: r.own_license for k, r in found.items()}
+    assert got == {1: "MIT", 2: None, 3: "BSD-3-Clause", 4: "GPL-3.0", 5: "Apache-2.0", 6: "CC-BY-4.0", 7: "MIT", 8: None, 9: "GPL-3.0", 10: None, 11: "MIT"}
+    assert found[2].license == "MIT" and found[4].own_score > 0.95
+
+
+def test_gate_of_licenses_keeps_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [w for t in licenses.TEMPLATES.values() for w in t.split()] + ["rain", "sun", "wind"] * 20
+    lines = [" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(300)] + [t for t in licenses.TEMPLATES.values()]
+    units = spark.createDataFrame(list(enumerate(lines)), "_id int, unit string")
+    texts = sorted(licenses.TEMPLATES.items())
+    best = lambda: sorted(map(tuple, licenses.best_matches(units, units, texts, 0.6).collect()))
+    gated = best()
+    monkeypatch.setattr(licenses, "_core", lambda weights, _: set(weights))
+    assert gated == best() and len(gated) > 8
+
+
 # Operator 8
 
 
