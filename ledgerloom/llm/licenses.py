@@ -14,7 +14,7 @@ has one.
 Term weights: count in the unit times ln((1 + units) / (1 + units with the term)) + 1. For lines the units that
 are counted are the lines that speak of a licence (``MARKER``) and the notices; for blocks and files all blocks,
 licence files and texts. A term that none of them has is in 0 units. No unit is left out by its words: only
-those go that hold no heavy term of any text, whose cosine cannot reach ``min_cosine`` (see ``_core``).
+those go whose cosine provably cannot reach ``min_cosine`` (see ``_core`` and ``_reachable``).
 
 Defined cases: a null or empty text has no unit; a null path has no directory and inherits nothing;
 ties go to the greater name in alphabetical order; repeated rows each give a row with the same result;
@@ -51,6 +51,8 @@ MIN_COSINE = 0.6
 COMMENT = r"[ \t]*+(?:#|//|/\*|\*|--|;|%|<!--)"
 BLOCK = rf"(?md)((?:^{COMMENT}[^\n]*+(?:\n|\z))++|(?:^(?!{COMMENT})[^\n]*\S[^\n]*+(?:\n|\z))++)"
 SEVERAL_LINES = r"\A\s*\S[^\n]*\n\s*\S"
+#: So many terms have their exact document frequency in the bound of _reachable.
+FREQUENT = 10_000
 LICENSE_FILE = r"(^|/)(LICEN[CS]E|COPYING)(\.[a-z]+)?$"
 
 
@@ -81,6 +83,30 @@ def _core(weights: dict[str, float], min_cosine: float) -> set[str]:
     return core
 
 
+def _reachable(units: DataFrame, seen: DataFrame, total: int, weights: list[tuple[int, str, dict[str, float]]], min_cosine: float) -> DataFrame:
+    """The keys of the units (key, unit) whose cosine with a text may reach min_cosine.
+
+    The dot products are exact sums over a unit's words. The norm is bounded from below: its square is at least the square of
+    the sum of the words' idf over the count of distinct words. The idf is exact for the texts' terms and the ``FREQUENT`` most
+    frequent ones, and for all others that of the last of these. One row a unit leaves the map task."""
+    ordered = seen.orderBy(F.desc("df"), "term").limit(FREQUENT).collect()
+    floor = _weight(1, total, ordered[-1].df, math.log)
+    idf = {r.term: _weight(1, total, r.df, math.log) for r in ordered}
+    in_texts = sorted({term for _, _, w in weights for term in w})
+    exact = dict(map(tuple, seen.join(F.broadcast(units.sparkSession.createDataFrame([(t,) for t in in_texts], "term string")), "term", "left_semi").collect()))
+    idf |= {t: _weight(1, total, exact[t], math.log) for t in in_texts}
+    texts = set(in_texts)
+    known = [(t, v, [v * w.get(t, 0.0) / math.sqrt(math.fsum(x * x for x in w.values())) for _, _, w in weights] if t in texts else None) for t, v in idf.items()]
+    known = units.sparkSession.createDataFrame(known, "term string, idf double, g array<double>")
+    words = _terms(F.col("unit"))
+    rows = units.select("key", F.monotonically_increasing_id().alias("row"), words.alias("words"))
+    rows = rows.select("key", "row", F.size(F.array_distinct("words")).alias("kinds"), F.explode("words").alias("term"))
+    dots = [F.sum(F.coalesce(F.col("g")[k], F.lit(0.0))).alias(f"d{k}") for k in range(len(weights))]
+    sums = rows.join(F.broadcast(known), "term", "left").groupBy("key", "row", "kinds").agg(F.sum(F.coalesce("idf", F.lit(floor))).alias("all"), *dots)
+    most = F.greatest(F.lit(0.0), *[F.col(f"d{k}") for k in range(len(weights))])
+    return sums.where(most * (1 + 1e-9) >= (min_cosine - 1e-4) * F.col("all") / F.sqrt("kinds")).select("key").distinct()
+
+
 def best_matches(units: DataFrame, counted: DataFrame, texts: list[tuple[str, str]], min_cosine: float, *, n_notices: int = 0) -> DataFrame:
     """_id and best (score, license) of units (_id, unit) that reach min_cosine; term weights are from counted (unit) and the texts.
     The first n_notices texts are not compared with units of one line."""
@@ -94,8 +120,9 @@ def best_matches(units: DataFrame, counted: DataFrame, texts: list[tuple[str, st
     core = sorted(set().union(*[_core(w, min_cosine) for _, _, w in weights]))
     rows = [(k, name, math.fsum(v * v for v in w.values()), term, v) for k, name, w in weights for term, v in w.items()]
     by_text = spark.createDataFrame(rows, "k int, license string, t_norm double, term string, v double")
-    near = units.where(F.arrays_overlap(_terms(F.col("unit")), F.array(*map(F.lit, core))))
-    near = cut(near.select("_id", F.concat(F.md5("unit"), F.when(F.col("unit").rlike(SEVERAL_LINES), "+").otherwise("")).alias("key"), "unit"))
+    keyed = units.where(F.arrays_overlap(_terms(F.col("unit")), F.array(*map(F.lit, core))))
+    keyed = keyed.select("_id", F.concat(F.md5("unit"), F.when(F.col("unit").rlike(SEVERAL_LINES), "+").otherwise("")).alias("key"), "unit")
+    near = cut(keyed.join(cut(_reachable(keyed, seen, total, weights, min_cosine)), "key", "left_semi"))
     terms = near.groupBy("key").agg(F.first("unit").alias("unit")).select("key", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     weighted = terms.join(seen, "term", "left").select("key", "term", _weight(F.col("tf"), total, F.coalesce("df", F.lit(0)), F.log).alias("w"))
     norms = weighted.groupBy("key").agg(F.sum(F.col("w") * F.col("w")).alias("norm"))

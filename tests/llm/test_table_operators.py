@@ -115,7 +115,10 @@ def test_gate_of_licenses_keeps_all_pairs(spark, monkeypatch):
     texts = sorted(licenses.TEMPLATES.items())
     best = lambda: sorted(map(tuple, licenses.best_matches(units, units, texts, 0.6).collect()))
     gated = best()
+    monkeypatch.setattr(licenses, "FREQUENT", 5)
+    assert gated == best()
     monkeypatch.setattr(licenses, "_core", lambda weights, _: set(weights))
+    monkeypatch.setattr(licenses, "_reachable", lambda units, *_: units.select("key").distinct())
     assert gated == best() and len(gated) > 8
 
 
