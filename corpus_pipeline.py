@@ -5,7 +5,9 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 1. Quality rules: documents that the base rules or the line field reject go.
 2. Line dedup: later occurrences of repeated three-line windows go from the texts; n_chars follows.
 3. N-gram Jaccard join: of each group of near copies the document with the smallest id stays.
-4. Mixing: sources, languages and topics are raked to tempered shares, and documents are sampled to them.
+4. Mixing: sources, languages and topics are raked to tempered shares, and documents are sampled to them; one whose
+   ratio exceeds 1 may be repeated, so an id may come several times. All ratios are scaled so that no more rows come
+   out than went in.
 5. SentencePiece: the texts that are left are encoded.
 """
 
@@ -36,7 +38,8 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sample(docs, mixing.rake(docs)).where("sampled").select(docs.columns)
+    mixture = mixing.rake(docs)
+    return mixing.resample(docs, mixture, scale=mixing.fitting_scale(docs, mixture))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

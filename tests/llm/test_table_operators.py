@@ -154,6 +154,25 @@ def test_mixing_meets_its_targets(spark):
         mixing.rake(docs, max_values=1)
 
 
+def test_mixing_stage_meets_its_targets_without_weights(spark):
+    rows = [(k, " ".join(["w"] * 20) + (" | a" if k % 100 == 7 else ""), "hot" if k % 3 == 0 else f"s{k % 19}", "en") for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    out = corpus_pipeline.mixing_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    topic = lambda text: "tabular" if " | " in text else "prose"
+    for kind in (lambda r: r.source, lambda r: topic(r.text)):
+        natural, real = Counter(), Counter()
+        for counts, found in ((natural, docs.collect()), (real, out.collect())):
+            for r in found:
+                counts[kind(r)] += len(r.text.split())
+        aims = {k: v**mixing.TEMPER for k, v in natural.items()}
+        for k, v in aims.items():
+            assert abs(real[k] / sum(real.values()) - v / sum(aims.values())) < 0.012
+    few = spark.createDataFrame([(1, "w", "A", "en")], docs.schema)
+    mixture = mixing.Mixture({"source": {"A": 3.0}, "lang": {"en": 1.0}, "topic": {"prose": 1.0}}, 1, 0.0)
+    assert mixing.resample(few, mixture).count() == 3
+
+
 # Operator 9
 
 
