@@ -4,7 +4,8 @@ Cells. Two sets x and y with Jaccard similarity 0.8 or more differ in D <= (|x|
 hash space into more than D ranges: in one of them at least x and y hold the same elements. So the content
 of each range, hashed, is a cell, and any linked pair meets in one. Sizes are classed so that linked sizes
 are in one class or in neighbouring ones; each set enters the cells of its class and of the next. Ranges
-where a set is empty are no cells, unless the set fills too few ranges to be sure of a common one.
+where a set is empty are no cells, unless the set fills too few ranges to be sure of a common one. As D is
+at most a quarter of either set, a set that fills f ranges shares f - D cells with any that it is linked to.
 """
 
 from __future__ import annotations
@@ -63,37 +64,40 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, index of the set) of each set's cells, and how many ranges each set fills in its two classes."""
+    """(cell, index of the set, mark) of each set's cells. The mark is twice the least number of cells that the set shares
+    with any linked one in this class, plus 1 in the class above the set's own."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     home = np.searchsorted(CLASSES, sizes, "right") - 1
-    found, owners = [], []
-    fills = np.zeros((2, len(sets)), np.int64)
-    with np.errstate(over="ignore"):
-        for up in (0, 1):
-            klass = home + up
-            m = np.where(sizes > 0, ranges(np.maximum(klass, 0)), 1)
-            at = ((flat >> np.uint64(32)) * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-            new = np.ones(len(flat), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])
-            begins = np.flatnonzero(new)
-            if not len(begins):
-                continue
-            content = np.add.reduceat(mix(flat), begins)
-            who, part = owner[begins], at[begins]
-            label = mix((klass[who].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64))
-            found.append(mix(content + label))
-            owners.append(who)
-            filled = fills[up] = np.bincount(who, minlength=len(sets))
-            for s in np.flatnonzero((sizes > 0) & (filled <= differing(np.maximum(klass, 0)))):
-                empty = np.setdiff1d(np.arange(m[s]), part[who == s])
-                label = mix((np.uint64(klass[s]) << np.uint64(40)) + empty.astype(np.uint64))
-                found.append(mix(label + np.uint64(1)))
-                owners.append(np.full(len(empty), s))
+    found, owners, marks = [], [], []
+    for up in (0, 1):
+        klass = home + up
+        m = np.where(sizes > 0, ranges(np.maximum(klass, 0)), 1)
+        at = ((flat >> np.uint64(32)) * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        new = np.ones(len(flat), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])
+        begins = np.flatnonzero(new)
+        if not len(begins):
+            continue
+        content = np.add.reduceat(mix(flat), begins)
+        who, part = owner[begins], at[begins]
+        label = mix((klass[who].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64))
+        most = np.minimum(differing(np.maximum(klass, 0)), sizes // 4)
+        filled = np.bincount(who, minlength=len(sets))
+        mark = 2 * np.maximum(filled - most, 1) + up
+        found.append(mix(content + label))
+        owners.append(who)
+        marks.append(mark[who])
+        for s in np.flatnonzero((sizes > 0) & (filled <= most)):
+            empty = np.setdiff1d(np.arange(m[s]), part[who == s])
+            label = mix((np.uint64(klass[s]) << np.uint64(40)) + empty.astype(np.uint64))
+            found.append(mix(label + np.uint64(1)))
+            owners.append(np.full(len(empty), s))
+            marks.append(np.full(len(empty), mark[s]))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), fills
-    return np.concatenate(found), np.concatenate(owners), fills
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(owners), np.concatenate(marks)
 
 
 def linked(shared: int, a: int, b: int) -> bool:

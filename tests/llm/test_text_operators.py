@@ -3,13 +3,13 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark import cloudpickle
 
-from ledgerloom.llm import jaccard_join, quality, toxicity
+from ledgerloom.llm import common, jaccard_join, quality, toxicity
 from ledgerloom.llm.sentencepiece_codec import Codec, default_model, encode_decode
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,27 +125,73 @@ def test_jaccard_join(docs, texts):
     assert len({c for _, c in wanted.values()}) < len(texts) - 20
 
 
-def test_jaccard_join_in_rings_and_tiles(spark, texts, monkeypatch):
-    rng = random.Random(3)
+def components_of(found, rows):
+    """Whether the result is right for rows of (id, text), by the texts of each id."""
+    wanted = brute_components([t for _, t in rows])
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        root = wanted[k][1]
+        if i is not None:
+            least[root] = min(least.get(root, i), i)
+    return Counter(found) == Counter((i, wanted[k][0], least.get(wanted[k][1]) if wanted[k][0] else i) for k, (i, _) in enumerate(rows))
+
+
+def family(rng, n, edits):
     words = [f"t{k}" for k in range(90)]
-    family = []
-    for _ in range(160):
+    out = []
+    for _ in range(n):
         w = list(words)
-        for _ in range(rng.randint(0, 4)):
+        for _ in range(rng.randint(0, edits)):
             w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
-        family.append(" ".join(w))
-    rows = [(k, t) for k, t in enumerate(family)]
-    wanted = brute_components(family)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, leaf=16).collect()} == wanted
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()} == wanted
-    monkeypatch.setattr(jaccard_join, "HOT", 10)  # workers are forked anew for each test session, so it must reach them by value
-    cloudpickle.register_pickle_by_value(jaccard_join)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, leaf=64).collect()} == wanted
-    cloudpickle.unregister_pickle_by_value(jaccard_join)
+        out.append(" ".join(w))
+    return out
 
 
-def test_join_region_connects_what_is_linked(texts):
+@pytest.mark.parametrize(("edits", "leaf"), [(4, 10**6), (4, 1500), (8, 3000)])
+def test_jaccard_join_of_divided_families(spark, edits, leaf):
+    rows = list(enumerate(family(random.Random(3), 160, edits)))
+    divided = []
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert components_of([tuple(r) for r in jaccard_join.near_duplicates(docs, leaf=leaf, divided=divided).collect()], rows)
+    assert (divided[0] > 0) == (leaf < 10**6)
+
+
+def test_jaccard_join_divides_by_shuffles_again_and_again(spark):
+    """A region of six families that are far from one another, each too large for a task and hardly linked."""
+    rng = random.Random(8)
+    rows = []
+    for f in range(6):
+        words = [f"f{f}w{k}" for k in range(60)]
+        for _ in range(30):
+            w = list(words)
+            for _ in range(rng.choice([0, 1, 1, 1, 1, 2])):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append(" ".join(w))
+    sets = [np.sort(np.array([int.from_bytes(hashlib.blake2b(repr(s).encode(), digest_size=8).digest(), "big") for s in shingles(t)], np.uint64)) for t in rows]
+    nodes = list(range(len(rows)))
+    content = spark.createDataFrame([(k, sets[k].tobytes()) for k in nodes], "node long, content binary")
+    members = spark.createDataFrame([(0, k, len(sets[k])) for k in nodes], "region long, node long, n long")
+    divided = []
+    links = jaccard_join.components(jaccard_join.links_of(members, content, leaf=700, divided=divided)).collect()
+    roots = dict(zip(nodes, nodes, strict=True)) | {r.node: r.root for r in links}
+    wanted = brute_components(rows)
+    assert roots == {k: wanted[k][1] for k in nodes}
+    assert sum(n > 0 for n in divided) >= 2
+
+
+def test_jaccard_join_of_null_and_shared_ids(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, text), (5, text + " x"), (7, text + " y z"), (None, "a b c d e f"), (None, "a b c d e f"), (3, None), (3, ""), (None, " "), (9, "p q r s t u v"), (9, text + " q"), (5, text + " x")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id int, text string, row int, node int, id int").repartition(3)
+    assert components_of([tuple(r) for r in jaccard_join.near_duplicates(docs).collect()], rows)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()), key=repr)
+    assert kept == sorted([(5, text + " x"), (None, "a b c d e f"), (3, None), (3, ""), (None, " "), (9, "p q r s t u v")], key=repr)
+    assert jaccard_join.one_of_each(docs).columns == docs.columns
+
+
+def test_join_region_divides_and_connects_what_is_linked(texts):
+    rng = random.Random(2)
+    texts = texts + family(rng, 60, 5) + family(rng, 40, 12)
     sets = [np.array(sorted({hash(s) & ((1 << 62) - 1) for s in shingles(t)}), np.uint64) for t in texts]
     some = [k for k, s in enumerate(sets) if len(s)]
     parent = {k: k for k in some}
@@ -155,11 +201,109 @@ def test_join_region_connects_what_is_linked(texts):
             k = parent[k]
         return k
 
-    for i, j in jaccard_join.join_region([sets[k] for k in some]):
+    links, _ = jaccard_join.join_region([sets[k] for k in some])
+    for i, j in links:
         low, high = sorted((root(some[i]), root(some[j])))
         parent[high] = low
     wanted = brute_components(texts)
     assert {k: root(k) for k in some} == {k: wanted[k][1] for k in some}
+    far = [" ".join(f"{f}.{k}" for k in range(40 + e)) for f in range(30) for e in range(12)]
+    sets = [np.array(sorted({hash(s) & ((1 << 62) - 1) for s in shingles(t)}), np.uint64) for t in far]
+    links, depth = jaccard_join.join_region(sets)
+    assert depth >= 1 and len(links) == 30 * 11
+
+
+def thue_morse(bits):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(1 << bits))
+
+
+def test_texts_of_few_letters_do_not_collide(spark):
+    a = thue_morse(11)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(0, f"{a}\n{b}"), (1, f"{a}\n{a}"), (2, " ".join([a] * 5)), (3, " ".join([b] * 5)), (4, f"x y z {a} x y z {b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in quality.quality_rules(docs, None).collect()}
+    assert [found[k].n_dup_lines for k in range(5)] == [0, 1, 0, 0, 0] and found[4].n_repeat_words == 6
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == {k: k for k in range(5)}
+
+
+def test_hashes_are_polynomials_modulo_a_prime():
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 256, 20000).astype(np.uint8)
+    rolling, powers = common.Rolling(data), [1]
+    for _ in range(60):
+        powers.append(powers[-1] * common._BASE % common.PRIME)
+    at = rng.integers(0, 19900, 300)
+    for size in (0, 1, 16, 60):
+        wanted = [sum((int(x) + 1) * p for x, p in zip(data[a : a + size], powers, strict=False)) % common.PRIME for a in at]
+        assert rolling.of(at, at + size).tolist() == common.mix(np.array(wanted, np.uint64)).tolist()
+        assert size == 0 or common.grams(data, size)[at[0]] == common.grams(data[at[0] : at[0] + size], size)[0]
+
+
+def test_gradient_of_the_field():
+    rng = np.random.default_rng(4)
+    sequences = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 2, 3, 5, 5, 9)]
+    labels, theta = np.array([0, 1, 1, 0, 1, 0]), rng.normal(size=quality.FEATURES * 2 + 4) * 0.3
+    parts = quality.batches_of(sequences, labels, np.array([1, 0.5, 0.5, 1, 1, 1]))
+    value = lambda t: sum(quality.likelihood(t, b)[0] for b in parts)
+    found = sum(quality.likelihood(theta, b)[1] for b in parts)
+    for k in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-6
+        assert abs((value(theta + step) - value(theta - step)) / 2e-6 - found[k]) < 1e-6
+    assert value(theta) < 0 and quality.train(sequences, np.ones(6, int)) is None
+
+
+def test_training_lines_come_from_the_whole_text():
+    assert quality.stretches(10, 64) == [(0, 10)]
+    found = quality.stretches(1000, 64)
+    assert found[0][0] == 0 and found[-1][1] == 1000 and sum(b - a for a, b in found) == 64
+
+
+def test_quality_keeps_all_columns(spark):
+    good = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, good, 7, "k", 1), (2, "short", 8, "k", 2), (None, good, None, None, None)], "doc_id int, text string, n_words int, kept string, c0 int")
+    assert sorted(map(tuple, quality.keep_good(docs, None).collect()), key=repr) == sorted([(1, good, 7, "k", 1), (None, good, None, None, None)], key=repr)
+    out = quality.quality_rules(docs, None, pass_through=True)
+    assert {(r.n_words, r.kept) for r in out.collect()} == {(60, True), (1, False)}
+
+
+def test_ftrl_like_a_plain_loop():
+    rng = np.random.default_rng(7)
+    rows = [np.unique(rng.integers(0, 64, rng.integers(0, 12))).astype(np.int32) for _ in range(80)]
+    labels = rng.integers(0, 2, 80)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for epoch in range(3):
+        for k in np.random.default_rng(epoch).permutation(80):
+            at = [*rows[k].tolist(), 64]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + np.exp(-sum(w))) - labels[k]
+            for i, x in zip(at, w, strict=True):
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * x
+                n[i] += g * g
+    found = toxicity.ftrl(rows, labels, bits=6, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(found, [weight(i) for i in range(65)]) and (found == 0).any()
+
+
+def test_scores_like_a_plain_sum(spark):
+    texts = ["The cat, the CAT sat", None, "", "a b", "sat the cat"]
+    docs = spark.createDataFrame([(k if k else None, t, "x", 1.0) for k, t in enumerate(texts)], "doc_id long, text string, label string, score double")
+    data = np.frombuffer(b"the cat the cat sat", np.uint8)
+    places, _ = toxicity.features(data, np.array([0, len(data)]), 20)
+    model = (np.unique(places)[:6].astype(np.int32), np.arange(1.0, 7.0) / 10, -0.4)
+    weights = dict(zip(*model[:2], strict=True))
+    for r in toxicity.score(docs, model).collect():
+        text = (texts[r.doc_id or 0] or "").lower().replace(",", "").encode()
+        at = toxicity.features(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 20)[0]
+        p = 1 / (1 + np.exp(-(-0.4 + sum(weights.get(i, 0.0) for i in set(at.tolist())))))
+        assert abs(r.score - p) < 1e-12 and r.predicted == (p >= 0.5) and r.held_out == (bool(r.doc_id) and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    one_class = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
+    assert all(0 <= r.score <= 1 for r in toxicity.score(docs, toxicity.fit(docs, one_class)).collect())
 
 
 def test_sentencepiece(docs, texts):
