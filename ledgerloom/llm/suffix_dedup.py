@@ -11,12 +11,13 @@ the window's bytes alone, so equal windows have it at the same place.
    bytes to the left, into sorted front-coded runs. A task merges the runs of its cores by a loser tree
    (suffix_merge.py). From the common prefixes on both sides follows, for each place of the window around
    the anchor, which windows are equal.
-3. A core with very many different surroundings, such as the edge of a passage that a third of the
-   documents share, is not sorted in one task: each window around its anchors is hashed and counted, and
-   windows, like surroundings, are reduced to one in the map task before they meet.
+3. A core with more than ``HOT`` different surroundings, such as the edge of a passage that a third of the
+   documents share, is not sorted in one task: each window around its anchors is hashed and counted. Windows, like
+   surroundings and hot cores, are reduced to one in the map task before they meet.
 4. The covered bytes of each document are merged and removed.
 
-Work and memory are linear in the text.
+Anchors meet by a shuffle on their core and are streamed in its order, so a task holds one core at a time. Work
+is linear in the text. Hashes of cores, surroundings and windows have 61 bits and are believed.
 
 Defined cases: a null text counts as empty; a text shorter than the window loses nothing; texts of any length
 are taken whole; repeated rows count as repeats of each other and each give a row, as do rows that share an
@@ -33,28 +34,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Rolling, cut, mix, text_chunks
+from ledgerloom.llm.common import Rolling, cut, grams, kept, mix, scratch, text_chunks
 from ledgerloom.llm.suffix_merge import Run, front_code, merge
 
 LENGTH = 200
 GAP = 96
 GRAM = 16
-#: Anchors that a worker gathers before it sends them on, 28 bytes each.
+#: Anchors that a worker gathers before it sends them on, 32 bytes each.
 FLUSH = 1_500_000
-#: Different surroundings of one core that one worker's batch sends to the core's bucket.
+#: Different surroundings of one core that are sorted; beyond, its windows are counted.
 HOT = 512
-#: Bytes of text whose anchors one task takes in at a time, on average.
-BUCKET_BYTES = 16 << 20
+#: Anchors of one core that a task gathers before it looks whether that is hot.
+HELD = 1 << 16
+#: Suffixes that one task merges, on average.
+MERGED = 50_000
 _PLACE = np.uint64((1 << 28) - 1)
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, length: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(place in the chunk, document) of every anchor of a whole window."""
     last = len(data) - length
     if last < 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(last + GAP)
-    least = (rolling.of(at, at + GRAM) & ~_PLACE) | at.astype(np.uint64)
+    least = (grams(data, GRAM)[: len(at)] & ~_PLACE) | at.astype(np.uint64)
     short = least
     for step in (1, 2, 4, 8, 16):
         short = np.minimum(short[:-step], short[step:])
@@ -75,45 +78,36 @@ def _bucket(core: np.ndarray, buckets: int) -> np.ndarray:
     return ((core >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-COLUMNS = [("core", np.uint64), ("whole", np.uint64), ("row", np.int64), ("at", np.int32), ("left", np.uint8), ("right", np.uint8), ("many", np.uint8), ("hot", np.uint8)]
 SETTLED, SORT, WINDOWS = 0, 1, 2
+ANCHORS = "core long, whole long, row long, info long"
+FOUND = "row long, at int, low int, high int, step int, wanted boolean"
 
 
-def _blobs(buckets: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    order = np.argsort(buckets, kind="stable")
-    buckets, columns = buckets[order], [c[order] for c in columns]
-    borders = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
-    rows = [[c[a:b].tobytes() for a, b in zip(borders, borders[1:])] for c in columns]  # noqa: B905
-    return pa.RecordBatch.from_arrays([pa.array(buckets[borders[:-1]].astype(np.int32)), *(pa.array(r, pa.binary()) for r in rows)], ["bucket", *(n for n, _ in COLUMNS)])
-
-
-def _packed(parts: list[list[np.ndarray]], buckets: int) -> pa.RecordBatch:
-    """Anchors in columns by the bucket of their core.
+def _marked(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """Anchors of one flush. info holds the place, what is to the right and left, and two marks.
 
     many: 1 for one of several equal ones here, 2 for the others, which are settled. hot: of a core with
-    more than HOT different surroundings here, 1 for those that go to the core's bucket and 2 for the rest.
-    Settled and hot ones need no meeting, so they are spread evenly over all buckets.
+    more than HOT different surroundings here, 1 for the one that tells the core's task and 2 for the rest.
     """
     core, whole, row, at, left, right = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((whole, core))
     c, w = core[order], whole[order]
     same = np.zeros(len(order), bool)
     same[1:] = (c[1:] == c[:-1]) & (w[1:] == w[:-1])
-    many, hot = np.zeros(len(order), np.uint8), np.zeros(len(order), np.uint8)
+    many, hot = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
     many[order[same]] = 2
     many[order[~same & np.concatenate([same[1:], [False]])]] = 1
     kinds, kc = order[~same], c[~same]
     begins = np.flatnonzero(np.concatenate([[True], kc[1:] != kc[:-1]]))
     sizes = np.diff(np.append(begins, len(kc)))
     place, size = np.arange(len(kc)) - np.repeat(begins, sizes), np.repeat(sizes, sizes)
-    hot[kinds] = np.where(size <= HOT, 0, np.where(place < HOT, 1, 2))
-    aside = (many == 2) | (hot == 2)
-    bucket = np.where(aside, _bucket(mix(whole + np.arange(len(whole), dtype=np.uint64)), buckets), _bucket(core, buckets))
-    return _blobs(bucket, [core, whole, row, at.astype(np.int32), left.astype(np.uint8), right.astype(np.uint8), many, hot])
+    hot[kinds] = np.where(size <= HOT, 0, np.where(place < 1, 1, 2))
+    info = (at.astype(np.int64) << 32) | (right.astype(np.int64) << 12) | (left.astype(np.int64) << 4) | (many << 2) | hot
+    return pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(row), pa.array(info)], ["core", "whole", "row", "info"])
 
 
-def _detect_map(rows: DataFrame, buckets: int, length: int) -> DataFrame:
-    """All anchors, packed."""
+def _detect_map(rows: DataFrame, length: int) -> DataFrame:
+    """All anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
@@ -121,26 +115,26 @@ def _detect_map(rows: DataFrame, buckets: int, length: int) -> DataFrame:
         for batch in batches:
             keys = np.asarray(batch.column(0))
             for first, _, data, offsets in text_chunks(batch.column(1)):
-                rolling = Rolling(data)
-                at, docs = anchors_of(data, offsets, rolling, length)
+                at, docs = anchors_of(data, offsets, length)
                 if not len(at):
                     continue
+                rolling = Rolling(data)
                 left, right = around(at, docs, offsets, length)
                 core = rolling.of(at, at + length - GAP + 1)
                 whole = mix(rolling.of(at - left, at + right) + left.astype(np.uint64) * np.uint64(1 << 20) + right.astype(np.uint64))
                 parts.append([core, whole, keys[first + docs], at - offsets[docs], left, right])
                 held += len(at)
                 if held > FLUSH:
-                    yield _packed(parts, buckets)
+                    yield _marked(parts)
                     parts, held = [], 0
         if held:
-            yield _packed(parts, buckets)
+            yield _marked(parts)
 
-    return rows.select("row", "text").mapInArrow(run, PACKED)
+    return rows.select("row", "text").mapInArrow(run, ANCHORS)
 
 
-def _window_map(rows: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Every window around the given anchors, packed like anchors: core and surroundings are the window itself."""
+def _window_map(rows: DataFrame, length: int) -> DataFrame:
+    """Every window around the given anchors, like an anchor: core and surroundings are the window itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
@@ -158,49 +152,73 @@ def _window_map(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                 parts.append([window, window, np.full(len(at), row.as_py(), np.int64), at, none, full])
                 held += len(at)
                 if held > FLUSH:
-                    yield _packed(parts, buckets)
+                    yield _marked(parts)
                     parts, held = [], 0
         if held:
-            yield _packed(parts, buckets)
+            yield _marked(parts)
 
-    return rows.mapInArrow(run, PACKED)
+    return rows.mapInArrow(run, ANCHORS)
 
 
-PACKED = "bucket int, " + ", ".join(f"{n} binary" for n, _ in COLUMNS)
-FOUND = "row long, at int, low int, high int, step int, wanted boolean"
+def _detected(anchors: DataFrame, length: int) -> DataFrame:
+    """Settled anchors with the window places they cover, and anchors that are to be sorted or whose windows are to be counted."""
 
+    def out(step: np.ndarray | int, wanted: np.ndarray | bool, x: list[np.ndarray]) -> pa.RecordBatch:
+        _, _, row, info = x
+        at, right, left = (info >> 32).astype(np.int32), (info >> 12) & ((1 << 20) - 1), (info >> 4) & 255
+        columns = [row, at, np.maximum(0, length - right).astype(np.int32), np.minimum(left, GAP - 1).astype(np.int32), np.broadcast_to(np.int32(step), len(row)), np.broadcast_to(wanted, len(row))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "at", "low", "high", "step", "wanted"])
 
-def _detect(length: int):
-    def each(table: pa.Table) -> pa.Table:
-        """Settled anchors with the window places they cover, and anchors that are to be sorted."""
-        core, whole, row, at, left, right, many, hot = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(n)]) for n, kind in COLUMNS)
-        meets = np.flatnonzero((many < 2) & (hot < 2))
-        order = meets[np.lexsort((whole[meets], core[meets]))]
-        c, w = core[order], whole[order]
-        new_core = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
-        new_whole = new_core | np.concatenate([[True], w[1:] != w[:-1]]) if len(c) else new_core
+    def met(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Of whole cores, sorted by core and surroundings."""
+        core, whole, _, info = x
+        many, hot = (info >> 2) & 3, info & 3
+        new_core = np.concatenate([[True], core[1:] != core[:-1]])
+        new_whole = new_core | np.concatenate([[True], whole[1:] != whole[:-1]])
         kind, group = np.cumsum(new_whole) - 1, np.cumsum(new_core) - 1
-        copies = np.bincount(kind, 1 + (many[order] == 1))
+        copies = np.bincount(kind, 1 + (many == 1))
         kinds = np.bincount(group[new_whole])
-        is_hot = np.bincount(group, hot[order] == 1) > 0
+        is_hot = (np.bincount(group, hot == 1) > 0) | (kinds > HOT)
         settled = copies[kind] > 1
         partner = new_whole & ((kinds[group] > 1) | is_hot[group])
-        step = np.where(is_hot[group], WINDOWS, SORT)
-        high, low = np.minimum(left, GAP - 1).astype(np.int32), np.maximum(0, length - right.astype(np.int32)).astype(np.int32)
-        aside = np.flatnonzero(hot == 2)
         # Settled anchors cover their windows, also those that are partners of others in a later step.
-        done = np.concatenate([np.flatnonzero(many == 2), order[settled], aside[many[aside] == 1]])
-        later = np.concatenate([order[partner], aside])
-        steps = np.concatenate([np.zeros(len(done), np.int32), step[partner].astype(np.int32), np.full(len(aside), WINDOWS, np.int32)])
-        wanted = np.concatenate([np.ones(len(done), bool), ~settled[partner], np.ones(len(aside), bool)])
-        picked = np.concatenate([done, later])
-        columns = [row[picked], at[picked], low[picked], high[picked], steps, wanted]
-        return pa.Table.from_arrays([pa.array(x) for x in columns], ["row", "at", "low", "high", "step", "wanted"])
+        yield out(SETTLED, True, [c[settled] for c in x])
+        yield out(np.where(is_hot[group], WINDOWS, SORT)[partner], ~settled[partner], [c[partner] for c in x])
 
-    return each
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = [np.zeros(0, np.int64)] * 4
+        busy = None  # a core that was found hot before its end
+        for batch in batches:
+            x = [np.asarray(batch.column(k)) for k in range(4)]
+            many, hot = (x[3] >> 2) & 3, x[3] & 3
+            aside = (many == 2) | (hot == 2)
+            yield out(SETTLED, True, [c[(many == 2) | ((hot == 2) & (many == 1))] for c in x])
+            yield out(WINDOWS, True, [c[hot == 2] for c in x])
+            x = [np.concatenate([t, c[~aside]]) for t, c in zip(tail, x, strict=True)]
+            if busy is not None and len(x[0]):
+                more = x[0] == busy
+                yield out(WINDOWS, True, [c[more] for c in x])
+                x = [c[~more] for c in x]
+            if len(x[0]):
+                whole = int(np.flatnonzero(x[0] == x[0][-1])[0])  # the last core may go on
+                tail = [c[whole:] for c in x]
+                if whole:
+                    yield from met([c[:whole] for c in x])
+                if len(tail[0]) > HELD and (tail[1][1:] != tail[1][:-1]).sum() > HOT:
+                    busy = tail[0][-1]
+                    yield out(WINDOWS, True, tail)
+                    tail = [c[:0] for c in tail]
+            else:
+                tail = x
+        if len(tail[0]):
+            yield from met(tail)
+
+    aside = (F.col("info").bitwiseAND(8) == 8) | (F.col("info").bitwiseAND(2) == 2)
+    where = F.when(aside, F.xxhash64("row", "info")).otherwise(F.col("core"))
+    return anchors.repartition(where).sortWithinPartitions("core", "whole").mapInArrow(run, FOUND)
 
 
-RUN = [("shared", np.uint8), ("lengths", np.uint8), ("lefts", np.uint8), ("row", np.int64), ("at", np.int32), ("wanted", np.uint8)]
+RUN = [("shared", np.int32), ("lengths", np.int32), ("lefts", np.uint8), ("row", np.int64), ("at", np.int32), ("wanted", np.uint8)]
 
 
 def _runs(rows: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -319,24 +337,28 @@ def _merge(length: int):
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_output: bool = False) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans and kept_sha256; with keep_output also kept (bytes)."""
-    if length < GAP + GRAM:
-        raise ValueError(f"length must be {GAP + GRAM} or more")
+    if not GAP + GRAM <= length < 1 << 20:
+        raise ValueError(f"length must be {GAP + GRAM} or more and less than {1 << 20}")
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row"))
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(8, -(-size // BUCKET_BYTES))
-    found = cut(_detect_map(rows, buckets, length).groupBy("bucket").applyInArrow(_detect(length), FOUND))
-
-    def with_text(step: int) -> DataFrame:
-        places = found.where(F.col("step") == step).groupBy("row").agg(F.collect_list(F.struct("at", "wanted")).alias("places"))
-        return rows.select("row", "text").join(places.hint("shuffle_hash"), "row").select("row", "text", "places")
-
-    merged = _runs(with_text(SORT), buckets, length).groupBy("bucket").applyInArrow(_merge(length), "row long, at int, low int, high int")
-    covered = found.where(F.col("step") == SETTLED).select("row", "at", "low", "high").union(merged)
-    if not found.where(F.col("step") == WINDOWS).isEmpty():
-        met = _window_map(with_text(WINDOWS), buckets, length).groupBy("bucket").applyInArrow(_detect(length), FOUND)
-        covered = covered.union(met.where(F.col("step") == SETTLED).select("row", "at", "low", "high"))
-    spans = covered.groupBy("row").agg(F.collect_list(F.struct((F.col("at") - F.col("high")).alias("a"), (F.col("at") - F.col("low") + length).alias("b"))).alias("spans"))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col))
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), key.alias("row")).toDF("id", "text", "row")
+    with scratch():
+        found = cut(_detected(_detect_map(rows, length), length))
+        steps = {r.step: r.n for r in found.groupBy("step").agg(F.count("*").alias("n")).collect()}
+
+        def with_text(step: int) -> DataFrame:
+            places = found.where(F.col("step") == step).groupBy("row").agg(F.collect_set(F.struct("at", "wanted")).alias("places"))
+            return rows.select("row", "text").join(places.hint("shuffle_hash"), "row").select("row", "text", "places")
+
+        covered = found.where(F.col("step") == SETTLED).select("row", "at", "low", "high")
+        if steps.get(SORT):
+            buckets = max(8, -(-steps[SORT] // MERGED))
+            covered = covered.union(_runs(with_text(SORT), buckets, length).groupBy("bucket").applyInArrow(_merge(length), "row long, at int, low int, high int"))
+        if steps.get(WINDOWS):
+            met = _detected(_window_map(with_text(WINDOWS), length), length)
+            covered = covered.union(met.where(F.col("step") == SETTLED).select("row", "at", "low", "high"))
+        spans = covered.groupBy("row").agg(F.collect_set(F.struct((F.col("at") - F.col("high")).alias("a"), (F.col("at") - F.col("low") + length).alias("b"))).alias("spans"))
+        spans = kept(cut(spans))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -358,6 +380,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names[: 1 + len(columns)])
 
-    whole = rows.join(spans.hint("shuffle_hash"), "row", "left").select(id_col, "text", "spans")
+    whole = rows.join(spans.hint("shuffle_hash"), "row", "left").select("id", "text", "spans")
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_output
     return whole.mapInArrow(finish, schema)
