@@ -1,13 +1,18 @@
 """Operator 10: removal of repeated lines by overlapping three-line windows. DataFrame functions only.
 
 Every run of ``window`` consecutive lines is hashed (64 bits). Of equal windows anywhere in the table the
-first by (id, line) stays; the lines that the others cover are merged and removed. The first occurrence of
+first by (id, document, line) stays; the lines that the others cover are merged and removed. The first occurrence of
 any line content always stays. Counting is pre-aggregated before the shuffle and the windows' table
 carries no text, so a window that a third of the rows share costs no task more than the others.
 
+A document is told by a hash of its id and text. Rows that share an id are documents of their own if their texts
+differ, ordered by that hash; rows that are the same in both have the same windows, so they count as one document and
+all lose the same lines.
+
 Defined cases: a null text stays null with no lines removed; a text of fewer lines than a window stays as
-it is (the empty text has one line); a window that overlaps itself keeps its first lines; rows that share
-an id count as one document; an empty table gives no rows; other columns pass through unchanged.
+it is (the empty text has one line); a window that overlaps itself keeps its first lines; null ids come after all
+others, so their windows are first only where no row with an id has them; an empty table gives no rows; other columns
+pass through unchanged, whatever their names, but n_lines and n_removed, which are replaced if counts are asked for.
 """
 
 from __future__ import annotations
@@ -20,31 +25,35 @@ from ledgerloom.llm.common import cut
 WINDOW = 3
 
 
-def _lines(text_col: str) -> F.Column:
-    return F.split(F.col(text_col), "\n")
+def _key(id_col: str, text_col: str) -> F.Column:
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col))
 
 
-def covered_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """id_col and _covered, the sorted positions (from 0) of the lines to remove, for documents that have any."""
-    lines = docs.select(F.col(id_col).alias("_id"), _lines(text_col).alias("_lines")).where(F.size("_lines") >= window)
-    hashes = F.transform(F.sequence(F.lit(1), F.size("_lines") - (window - 1)), lambda i: F.xxhash64(F.slice("_lines", i, window)))
-    found = cut(lines.select("_id", F.posexplode(hashes).alias("_at", "_hash")))
-    place = F.struct("_id", "_at")
-    twice = found.groupBy("_hash").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    later = found.join(twice, "_hash").where(place != F.col("_first"))
-    spans = F.flatten(F.transform(F.collect_set("_at"), lambda p: F.sequence(p, p + (window - 1))))
-    return later.groupBy("_id").agg(F.array_sort(F.array_distinct(spans)).alias("_covered")).withColumnRenamed("_id", id_col)
+def _covered(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """doc (the key of a row) and covered, the sorted positions (from 0) of the lines to remove, for documents that have any."""
+    lines = docs.select(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), _key(id_col, text_col).alias("doc"), F.split(F.col(text_col), "\n").alias("lines"))
+    hashes = F.transform(F.sequence(F.lit(1), F.size("lines") - (window - 1)), lambda i: F.xxhash64(F.slice("lines", i, window)))
+    found = cut(lines.where(F.size("lines") >= window).select("no_id", "id", "doc", F.posexplode(hashes).alias("at", "hash")))
+    place, same = F.struct("no_id", "id", "doc", "at"), F.struct("doc", "at")
+    of_hash = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    twice = of_hash.where("first.doc != last.doc OR first.at != last.at").select("hash", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
+    later = found.join(twice, "hash").where(same != F.struct("first_doc", "first_at"))
+    spans = F.flatten(F.transform(F.collect_set("at"), lambda p: F.sequence(p, p + (window - 1))))
+    return later.groupBy("doc").agg(F.array_sort(F.array_distinct(spans)).alias("covered"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with the text rewritten, and n_lines and n_removed beside it."""
-    covered = covered_lines(docs, id_col=id_col, text_col=text_col, window=window).hint("shuffle_hash")
-    lines, size = _lines(text_col), F.size(_lines(text_col))
-    kept = F.array_except(F.sequence(F.lit(0), size - 1), F.col("_covered"))
-    text = F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    joined = docs.join(covered, id_col, "left")
-    added = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long"), "n_removed": F.coalesce(F.size("_covered"), F.lit(0)).cast("long")}
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in added], *[c.alias(n) for n, c in added.items()])
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, counts: bool = True) -> DataFrame:
+    """docs with the text rewritten, and (with counts) n_lines and n_removed beside it."""
+    covered = _covered(docs, id_col, text_col, window).hint("shuffle_hash")
+    # The columns of docs travel in a struct, so that no name of theirs can clash with one of ours.
+    rows = docs.select(_key(id_col, text_col).alias("doc"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    rows = rows.join(covered, "doc", "left").select("row", "covered", F.split(F.col("row")[text_col], "\n").alias("lines"))
+    size = F.size("lines")
+    left = F.array_except(F.sequence(F.lit(0), size - 1), F.col("covered"))
+    old = F.col("row")[text_col]
+    text = F.when(F.col("covered").isNull(), old).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    added = {} if not counts else {"n_lines": F.when(old.isNull(), 0).otherwise(size).cast("long"), "n_removed": F.coalesce(F.size("covered"), F.lit(0)).cast("long")}
+    return rows.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in added], *[c.alias(n) for n, c in added.items()])
 
 
 SQL = """
