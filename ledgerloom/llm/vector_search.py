@@ -4,8 +4,8 @@
    ``shard_rows`` vectors is dealt to several shards, so a third of all rows in one place hurts no task. Each cluster has
    a ball: its centre and the greatest distance from it. These are few, so they are broadcast.
 2. A query orders the clusters by the greatest inner product that their ball allows
-   (query . centre + |query| * radius) and visits them in rounds: the first, the second, the next two, the next
-   four and so on. It is sent to a cluster only while the bound reaches its kth score so far, which the
+   (query . centre + |query| * radius) and visits their shards in rounds: the first, the second, the next two, the next
+   four and so on. It is sent to a shard only while the bound reaches its kth score so far, which the
    rounds before have found and share.
 3. One task holds one shard and one block of the queries that visit it. It builds a ball tree and goes through the leaves
    of each query in the order of their upper bound until that falls below the kth score. What
@@ -173,24 +173,27 @@ def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, id_col: str = "ve
     dealt_to = dealt.join(F.broadcast(parts), "c").withColumn("s", F.pmod(F.xxhash64("row"), "shards"))
 
     def visits(first: int, last: int):
-        """The clusters first to last, in the order of their bounds, of each query (row, id, v, kth) that may still find something there."""
+        """The shards first to last, in the order of their clusters' bounds, of each query (row, id, v, kth) that may still find something there: c and from low to high."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 kth = np.asarray(batch.column(batch.schema.get_field_index("kth")))
                 for d, at, q in _lengths(batch):
-                    if d in balls:
-                        b = balls[d]
-                        norms = np.sqrt((q**2).sum(1))[:, None]
+                    b = balls.get(d)
+                    if b is None:
+                        bound, numbers = np.full((len(at), 1), np.inf), np.array([NONE])
+                    else:
+                        norms, numbers = np.sqrt((q**2).sum(1))[:, None], b.numbers
                         bound = q @ b.centres.T + norms * b.radii
                         bound += 1e-9 * (np.abs(bound) + norms * (b.radii + np.sqrt((b.centres**2).sum(1))) + 1)
-                        turn = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
-                        i, j = np.nonzero(np.take_along_axis(bound, turn, 1) >= kth[at][:, None])
-                        number = b.numbers[turn[i, j]]
-                    else:
-                        i, number = (np.arange(len(at)) if first == 0 else np.zeros(0, np.int64)), NONE
+                    turn = np.argsort(-bound, axis=1, kind="stable")
+                    size = np.array([shards.get(c, 0) for c in numbers.tolist()])[turn]
+                    end = np.cumsum(size, axis=1)
+                    low, high = np.maximum(first, end - size) - (end - size), np.minimum(last, end) - (end - size)
+                    i, j = np.nonzero((high > low) & (np.take_along_axis(bound, turn, 1) >= kth[at][:, None]))
                     picked = batch.take(pa.array(at[i]))
-                    yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.broadcast_to(number, len(i)).astype(np.int32))], [*batch.schema.names, "c"])
+                    added = [numbers[turn[i, j]].astype(np.int32), low[i, j], high[i, j] - 1]
+                    yield pa.RecordBatch.from_arrays([*picked.columns, *map(pa.array, added)], [*batch.schema.names, "c", "low", "high"])
 
         return run
 
@@ -214,16 +217,16 @@ def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, id_col: str = "ve
     asked = dealt.where(F.col("id") % query_mod == 0).select("row", "id", "v")
     best: DataFrame | None = None
     first, last = 0, 1
-    while first < len(shards):
+    while first < sum(shards.values()):
         known = asked.withColumn("kth", F.lit(float("-inf")))
         if best is not None:
             kth = best.where(F.col("rank") == k).select("row", F.col("score").cast("double").alias("kth"))
             known = asked.join(kth, "row", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
-        going = cut(known.mapInArrow(visits(first, last), "row long, id long, v array<long>, kth double, c int"))
-        load = going.groupBy("c").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
-        plan = F.broadcast(load.join(parts, "c"))  # max_clusters rows and one at most
-        left = going.join(plan, "c").withColumn("b", F.pmod(F.xxhash64("row"), "blocks")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-        right = dealt_to.drop("shards").join(plan.drop("shards"), "c").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        going = cut(known.mapInArrow(visits(first, last), "row long, id long, v array<long>, kth double, c int, low long, high long"))
+        left = going.withColumn("s", F.explode(F.sequence("low", "high")))
+        plan = left.groupBy("c", "s").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+        left = left.join(plan, ["c", "s"]).withColumn("b", F.pmod(F.xxhash64("row"), "blocks"))
+        right = dealt_to.join(plan, ["c", "s"]).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         # Both sides come from one table, so one of them gets columns of its own.
         right = right.select(*[F.col(c).alias(f"right_{c}") for c in ("c", "s", "b", "id", "row", "v")], F.size("v").alias("right_d"))
         left = left.select("c", "s", "b", "id", "row", "v", "kth", F.size("v").alias("d"))
