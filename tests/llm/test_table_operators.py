@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import licenses, line_dedup, mixing, queries, url_lists, vector_search
+from ledgerloom.llm import common, licenses, line_dedup, mixing, queries, url_lists, vector_search
+from ledgerloom.llm.sentencepiece_codec import Codec, default_model
+from tests.llm.test_text_operators import brute_components, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,9 +57,24 @@ def test_line_dedup(spark):
     assert found.columns == ["doc_id", "text", "_hash", "n_lines", "n_removed"]
     again = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc")], "doc_id int, text string")
     assert [r.text for r in line_dedup.dedup_lines(again).collect()] == ["a\nb\nc"] * 2
+    assert line_dedup.dedup_lines(docs, counts=False).columns == docs.columns
     assert line_dedup.dedup_lines(docs.where("doc_id < 0")).count() == 0
 
 
+def test_line_dedup_of_shared_and_null_ids(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 1, 2, 3, 3]), "\n".join(rng.choices("abc", k=rng.randint(0, 9)))) for _ in range(60)]
+    rows += [(1, "a\nb\nc\nd\ne\nf"), (1, "q\nr\ns\na\nb\nc"), (None, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, [k], "y") for k, (i, t) in enumerate(rows)], "doc_id int, text string, _covered array<int>, _id string").repartition(4)
+    keys = {tuple(r[:2]): r[2] for r in docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull(), "text")).collect()}
+    places = sorted((i is None, i or 0, keys[i, t], i, t) for i, t in set(rows) if t is not None)
+    texts = brute_lines({k: t for k, (*_, t) in enumerate(places)})
+    wanted = {(i, t): texts[k] for k, (*_, i, t) in enumerate(places)} | {(None, None): None, (7, None): None}
+    found = {r._covered[0]: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert found == {k: wanted[r] for k, r in enumerate(rows)}
+    assert found[60] == "a\nb\nc\nd\ne\nf" or "d\ne\nf" in found[60]
+
+
 # Operator 6
 
 
@@ -125,33 +142,68 @@ def test_gate_of_licenses_keeps_all_pairs(spark, monkeypatch):
 # Operator 8
 
 
-def test_mixing_meets_its_targets(spark):
+def raked(cells, wanted, sweeps=400):
+    """Ratios of cells {(source, language, topic): tokens} by plain loops."""
+    ratio = dict.fromkeys(cells, 1.0)
+    for _ in range(sweeps):
+        for d in range(3):
+            for value, aim in wanted[d].items():
+                now = sum(n * ratio[c] for c, n in cells.items() if c[d] == value)
+                for c in cells:
+                    if c[d] == value and now:
+                        ratio[c] *= aim / now
+    return ratio
+
+
+def test_mixing_like_plain_raking(spark):
     rng = random.Random(8)
-    rows = [(k, " ".join(["w"] * rng.randint(0, 60)) + rng.choice(["", " 7", " | a | b"]), rng.choice("AAAAAB") if k % 9 else None, rng.choice(["en", "fr"]), k) for k in range(600)]
-    docs = spark.createDataFrame([*rows, (1000, None, "A", "en", 1), (1001, "", "B", "fr", 1)], "doc_id long, text string, source string, lang string, weight int")
-    mixture = mixing.rake(docs, sweeps=60, tolerance=1e-9)
+    rows = [(k, " ".join(["w"] * rng.randint(0, 60)) + rng.choice(["", " 7", " | a | b"]), rng.choice("AAAAAB") if k % 9 else None, rng.choice(["en", "fr"]), k, "y") for k in range(600)]
+    docs = spark.createDataFrame([*rows, (1000, None, "A", "en", 1, "y"), (1001, "", "B", "fr", 1, "y"), (None, "w", None, None, None, None)], "doc_id long, text string, source string, lang string, n int, row string").repartition(5)
+    mixture = mixing.rake(docs)
     out = mixing.sample(docs, mixture).collect()
-    assert len(out) == 602 and mixture.change < 1e-6
-    total = sum(r.n_tokens for r in out)
-    for dimension in ("source", "lang", "topic"):
-        natural, raked = Counter(), Counter()
-        for r in out:
-            natural[r[dimension] or ""] += r.n_tokens
-            raked[r[dimension] or ""] += r.n_tokens * r.ratio
+    assert len(out) == 603 and mixture.change < 1e-6 and out[0].row in ("y", None)
+    cells = Counter()
+    for r in out:
+        cells[r.source or "", r.lang or "", r.topic] += r.n_tokens
+    wanted = []
+    for d in range(3):
+        natural = Counter()
+        for c, n in cells.items():
+            natural[c[d]] += n
         shares = {k: v**mixing.TEMPER for k, v in natural.items() if v}
-        for k, v in shares.items():
-            assert math.isclose(raked[k], v / sum(shares.values()) * total, rel_tol=1e-4)
+        wanted.append({k: v / sum(shares.values()) * sum(natural.values()) for k, v in shares.items()})
+    ratio = raked(cells, wanted)
+    greatest = max(ratio[c] for c, n in cells.items() if n)
     for r in out:
-        assert math.isclose(r.probability * r.weight, r.ratio, abs_tol=1e-12)
-    kept = sum(r.n_tokens * r.weight for r in out if r.sampled)
-    assert abs(kept / total - 1) < 0.15
-    same = {r.doc_id: r.sampled for r in mixing.sample(docs.repartition(7), mixture).collect()}
-    assert same == {r.doc_id: r.sampled for r in out}
+        c = r.source or "", r.lang or "", r.topic
+        assert not cells[c] or math.isclose(r.ratio, ratio[c], rel_tol=1e-4) and math.isclose(r.probability, ratio[c] / greatest, rel_tol=1e-4)
+    same = {(r.doc_id, r.sampled) for r in mixing.sample(docs.repartition(7), mixture).collect()}
+    assert same == {(r.doc_id, r.sampled) for r in out}
     fixed = mixing.rake(docs, {"source": {"A": 1.0}})
     assert {r.ratio for r in mixing.sample(docs, fixed).where("source = 'B' AND n_tokens > 0").collect()} == {0.0}
     assert mixing.sample(docs.where("doc_id < 0"), mixing.rake(docs.where("doc_id < 0"))).count() == 0
-    with pytest.raises(ValueError, match="more than 1 values"):
-        mixing.rake(docs, max_values=1)
+    with pytest.raises(ValueError, match="more than 1 cells"):
+        mixing.rake(docs, max_cells=1)
+
+
+def test_mixing_sample_meets_skewed_targets(spark):
+    rng = random.Random(1)
+    rows = [(k, " ".join(["w"] * 20) + rng.choice(["", "", "", " | a", " 7"]), "hot" if k % 3 == 0 else f"s{k % 19}", rng.choice(["en", "en", "fr"]), rng.choice("xyz")) for k in range(40000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, subject string").repartition(3)
+    targets = {"topic": {"x": 0.6, "y": 0.3, "z": 0.1}, "lang": {"en": 0.3, "fr": 0.7}}
+    mixture = mixing.rake(docs, targets, topic=F.col("subject"))
+    taken = [r for r in mixing.sample(docs, mixture, topic=F.col("subject")).collect() if r.sampled]
+    total = sum(r.n_tokens for r in taken)
+    assert abs(total / sum(len(r[1].split()) for r in rows) / mixture.sampled_share() - 1) < 0.05
+    for d, shares in targets.items():
+        for value, share in shares.items():
+            assert abs(sum(r.n_tokens for r in taken if r[d] == value) / total - share) < 0.02
+    natural = Counter()
+    for r in rows:
+        natural[r[2]] += len(r[1].split())
+    aims = {k: v**mixing.TEMPER for k, v in natural.items()}
+    for k, v in aims.items():
+        assert abs(sum(r.n_tokens for r in taken if r.source == k) / total - v / sum(aims.values())) < 0.02
 
 
 def test_mixing_stage_meets_its_targets_without_weights(spark):
@@ -169,7 +221,7 @@ def test_mixing_stage_meets_its_targets_without_weights(spark):
         for k, v in aims.items():
             assert abs(real[k] / sum(real.values()) - v / sum(aims.values())) < 0.012
     few = spark.createDataFrame([(1, "w", "A", "en")], docs.schema)
-    mixture = mixing.Mixture({"source": {"A": 3.0}, "lang": {"en": 1.0}, "topic": {"prose": 1.0}}, 1, 0.0)
+    mixture = mixing.Mixture({}, [("A", "en", "prose", 1, 3.0)], 1, 0.0)
     assert mixing.resample(few, mixture).count() == 3
 
 
@@ -186,20 +238,37 @@ def brute_top(vectors, k=20):
     return out
 
 
-@pytest.mark.parametrize(("shard_rows", "block_rows"), [(1024, 1024), (37, 5)])
-def test_top_k(spark, shard_rows, block_rows):
+@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 37, "block_rows": 5}, {"shard_rows": 10, "max_clusters": 3}])
+def test_top_k(spark, sizes):
     rng = np.random.default_rng(3)
     near = rng.normal(size=(4, 6))
     vectors = [(k, [float(np.float32(x)) for x in near[k % 4] * 0.4 + rng.normal(size=6) * 0.1]) for k in range(300)]
     vectors += [(k, [0.25] * 6) for k in range(300, 360)]
     vectors += [(380, None), (381, [None] * 6), (382, [float("nan")] * 6), (383, [float("inf")] + [0.0] * 5), (400, [1.0, 2.0]), (401, [2.0, 1.0]), (420, []), (421, [])]
-    rows = [(k, v, 0) for k, v in vectors]
-    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
-    found = vector_search.top_k(docs, shard_rows=shard_rows, block_rows=block_rows).collect()
+    rows = [(k, v, 0, 0) for k, v in vectors]
+    docs = spark.createDataFrame([*rows, (None, [0.25] * 6, 0, 0)], "vec_id long, embedding array<float>, row int, kth int").repartition(5)
+    found = vector_search.top_k(docs, **sizes).collect()
     assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found} == brute_top(vectors)
     assert vector_search.top_k(docs.where("false")).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [1.0]), (2, [2.0])], "vec_id long, embedding array<double>").repartition(3)
+    each = [(0, 1, 2, 8192), (0, 2, 0, 4096), (0, 3, 1, 4096)]
+    assert sorted(map(tuple, vector_search.top_k(docs).collect())) == sorted(each * 2)
+
+
+def test_top_k_sends_no_pair_below_its_bound(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(16, 8)) * 4
+    vectors = [(k, [float(x) for x in centres[k % 16] + rng.normal(size=8) * 0.05]) for k in range(4000)]
+    docs = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
+    made = []
+    found = vector_search.top_k(docs, shard_rows=125, made=made)
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found.collect()} == brute_top(vectors)
+    assert sum(made) < 200 * 32 * 20 / 5  # of queries x shards x k
+
+
 def test_bounds_skip_leaves():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(c, 0.05, size=(200, 8)) for c in rng.normal(size=(10, 8)) * 5])
@@ -227,6 +296,15 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
         if k == 1:
             texts = {r.doc_id: r.text for r in kept.collect()}
             assert {r.doc_id: r.text for r in after.collect()} == brute_lines(texts)
+        if k == 2:
+            sets = {r.doc_id: shingles(r.text) for r in kept.collect()}
+            least = brute_components([r.text for r in sorted(kept.collect(), key=lambda r: r.doc_id)])
+            order = sorted(sets)
+            assert ids == {order[root] for _, root in least.values()} | {i for i in sets if not sets[i]}
+        if k == 4:
+            library = Codec(default_model()).library
+            rows = sorted((r.doc_id, len(library.encode(r.text or ""))) for r in kept.collect())
+            assert sorted((r.doc_id, r.n_tokens) for r in after.collect()) == rows
         counts.append(after.count())
         kept = after
     assert counts == sorted(counts, reverse=True) and counts[0] == counts[1] and counts[3] == counts[4]
@@ -237,6 +315,38 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} == {tuple(r) for r in kept.collect()}
 
 
+def test_pipeline_does_each_stage_once_and_leaves_one_table(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(spark, docs, sf_dir):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return docs.mapInArrow(run, docs.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", counted), *corpus_pipeline.STAGES[1:]])
+    common.clear()
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0 and seen.value == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert sum(map(len, common._WRITTEN)) == 1
+
+
+def test_pipeline_keeps_columns_and_null_ids(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(["rain", "sun", "wind", "sea", "of", "the"]) + str(rng.randrange(99)) for _ in range(80))
+    one = text()
+    rows = [(k, text(), "en", "s", 5, "mine", 7) for k in range(30)] + [(None, text(), "en", "s", 5, "mine", 7), (40, one, "en", "s", 5, "mine", 7), (None, one + " x", "en", "s", 5, "mine", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, kept string, row int")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:-1]):
+        docs = common.cut(stage(spark, docs, SF))
+        kept = docs.collect() if k < 2 else kept
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_words", "kept", "row"]
+        assert {tuple(r)[4:] for r in docs.collect()} == {(5, "mine", 7)}
+    assert docs.count() <= 32 and len(kept) == 32 and sum(r.doc_id is None for r in kept) == 1 and one in {r.text for r in kept}
+
+
 def test_pipeline_of_nothing(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
