@@ -5,11 +5,14 @@ words that stand in content lines decides whether it is kept. Counting rules com
 
 The field is trained here, by conditional likelihood, on a bounded sample: at most ``train_docs``
 documents of each quality label (lowest crc32 of the id first), and of these at most ``train_lines``
-lines each. A document's label serves as the label of its lines. Scoring covers every line of every text.
+lines each, from stretches spread over the whole text. A document's label serves as the label of its lines. One task
+trains. Scoring covers every line of every text.
 
 Defined cases: a null or empty text has no words and fails the base rules; whitespace alone likewise; ties
 between the labels go to content; repeated rows each give a row; with no labels, or labels of one class
-only, all lines count as content; an empty table gives no rows; other columns are not read.
+only, all lines count as content; an empty table gives no rows; other columns are not read, whatever their names; labels
+without an id, or other than 0 and 1, are ignored. With pass_through, columns named like the counts are replaced;
+``keep_good`` leaves all as they are.
 """
 
 from __future__ import annotations
@@ -147,45 +150,68 @@ def count(data: np.ndarray, offsets: np.ndarray, *, lines_too: bool = True) -> C
     )
 
 
-def train(sequences: list[np.ndarray], labels: np.ndarray, *, rounds: int = 150, rate: float = 0.1, l2: float = 1e-3) -> Field | None:
-    """Maximises the conditional likelihood by forward-backward sums over all sequences at once."""
+@dataclass
+class Batch:
+    """Line sequences of about the same length, padded to the longest."""
+
+    x: np.ndarray  # sequence, line, feature
+    there: np.ndarray  # sequence, line
+    label: np.ndarray
+    weight: np.ndarray  # of each line of a sequence
+
+
+def batches_of(sequences: list[np.ndarray], labels: np.ndarray, shares: np.ndarray) -> list[Batch]:
+    """Both classes weigh the same, and each sequence its share, however many lines it has."""
+    sums = np.bincount(labels, shares, minlength=2)
+    lengths = np.array([len(s) for s in sequences])
+    out = []
+    for size in np.unique(np.ceil(np.log2(lengths))):
+        at = np.flatnonzero(np.ceil(np.log2(lengths)) == size)
+        x, there = np.zeros((len(at), lengths[at].max(), FEATURES)), np.zeros((len(at), lengths[at].max()), bool)
+        for k, s in enumerate(at):
+            x[k, : lengths[s]] = sequences[s]
+            there[k, : lengths[s]] = True
+        out.append(Batch(x, there, labels[at], 0.5 * shares[at] / sums[labels[at]] / lengths[at]))
+    return out
+
+
+def likelihood(theta: np.ndarray, b: Batch) -> tuple[float, np.ndarray]:
+    """The weighted conditional log-likelihood of a batch and its gradient, by forward-backward sums."""
+    count_, length = b.there.shape
+    w, moves = theta[:-4].reshape(FEATURES, 2), theta[-4:].reshape(2, 2)
+    node = b.x @ w
+    forward = np.zeros((count_, length, 2))
+    forward[:, 0] = node[:, 0]
+    for t in range(1, length):
+        up = np.logaddexp(forward[:, t - 1, 0, None] + moves[0], forward[:, t - 1, 1, None] + moves[1])
+        forward[:, t] = np.where(b.there[:, t, None], up + node[:, t], forward[:, t - 1])
+    total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+    backward = np.zeros((count_, length, 2))
+    for t in range(length - 2, -1, -1):
+        on = node[:, t + 1] + backward[:, t + 1]
+        down = np.logaddexp(moves[:, 0] + on[:, 0, None], moves[:, 1] + on[:, 1, None])
+        backward[:, t] = np.where(b.there[:, t + 1, None], down, 0)
+    marginal = np.exp(forward + backward - total[:, None, None]) * b.there[:, :, None]
+    target = np.eye(2)[b.label][:, None, :] * b.there[:, :, None]
+    of_nodes = np.einsum("n,ntf,nts->fs", b.weight, b.x, target - marginal)
+    pair = np.exp(forward[:, :-1, :, None] + moves[None, None] + (node + backward)[:, 1:, None, :] - total[:, None, None, None]) * b.there[:, 1:, None, None]
+    of_moves = -np.einsum("n,ntab->ab", b.weight, pair)
+    steps = b.there[:, 1:].sum(1)
+    for c in (0, 1):
+        of_moves[c, c] += (b.weight * steps)[b.label == c].sum()
+    own = (node * target).sum((1, 2)) + steps * moves[b.label, b.label]
+    return float((b.weight * (own - total)).sum()), np.concatenate([of_nodes.ravel(), of_moves.ravel()])
+
+
+def train(sequences: list[np.ndarray], labels: np.ndarray, shares: np.ndarray | None = None, *, rounds: int = 150, rate: float = 0.1, l2: float = 1e-3) -> Field | None:
+    """Maximises the conditional likelihood of all sequences, each of one line or more and with a label of 0 or 1."""
     if not len(labels) or labels.min() == labels.max():
         return None
-    count_, length = len(sequences), max(map(len, sequences))
-    x = np.zeros((count_, length, FEATURES))
-    there = np.zeros((count_, length), bool)
-    for k, s in enumerate(sequences):
-        x[k, : len(s)] = s
-        there[k, : len(s)] = True
+    parts = batches_of(sequences, labels, np.ones(len(labels)) if shares is None else shares)
     theta = np.zeros(FEATURES * 2 + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    # Both classes weigh the same, and each document as one, however many lines it has.
-    weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum()) / there.sum(1)
-    target = np.zeros((count_, length, 2))
-    target[np.arange(count_)[:, None], np.arange(length)[None, :], labels[:, None]] = 1
-    target *= there[:, :, None]
-    pairs = there[:, 1:].sum(1)
     for step in range(1, rounds + 1):
-        w, moves = theta[:-4].reshape(FEATURES, 2), theta[-4:].reshape(2, 2)
-        node = x @ w
-        forward = np.zeros((count_, length, 2))
-        forward[:, 0] = node[:, 0]
-        for t in range(1, length):
-            up = np.logaddexp(forward[:, t - 1, 0, None] + moves[0], forward[:, t - 1, 1, None] + moves[1])
-            forward[:, t] = np.where(there[:, t, None], up + node[:, t], forward[:, t - 1])
-        total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        backward = np.zeros((count_, length, 2))
-        for t in range(length - 2, -1, -1):
-            on = node[:, t + 1] + backward[:, t + 1]
-            down = np.logaddexp(moves[:, 0] + on[:, 0, None], moves[:, 1] + on[:, 1, None])
-            backward[:, t] = np.where(there[:, t + 1, None], down, 0)
-        marginal = np.exp(forward + backward - total[:, None, None]) * there[:, :, None]
-        gradient = np.einsum("nt,ntf,nts->fs", weight[:, None] * there, x, target - marginal)
-        pair = np.exp(forward[:, :-1, :, None] + moves[None, None] + (node + backward)[:, 1:, None, :] - total[:, None, None, None]) * there[:, 1:, None, None]
-        on_moves = -np.einsum("n,ntab->ab", weight, pair)
-        for c in (0, 1):
-            on_moves[c, c] += (weight * pairs)[labels == c].sum()
-        g = np.concatenate([gradient.ravel(), on_moves.ravel()]) - l2 * theta
+        g = sum(likelihood(theta, b)[1] for b in parts) - l2 * theta
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -219,22 +245,39 @@ def content_words(counted: Counted, field: Field | None, n: int) -> np.ndarray:
     return np.bincount(counted.line_docs, counted.line_words * np.array(labels), minlength=n).astype(np.int64)
 
 
+def stretches(n: int, most: int) -> list[tuple[int, int]]:
+    """Lines of a text of n lines to train on: all, or four stretches of most / 4 lines, spread from its first to its last line."""
+    if n <= most:
+        return [(0, n)]
+    size = max(1, most // 4)
+    return [(k * (n - size) // 3, k * (n - size) // 3 + size) for k in range(4)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 2000, train_lines: int = 64) -> Field | None:
-    order = [F.crc32(F.col(id_col).cast("string")), F.col(id_col)]
-    picked = [labels.where(F.col(label_col) == c).select(id_col, F.col(label_col).cast("int").alias("_label")).distinct().orderBy(*order).limit(train_docs) for c in (0, 1)]
+    """The field, trained in one task on the bounded sample."""
+    picked = [labels.where(F.col(label_col) == c).select(F.col(id_col).alias("id"), F.lit(c).alias("label")).distinct().orderBy(F.crc32(F.col("id").cast("string")), "id").limit(train_docs) for c in (0, 1)]
     sample = picked[0].union(picked[1])  # at most 2 * train_docs rows, so it may be broadcast
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in text_chunks(batch.column(1)):
                 counted = count(data, offsets)
                 borders = np.searchsorted(counted.line_docs, np.arange(last - first + 1))
-                rows = [counted.line_features[a : min(b, a + train_lines)].astype(np.float32).tobytes() for a, b in zip(borders, borders[1:])]  # noqa: B905
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(rows, pa.binary())], ["_label", "features"])
+                rows = []
+                for label, a, b in zip(batch.column(0).slice(first, last - first).to_pylist(), borders, borders[1:]):  # noqa: B905
+                    of_doc = stretches(int(b - a), train_lines)
+                    rows += [(label, 1 / len(of_doc), counted.line_features[a + x : a + y].astype(np.float32).tobytes()) for x, y in of_doc]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.binary()), strict=True)], ["label", "share", "features"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        field = train([np.frombuffer(x, np.float32).reshape(-1, FEATURES).astype(float) for *_, x in rows], np.array([r[0] for r in rows], int), np.array([r[1] for r in rows]))
+        if field is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([field.weights.tobytes()], pa.binary()), pa.array([field.moves.tobytes()], pa.binary())], ["weights", "moves"])
 
-    found = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select("_label", text_col).mapInArrow(run, "_label int, features binary").collect()
-    found = sorted(((r[0], bytes(r[1])) for r in found))
-    return train([np.frombuffer(f, np.float32).reshape(-1, FEATURES).astype(float) for _, f in found], np.array([c for c, _ in found]))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text")
+    found = rows.mapInArrow(described, "label int, share double, features binary").repartition(1).mapInArrow(learn, "weights binary, moves binary").first()
+    return Field(np.frombuffer(found[0]).reshape(FEATURES, 2), np.frombuffer(found[1]).reshape(2, 2)) if found else None
 
 
 def quality_rules(docs: DataFrame, field: Field | None, *, id_col: str = "doc_id", text_col: str = "text", min_content_percent: int = MIN_CONTENT_PERCENT, pass_through: bool = False) -> DataFrame:
@@ -261,3 +304,11 @@ def quality_rules(docs: DataFrame, field: Field | None, *, id_col: str = "doc_id
     carried = range(len(source.columns)) if pass_through else [0]
     schema = StructType([source.schema[k] for k in carried] + added)
     return source.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, field: Field | None, *, id_col: str = "doc_id", text_col: str = "text", min_content_percent: int = MIN_CONTENT_PERCENT) -> DataFrame:
+    """The rows of docs that are kept, with all columns as they are, whatever their names."""
+    inner = [f"c{k}" for k in range(len(docs.columns))]
+    named = dict(zip(docs.columns, inner, strict=True))
+    found = quality_rules(docs.toDF(*inner), field, id_col=named[id_col], text_col=named[text_col], min_content_percent=min_content_percent, pass_through=True)
+    return found.where("kept").select(*[F.col(i).alias(c) for c, i in named.items()])
