@@ -7,8 +7,9 @@ those are broadcast (2**bits at most). It reads a bounded sample: at most ``trai
 documents of each class (lowest crc32 of the id first), never one whose crc32(id) mod 5 is 0.
 
 Defined cases: a null or empty text has no features and gets the score of the bias; with no labels at all,
-every score is 0 and nothing is toxic; a score of exactly 0.5 predicts 1; repeated rows each give a row; an empty
-table gives no rows; other columns are not read.
+every score is 0 and nothing is toxic; with labels of one class the bias leans to that class; a null id has no label
+and is not held out; a score of exactly 0.5 predicts 1; rows with equal features have equal scores; repeated rows each
+give a row; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, epochs: int =
 
 
 def held_out(id_col: str) -> F.Column:
-    return F.crc32(F.col(id_col).cast("string")) % FOLDS == 0
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 6000, bits: int = BITS, **options: float) -> tuple[np.ndarray, np.ndarray, float]:
