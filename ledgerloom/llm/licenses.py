@@ -17,8 +17,9 @@ licence files and texts. A term that none of them has is in 0 units. No unit is
 those go whose cosine provably cannot reach ``min_cosine`` (see ``_core`` and ``_reachable``).
 
 Defined cases: a null or empty text has no unit; a null path has no directory and inherits nothing;
-ties go to the greater name in alphabetical order; repeated rows each give a row with the same result;
-an empty table gives no rows; other columns are not read.
+of units with one score, and of texts with one score, the greater name in alphabetical order counts; texts of any
+length are taken whole; rows that share an id share the best of their units, repeated rows each give a row; a null id
+has no unit; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from importlib import resources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.common import cut, kept, scratch, table
 
 #: Short notices by which these licences are announced.
 TEMPLATES = {
@@ -138,14 +139,15 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     notices = sorted((templates or TEMPLATES).items())
     text = F.regexp_replace(text_col, "\r\n?", "\n")
     lines = files.select(F.col(id_col).alias("_id"), F.explode(F.split(text_col, "\n")).alias("unit")).select("_id", F.trim("unit").alias("unit"))
-    marked = cut(lines.where(F.lower("unit").rlike(MARKER)).select("unit"))
     whole = F.when(F.col(path_col).rlike(LICENSE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
     blocks = files.select(F.col(id_col).alias("_id"), F.explode(F.concat(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1)), whole)).alias("unit"))
-    found = best_matches(lines, marked, notices, min_cosine)
-    found = found.union(best_matches(blocks, blocks, notices + (license_texts() if texts is None else texts), min_cosine, n_notices=len(notices)))
-    own = found.groupBy("_id").agg(F.max("best").alias("_own"))
     placed = files.select(F.col(id_col).alias("_id"), F.col(path_col).alias("path"), F.regexp_extract(path_col, "^(.*)/[^/]*$", 1).alias("_dir"))
-    placed = cut(placed.join(own, "_id", "left"))
+    with scratch():
+        marked = cut(lines.where(F.lower("unit").rlike(MARKER)).select("unit"))
+        found = best_matches(lines, marked, notices, min_cosine)
+        found = found.union(best_matches(blocks, blocks, notices + (license_texts() if texts is None else texts), min_cosine, n_notices=len(notices)))
+        own = found.groupBy("_id").agg(F.max("best").alias("_own"))
+        placed = kept(cut(placed.join(own, "_id", "left")))
     given = placed.where(F.col("path").rlike(LICENSE_FILE) & F.col("_own").isNotNull()).groupBy(F.col("_dir").alias("_from")).agg(F.max("_own").alias("_given"))
     parts = F.split("_dir", "/")
     above = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut
+from ledgerloom.llm.common import cut, kept, scratch
 
 WINDOW = 3
 
@@ -33,13 +33,15 @@ def _covered(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
     """doc (the key of a row) and covered, the sorted positions (from 0) of the lines to remove, for documents that have any."""
     lines = docs.select(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), _key(id_col, text_col).alias("doc"), F.split(F.col(text_col), "\n").alias("lines"))
     hashes = F.transform(F.sequence(F.lit(1), F.size("lines") - (window - 1)), lambda i: F.xxhash64(F.slice("lines", i, window)))
-    found = cut(lines.where(F.size("lines") >= window).select("no_id", "id", "doc", F.posexplode(hashes).alias("at", "hash")))
-    place, same = F.struct("no_id", "id", "doc", "at"), F.struct("doc", "at")
-    of_hash = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    twice = of_hash.where("first.doc != last.doc OR first.at != last.at").select("hash", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
-    later = found.join(twice, "hash").where(same != F.struct("first_doc", "first_at"))
-    spans = F.flatten(F.transform(F.collect_set("at"), lambda p: F.sequence(p, p + (window - 1))))
-    return later.groupBy("doc").agg(F.array_sort(F.array_distinct(spans)).alias("covered"))
+    with scratch():
+        found = cut(lines.where(F.size("lines") >= window).select("no_id", "id", "doc", F.posexplode(hashes).alias("at", "hash")))
+        place, same = F.struct("no_id", "id", "doc", "at"), F.struct("doc", "at")
+        of_hash = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        twice = of_hash.where("first.doc != last.doc OR first.at != last.at").select("hash", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
+        later = found.join(twice, "hash").where(same != F.struct("first_doc", "first_at"))
+        spans = F.flatten(F.transform(F.collect_set("at"), lambda p: F.sequence(p, p + (window - 1))))
+        covered = later.groupBy("doc").agg(F.array_sort(F.array_distinct(spans)).alias("covered"))
+        return kept(cut(covered))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, counts: bool = True) -> DataFrame:

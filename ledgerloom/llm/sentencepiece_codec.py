@@ -4,12 +4,16 @@ No piece of the model holds a whitespace marker after another character, so a me
 a character that is no marker to a marker. Texts are cut there: a chunk is a run of markers with the run
 of other characters after it. Each task keeps a table of the distinct chunks it has met; a batch's new
 chunks are segmented by one library call, and the documents' ids are joined back from the table by
-position. The model's pieces are checked for this property before anything is encoded; a model that
-lacks it is refused.
+position. The table is a task's own: one for all would send every word of the corpus through two shuffles. It is
+emptied when it holds ``TABLE_ROWS`` chunks or ``TABLE_CHARS`` characters.
+
+The model's pieces are checked for this property before anything is encoded, and so is, on ``PROBES``, what else the
+method takes for granted: one marker before a text, no space removed or added, nothing else rewritten across
+chunks, unknown characters of neighbouring chunks kept apart. A model that lacks any of this is refused.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to the empty text; texts
 of any length are encoded whole; repeated rows each give a row; an empty table gives no rows; other
-columns are not read.
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +30,12 @@ from pyspark.sql import DataFrame
 
 #: Chunks kept in a task's table before it is emptied; bounds a worker's memory to some 100 MB.
 TABLE_ROWS = 300_000
+TABLE_CHARS = 50_000_000
+#: Texts on which chunks and the library must agree before a model is used.
+PROBES = (
+    "", " ", "   ", "a", " a", "a ", "a b", "  a  b  ", "a\tb\nc", "\u2581", "a\u2581b \u2581", "x\u00a0y", "\u3000 \uff21\uff22 c", "e\u0301 \u00e9", "\ufb01n \u2460",
+    "\U0001f600 \U0001f600\U0001f601", "\ue000 \ue001 \ue000\ue001", "\x00 \x01", "<s> </s> <unk>", "A1-2,3.4 %$", "\u4e2d\u6587 \u4e2d", "word " * 40, " \u200b \u200d ", "a\u2009b",
+)
 #: Characters of text between two calls of the library.
 BLOCK_CHARS = 1_000_000
 #: Distinct chunks that are segmented in one call.
@@ -51,8 +61,12 @@ class Codec:
         if crossing:
             raise ValueError(f"pieces of this model cross whitespace markers, such as {crossing[0]!r}")
         self.table: dict[str, list[int]] = {}
+        self.chars = 0
         self.decimal = [str(i) for i in range(self.library.get_piece_size())].__getitem__
         self.begins = np.array([self.library.id_to_piece(i).startswith(MARKER) for i in range(self.library.get_piece_size())])
+        for probe, ids in zip(PROBES, self.encode(list(PROBES)), strict=True):
+            if ids != self.library.encode(probe):
+                raise ValueError(f"this model does not encode {probe!r} chunk by chunk")
 
     def chunks(self, text: str) -> list[str]:
         """The chunks, each without its first marker: the library puts one before a text, unless that is empty."""
@@ -63,9 +77,11 @@ class Codec:
 
     def learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self.table]
-        if len(self.table) + len(new) > TABLE_ROWS:
+        self.chars += sum(map(len, new))
+        if len(self.table) + len(new) > TABLE_ROWS or self.chars > TABLE_CHARS:
             self.table.clear()
             new = list(chunks)
+            self.chars = sum(map(len, new))
         # Chunks of one marker are segmented many to a call, and cut where a piece begins with the marker.
         plain = [c for c in new if c and " " not in c]
         lines = [plain[i : i + LINE_CHUNKS] for i in range(0, len(plain), LINE_CHUNKS)]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, drop
+from ledgerloom.llm.common import cut, drop, kept, scratch
 
 LEAF = 128
 
@@ -140,6 +140,12 @@ def _lengths(batch: pa.RecordBatch) -> list[tuple[int, np.ndarray, np.ndarray]]:
 
 def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", query_mod: int = 20, shard_rows: int = 4096, block_rows: int = 1024, max_clusters: int = 1024, made: list[int] | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score; queries are the rows whose id is divisible by query_mod. made takes the rows that left the tasks of each round."""
+    with scratch():
+        best = kept(_search(vectors, k, scale, id_col, vec_col, query_mod, shard_rows, block_rows, max_clusters, made))
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _search(vectors: DataFrame, k: int, scale: int, id_col: str, vec_col: str, query_mod: int, shard_rows: int, block_rows: int, max_clusters: int, made: list[int] | None) -> DataFrame:
     x = F.col(vec_col)
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     ints = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
@@ -238,9 +244,9 @@ def top_k(vectors: DataFrame, *, k: int = 20, scale: int = 64, id_col: str = "ve
         after = cut(both.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k))
         drop(going, *([best] if best is not None else []))
         best, first, last = after, last, 2 * last
-    if best is None:
-        return asked.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    return best.select("query_id", "rank", "vec_id", "score")
+    if best is None:  # no vectors at all
+        best = cut(asked.select("row", F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.col("id").alias("score"), F.lit(0).alias("rank")))
+    return best
 
 
 SQL = """
