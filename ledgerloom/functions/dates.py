@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.fixed import DATE_CONFIRM, DATE_REJECT, ENGLISH_MONTHS, EXTRA_MONTHS, FRENCH_MONTHS, LATE_DATE_PATTERNS, LATE_DATE_PREFER, LATE_DATE_REJECT
+from ledgerloom.functions.fixed import DATE_CONFIRM, DATE_REJECT, ENGLISH_MONTHS, FRENCH_MONTHS, LATE_DATE_PATTERNS, LATE_DATE_PREFER, LATE_DATE_REJECT, LATE_MONTHS
 from ledgerloom.functions.text import let, strip, strip_accents
 
 _EARLY_MONTHS = FRENCH_MONTHS | ENGLISH_MONTHS
-_LATE_MONTHS = ENGLISH_MONTHS | {k: v for k, v in FRENCH_MONTHS.items() if k in ("janvier", "fevrier", "février", "mars", "avril", "mai", "juin", "juillet", "aout", "août", "septembre", "octobre", "novembre", "decembre", "décembre")} | {"janv": 1, "févr": 2, "fevr": 2} | EXTRA_MONTHS | {"juil": 7, "sept": 9}
 _MONTH, _FRENCH, _ENGLISH = ("|".join(m) for m in (_EARLY_MONTHS, FRENCH_MONTHS, ENGLISH_MONTHS))
 DATE_PATTERNS = [
     r"(?U)\b([0-9]{4}[-/][0-9]{2}[-/][0-9]{2})\b",
@@ -66,7 +65,7 @@ def parse_late(text: Column, as_of_year: int) -> Column:
     """A date as the post-processor reads it: from 2000 to the end of the year after as_of_year."""
     s = strip(text)
     numeric = [_numeric(s, r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$", (1, 2, 3)), _either_order(s), _numeric(s, r"^([0-9]{4})[/\-]([0-9]{2})[/\-]([0-9]{2})$", (1, 2, 3)), _numeric(s, r"^([0-9]{4})([0-9]{2})([0-9]{2})$", (1, 2, 3))]
-    written = _written(F.regexp_replace(F.lower(s), r"(?U)^le\s+", ""), _LATE_MONTHS)
+    written = _written(F.regexp_replace(F.lower(s), r"(?U)^le\s+", ""), LATE_MONTHS)
     return _real(F.coalesce(*numeric, written), 2000, as_of_year + 1)
 
 

@@ -1,6 +1,9 @@
-"""Labels, patterns, dictionaries and constants that results depend on. The order counts where the first match wins."""
+"""Labels, patterns, dictionaries and constants that results depend on. The order counts where the first match wins.
 
-# Labels: field, pattern on the lower-case line without accents, priority.
+Patterns are used with (?U), so that \\d, \\w, \\s and \\b mean what they mean in Unicode.
+"""
+
+# Fixed values. Labels: field, pattern on the lower-case line without accents, priority.
 LABEL_PATTERNS = [
     ("total", r"total\s*(amount|a\s*payer|du|paid|due)?", 10),
     ("total", r"montant\s*(total|du|a\s*payer|dû)", 10),
@@ -27,15 +30,18 @@ LABEL_PATTERNS = [
     ("hst", r"hst\s*(tax|@)?", 8),
 ]
 
-AMOUNT = r"(?:^|[\s:=\t])-?\$?([0-9]{1,6}[.,][0-9]{2})"
-AMOUNT_AT_END = r"([0-9]{1,6}[.,][0-9]{2})\s*$"
+# Fixed values. An amount anywhere in a line, and a bare one at its end.
+AMOUNT = r"(?:^|[\s:=\t])-?\$?(\d{1,6}[.,]\d{2})(?:\s*(?:CAD|USD|$))?"
+AMOUNT_AT_END = r"(\d{1,6}[.,]\d{2})\s*$"
 
+# Fixed values. Labels of a date.
 DATE_CONFIRM = (
     r"(^bill\s*date|^invoice\s*date|^date\s*de\s*facturation|^transaction|^purchased|^date\s*d'achat|"
     r"^date\b(?!\s*d'expir|\s*limite|\s*de\s*retour))"
 )
 DATE_REJECT = r"(next|expir|valid\s*until|return|best\s*before|due\s*date|prochaine|renouvellement|void\s*after|print)"
 
+# Fixed values. Names of months for the first parser.
 FRENCH_MONTHS = {
     "janvier": 1, "fevrier": 2, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7,
     "aout": 8, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12, "décembre": 12,
@@ -46,10 +52,17 @@ ENGLISH_MONTHS = {
     "september": 9, "october": 10, "november": 11, "december": 12,
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
 }
-#: The post-processor has one French abbreviation more.
-EXTRA_MONTHS = {"avr": 4}
+# Fixed values. Names of months for the post-processor, in its own order.
+LATE_MONTHS = {
+    "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8,
+    "september": 9, "october": 10, "november": 11, "december": 12,
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
+    "janvier": 1, "fevrier": 2, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7,
+    "aout": 8, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12, "décembre": 12,
+    "janv": 1, "févr": 2, "fevr": 2, "avr": 4, "juil": 7, "sept": 9,
+}
 
-# The post-processor's own labels and date patterns.
+# Fixed values. The post-processor's own labels and date patterns.
 LATE_DATE_REJECT = (
     r"(expir|valid until|return by|retour avant|best before|meilleur avant|relev[eé]|print date|imprim|[eé]ch[eé]ance(?!.*fact)|"
     r"policy|politique|void after|annul|next bill|next billing|prochaine|next due|next payment|prochain paiement|renewal|renouvellement)"
@@ -59,16 +72,16 @@ LATE_DATE_PREFER = (
     r"\breceipt\b|re[cç]u le|processed on|paid on|pay[eé] le)"
 )
 LATE_DATE_PATTERNS = [
-    r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b",
-    r"\b([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})\b",
-    r"\b([0-9]{1,2}-[0-9]{1,2}-[0-9]{4})\b",
-    r"\b([0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})\b",
-    r"\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\.?\s+[0-9]{1,2},?\s*[0-9]{4})\b",
-    r"\b([0-9]{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\.?\s*,?\s*[0-9]{4})\b",
-    r"\b([0-9]{1,2}\s+(?:janv?|f[eé]vr?|mars|avr|avril|mai|juin|juil|ao[uû]t|sept?|oct|nov|d[eé]c)\w*\.?\s*,?\s*[0-9]{4})\b",
+    r"\b(\d{4}-\d{2}-\d{2})\b",
+    r"\b(\d{1,2}/\d{1,2}/\d{4})\b",
+    r"\b(\d{1,2}-\d{1,2}-\d{4})\b",
+    r"\b(\d{1,2}\.\d{1,2}\.\d{4})\b",
+    r"\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\.?\s+\d{1,2},?\s*\d{4})\b",
+    r"\b(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\.?\s*,?\s*\d{4})\b",
+    r"\b(\d{1,2}\s+(?:janv?|f[eé]vr?|mars|avr|avril|mai|juin|juil|ao[uû]t|sept?|oct|nov|d[eé]c)\w*\.?\s*,?\s*\d{4})\b",
 ]
 
-# Vendors by a keyword in the first lines.
+# Fixed values. Vendors by a keyword in the first lines.
 KNOWN_VENDORS = {
     "home depot": "Home Depot", "rona": "Rona", "canadian tire": "Canadian Tire", "home hardware": "Home Hardware",
     "lowes": "Lowes", "lowe's": "Lowes",
@@ -91,7 +104,7 @@ KNOWN_VENDORS = {
     "paypal": "PayPal", "etsy": "Etsy", "shopify": "Shopify",
 }
 
-# Vendors by a domain anywhere in the text.
+# Fixed values. Vendors by a domain anywhere in the text.
 DOMAIN_VENDORS = {
     "virginplus.ca": "Virgin Plus", "virginmobile.ca": "Virgin Plus", "bell.ca": "Bell", "bell.net": "Bell",
     "rogers.com": "Rogers", "fido.ca": "Fido", "telus.com": "Telus", "koodo.com": "Koodo",
@@ -107,7 +120,7 @@ DOMAIN_VENDORS = {
     "ebay.ca": "eBay", "ebay.com": "eBay", "paypal.com": "PayPal", "paypal.ca": "PayPal", "etsy.com": "Etsy",
 }
 
-# The post-processor's own domains, tried longest first.
+# Fixed values. The post-processor's own domains, tried longest first.
 LATE_DOMAIN_VENDORS = {
     "virginplus.ca": "Virgin Plus", "virginmobile.ca": "Virgin Plus", "bell.ca": "Bell", "rogers.com": "Rogers", "fido.ca": "Fido",
     "telus.com": "TELUS", "koodo": "Koodo", "videotron.com": "Vidéotron", "hydroquebec.com": "Hydro-Québec", "hydro.qc.ca": "Hydro-Québec",
@@ -119,7 +132,7 @@ LATE_DOMAIN_VENDORS = {
     "mcdonalds.com": "McDonald's", "subway.com": "Subway",
 }
 
-# Vendors by what a logo reader says.
+# Fixed values. Vendors by what a logo reader says.
 LOGO_VENDORS = {
     "home depot": "Home Depot", "canadian tire": "Canadian Tire", "costco": "Costco", "walmart": "Walmart", "iga": "IGA", "metro": "Metro",
     "jean coutu": "Jean Coutu", "pharmaprix": "Pharmaprix", "shoppers drug mart": "Shoppers Drug Mart", "shoppers": "Shoppers Drug Mart",
@@ -131,6 +144,7 @@ LOGO_VENDORS = {
     "hydro-québec": "Hydro-Québec", "hydro-quebec": "Hydro-Québec", "hydro": "Hydro-Québec", "enbridge": "Enbridge",
 }
 
+# Fixed values. Signs of marketplaces, buyers' labels, and lines that are no vendor.
 MARKETPLACES = [
     (r"ebay\.c|order\s+from\s+ebay|ebay\s+order|sold\s+on\s+ebay", "eBay"),
     (r"amazon\.c|fulfilled\s+by\s+amazon|sold\s+by.*amazon", "Amazon"),
@@ -142,18 +156,20 @@ BUYER_LINE = (
 )
 BUYER_INLINE = r"^(ship\s*to|bill\s*to|sold\s*to|deliver\s*to|buyer|customer|livrer|factur[eé]|acheteur)\s*[:\-]"
 NOT_A_VENDOR = r"(receipt|reçu|facture|invoice|bill|date|tel:|www\.|http)"
-PLACEHOLDER_VENDOR = r"^\s*(receipt|reçu|facture|tax invoice|[0-9]+|unknown|n/?a|none)\s*$"
+PLACEHOLDER_VENDOR = r"^\s*(receipt|reçu|facture|tax invoice|\d+|unknown|n/?a|none)\s*$"
 
+# Fixed values. Words of bank statements.
 BANK_KEYWORDS = [
     "account summary", "account balance", "previous balance", "new balance", "credit limit", "available credit",
     "payment due date", "minimum payment", "annual fee", "transaction date", "posting date", "merchant name",
     "opening balance", "closing balance", "interest charged", "finance charge", "periodic rate", "annual percentage",
 ]
 
+# Fixed values. Suffixes of companies, characters that look like digits.
 LEGAL_SUFFIXES = ["inc", "ltd", "corp", "co", "llc"]
 OCR_LOOKALIKES = ("OolISBGZ§", "001158625")
 
-# Penalties by the start of a warning; the first that fits counts.
+# Fixed values. Penalties by the start of a warning; the first that fits counts.
 PENALTIES = [
     ("DATE_MISSING", 0.15),
     ("DATE_PARSE_FAILED", 0.10),
@@ -162,6 +178,7 @@ PENALTIES = [
     ("OCR_UNPARSEABLE", 0.15),
     ("TAX_SANITY", 0.10),
 ]
+# Fixed values. Thresholds and names.
 MATH_TOLERANCE = 0.15
 MATH_ADJUSTABLE = 2.0
 MAX_TAX_RATIO = 0.50
@@ -169,6 +186,7 @@ REVIEW_CONFIDENCE = 0.65
 MIN_TEXT_CHARS = 40
 LARGE_TEXT_CHARS = 15_000
 LARGE_TEXT_HEAD, LARGE_TEXT_TAIL = 8_000, 2_000
+BOTTOM_MARK = "\n\n[BOTTOM REGION RESCAN]\n"
 LARGE_TEXT_GAP = "\n\n[... middle section omitted ...]\n\n"
 STATEMENT_CHARS = 200_000
 STATEMENT_KEYWORDS = 3

@@ -81,7 +81,7 @@ def clean_vendor(vendor: Column) -> Column:
     name = strip(vendor)
     spaced = F.regexp_replace(name, r"(?U)\s+", " ")
     cased = F.when(is_upper(spaced) & (F.length(spaced) > 3), title(spaced)).otherwise(spaced)
-    return F.when((vendor != "") & ~name.rlike("(?iu)" + PLACEHOLDER_VENDOR), F.left(strip_accents(cased), F.lit(200)))
+    return F.when((vendor != "") & ~name.rlike("(?iU)" + PLACEHOLDER_VENDOR), F.left(strip_accents(cased), F.lit(200)))
 
 
 def safe_title(date: Column, vendor: Column) -> Column:

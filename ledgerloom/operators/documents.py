@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import field_value
-from ledgerloom.functions.fixed import BANK_KEYWORDS, LARGE_TEXT_CHARS, LARGE_TEXT_GAP, LARGE_TEXT_HEAD, LARGE_TEXT_TAIL, MIN_TEXT_CHARS, OCR_ROW_GAP, RECEIPT_TAG, STATEMENT_CHARS, STATEMENT_KEYWORDS
+from ledgerloom.functions.fixed import BANK_KEYWORDS, BOTTOM_MARK, LARGE_TEXT_CHARS, LARGE_TEXT_GAP, LARGE_TEXT_HEAD, LARGE_TEXT_TAIL, MIN_TEXT_CHARS, OCR_ROW_GAP, RECEIPT_TAG, STATEMENT_CHARS, STATEMENT_KEYWORDS
 from ledgerloom.functions.text import content_hash, strip
 
 
@@ -59,10 +59,39 @@ def is_tagged(tags: Column) -> Column:
     return F.coalesce(F.exists(tags, lambda t: t["name"] == RECEIPT_TAG), F.lit(False))
 
 
+def with_rescan(text: Column, bottom: Column, has_total: Column) -> Column:
+    """A reader's text with what a second look at the bottom of the page gave, where the first found no total."""
+    return F.when(~has_total & (strip(bottom) != ""), F.concat(text, F.lit(BOTTOM_MARK), bottom)).otherwise(text)
+
+
+def chosen_text(pdf: Column, engine: Column, vision: Column, vision_method: Column, stored: Column) -> Column:
+    """Struct of text and method: embedded text, else the engine's, else the vision reader's, else the stored text, else failed. A reader that failed gives null."""
+    pick = lambda text, method: F.struct(text.alias("text"), method.alias("method"))
+    long = lambda text: F.coalesce(F.length(text) >= MIN_TEXT_CHARS, F.lit(False))
+    return (
+        F.when(long(pdf), pick(pdf, F.lit("pdf_direct")))
+        .when(usable(engine), pick(engine, F.lit("engine")))
+        .when(vision.isNotNull(), pick(vision, F.concat(F.lit("vision_"), vision_method)))
+        .when(long(stored), pick(stored, F.lit("stored_fallback")))
+        .otherwise(pick(F.lit(""), F.lit("failed")))
+    )
+
+
+def enqueue(state: DataFrame, docs: DataFrame) -> DataFrame:
+    """state with the documents of a batch marked as processing, new ones among them; all others as they are."""
+    batch = docs.select("doc_id", F.lit(True).alias("_batch")).distinct()
+    rows = state.join(batch, "doc_id", "full_outer")
+    status = F.when(F.col("_batch"), "processing").otherwise(F.coalesce("last_status", F.lit("pending")))
+    return rows.select(*[status.alias(c) if c == "last_status" else F.col(c) for c in state.columns])
+
+
 def changes(docs: DataFrame, state: DataFrame, *, text_model: str | None = None, stored_first: bool = True, skip_vision: bool = True, force: bool = False) -> DataFrame:
-    """What each document needs. docs: doc_id, text, tagged; state: doc_id, content_hash, ocr_text, parse_hash, text_model, has_receipt."""
+    """What each document needs. docs: doc_id, text, tagged; state: doc_id, content_hash, ocr_text, parse_hash, text_model, has_receipt.
+
+    Also used, the text that a parser gets (the stored text of the state where nothing is to be read again), and of the
+    state parse_hash, text_model and has_receipt. Of rows of docs that share an id each gives a row."""
     old = state.select("doc_id", F.col("content_hash").alias("_content"), F.col("ocr_text").alias("_ocr"), F.col("parse_hash").alias("_parse"), F.col("text_model").alias("_model"), "has_receipt")
-    rows = docs.join(old, "doc_id", "left").withColumn("text", strip(F.coalesce("text", F.lit(""))))
+    rows = docs.select("doc_id", strip(F.coalesce("text", F.lit(""))).alias("text"), "tagged").join(old, "doc_id", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     rows = rows.withColumn("content_hash", content_hash(F.col("text")))
     rows = rows.withColumns({
@@ -74,14 +103,11 @@ def changes(docs: DataFrame, state: DataFrame, *, text_model: str | None = None,
     rows = rows.withColumn("use_stored", F.col("has_text") & F.lit(stored_first) & ~F.col("forced") & (F.lit(skip_vision) | ~F.col("model_changed")))
     no_ocr = F.coalesce("_ocr", F.lit("")) == ""
     rows = rows.withColumn("needs_ocr", ~F.col("use_stored") & (F.col("forced") | F.col("content_changed") | no_ocr | ~F.col("has_text")))
-    used = F.when(F.col("use_stored") | F.col("needs_ocr") | no_ocr, F.col("text")).otherwise(F.col("_ocr"))
-    fresh = ~content_hash(used).eqNullSafe(F.col("_parse")) | F.col("_parse").isNull()
-    rows = rows.withColumn("needs_parse", (used != "") & (fresh | F.col("model_changed") | F.col("forced")))
-    return rows.select("doc_id", "content_hash", "content_changed", "model_changed", "has_text", "forced", "use_stored", "needs_ocr", "needs_parse")
-
-
-def status_of(used: Column, error: Column, needs_parse: Column) -> Column:
-    return F.when(strip(F.coalesce(used, F.lit(""))) == "", "skipped").when(needs_parse & error.isNotNull(), "error").otherwise("done")
+    rows = rows.withColumn("used", F.when(F.col("use_stored") | F.col("needs_ocr") | no_ocr, F.col("text")).otherwise(F.col("_ocr")))
+    fresh = ~content_hash(F.col("used")).eqNullSafe(F.col("_parse")) | F.col("_parse").isNull()
+    rows = rows.withColumn("needs_parse", (F.col("used") != "") & (fresh | F.col("model_changed") | F.col("forced")))
+    flags = ["content_changed", "model_changed", "has_text", "forced", "use_stored", "needs_ocr", "needs_parse"]
+    return rows.select("doc_id", "content_hash", *flags, "used", F.col("_parse").alias("parse_hash"), F.col("_model").alias("text_model"), yes(F.col("has_receipt")).alias("has_receipt"))
 
 
 def batch_stats(results: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.fixed import TAXES
-from ledgerloom.functions.text import blank_to_null, document_url
+from ledgerloom.functions.text import blank_to_null, document_url, normalize_vendor
 
 CENTS = "decimal(18,2)"
 
@@ -170,17 +170,20 @@ def rescan_status(ids: DataFrame, receipts: DataFrame) -> DataFrame:
     return ids.join(known, "receipt_id", "left").select("receipt_id", F.when(F.col("document_id").isNull(), "not_found").otherwise("found").alias("status"), "document_id")
 
 
-def patch(receipts: DataFrame, changes: DataFrame, categories: DataFrame) -> DataFrame:
-    """receipts with changes (id and any columns; null leaves a value). category_id <= 0 clears it; an unknown category rejects its row's change. A new vendor gets a new key."""
-    from ledgerloom.functions.text import normalize_vendor
+def patch(receipts: DataFrame, changes: DataFrame, categories: DataFrame, now: Column | None = None) -> DataFrame:
+    """receipts with changes (id and any columns; null leaves a value), and now as their updated_at.
 
+    category_id <= 0 clears it; an unknown category rejects its row's change. A new vendor gets a new key. Of several
+    changes for one id the greatest row counts; changes of unknown ids change nothing."""
     fields = [c for c in ("vendor", "date", "total", "pre_tax", *TAXES, "currency") if c in changes.columns]
     known = categories.select(F.col("id").alias("_category"), F.lit(True).alias("_known"))
     asked = changes.withColumn("_category", F.col("category_id") if "category_id" in changes.columns else F.lit(None).cast("int"))
     asked = asked.join(known, "_category", "left").where("_category IS NULL OR _category <= 0 OR _known")
-    asked = asked.select("id", "_category", *[F.col(c).alias(f"_{c}") for c in fields])
+    asked = asked.groupBy("id").agg(F.max(F.struct("_category", *fields)).alias("_x")).select("id", F.col("_x._category").alias("_category"), *[F.col("_x")[c].alias(f"_{c}") for c in fields], F.lit(True).alias("_hit"))
     out = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in fields}
     if "vendor" in fields:
         out["normalized_vendor"] = F.when(F.col("_vendor").isNotNull(), normalize_vendor(F.col("_vendor"))).otherwise(F.col("normalized_vendor"))
+    if now is not None and "updated_at" in receipts.columns:
+        out["updated_at"] = F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))
     out["category_id"] = F.when(F.col("_category") <= 0, None).otherwise(F.coalesce("_category", "category_id"))
     return receipts.join(asked, "id", "left").select(*[out.get(c, F.col(c)).alias(c) for c in receipts.columns])

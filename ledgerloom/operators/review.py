@@ -28,18 +28,31 @@ def flag(receipts: DataFrame) -> DataFrame:
     return receipts.select(F.col("id").alias("receipt_id"), reasons().alias("reason")).where("reason IS NOT NULL")
 
 
-def merge_flags(flags: DataFrame, found: DataFrame) -> DataFrame:
-    """flags (receipt_id, reason, status) after a new evaluation: a new one is pending, a pending one takes the new reason, a resolved one stays, none is cleared."""
-    new = found.select("receipt_id", F.col("reason").alias("_reason"))
+def merge_flags(flags: DataFrame, found: DataFrame, now: Column | None = None) -> DataFrame:
+    """flags (receipt_id, reason, status; reviewed_at and created_at if there) after a new evaluation: a new one is pending, a pending one takes the new reason, a resolved one stays, none is cleared."""
+    new = found.groupBy("receipt_id").agg(F.max("reason").alias("_reason"))
     rows = flags.join(new, "receipt_id", "full_outer")
     fresh = F.col("status").isNull() | ((F.col("status") == "pending") & F.col("_reason").isNotNull())
-    return rows.select("receipt_id", F.when(fresh, F.col("_reason")).otherwise(F.col("reason")).alias("reason"), F.coalesce("status", F.lit("pending")).alias("status"))
+    out = {"reason": F.when(fresh, F.col("_reason")).otherwise(F.col("reason")), "status": F.coalesce("status", F.lit("pending"))}
+    if now is not None and "created_at" in flags.columns:
+        out["created_at"] = F.when(F.col("status").isNull(), now).otherwise(F.col("created_at"))
+    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in flags.columns])
 
 
-def resolve(flags: DataFrame, actions: DataFrame) -> DataFrame:
-    """flags with the status of actions (receipt_id, action: approved or rejected)."""
-    done = actions.where("action IN ('approved', 'rejected')").select("receipt_id", "action")
-    return flags.join(done, "receipt_id", "left").withColumn("status", F.coalesce("action", "status")).drop("action")
+def flag_by_hand(flags: DataFrame, receipts: DataFrame, asked: DataFrame, now: Column | None = None) -> DataFrame:
+    """flags with a pending one, reason manual, for each receipt of asked (receipt_id) that is there and has no flag yet."""
+    known = receipts.select(F.col("id").alias("receipt_id"))
+    new = asked.select("receipt_id").distinct().join(known, "receipt_id", "left_semi").join(flags.select("receipt_id"), "receipt_id", "left_anti")
+    return merge_flags(flags, new.withColumn("reason", F.lit("manual")), now)
+
+
+def resolve(flags: DataFrame, actions: DataFrame, now: Column | None = None) -> DataFrame:
+    """flags with the status of actions (receipt_id, action: approved or rejected) and the time of the review; of several actions the greatest counts."""
+    done = actions.where("action IN ('approved', 'rejected')").groupBy("receipt_id").agg(F.max("action").alias("_action"))
+    out = {"status": F.coalesce("_action", "status")}
+    if now is not None and "reviewed_at" in flags.columns:
+        out["reviewed_at"] = F.when(F.col("_action").isNotNull(), now).otherwise(F.col("reviewed_at"))
+    return flags.join(done, "receipt_id", "left").select(*[out.get(c, F.col(c)).alias(c) for c in flags.columns])
 
 
 def queue(flags: DataFrame, receipts: DataFrame, documents: DataFrame, categories: DataFrame, status: str = "pending", base_url: str = "") -> DataFrame:
@@ -48,7 +61,8 @@ def queue(flags: DataFrame, receipts: DataFrame, documents: DataFrame, categorie
     sources = documents.select(F.col("id").alias("document_id"), "source_id")
     rows = flags.where(F.col("status") == status).join(shown, "receipt_id").join(sources, "document_id", "left")
     columns = ["receipt_id", "reason", "status", "source_id", "vendor", "date", "total", "confidence", "category_id", "category_name"]
-    return rows.select(*columns, document_url(base_url, F.col("source_id")).alias("source_url")).orderBy(F.desc("receipt_id"))
+    newest = [F.desc(c) for c in ("created_at", "receipt_id") if c in rows.columns]
+    return rows.select(*columns, document_url(base_url, F.col("source_id")).alias("source_url"), *[c for c in ("created_at",) if c in rows.columns]).orderBy(*newest)
 
 
 def pending_count(flags: DataFrame) -> DataFrame:

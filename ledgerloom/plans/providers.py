@@ -7,8 +7,10 @@ filter first. Without a provider the deterministic receipt stands.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import FIELDS
 from ledgerloom.functions.fixed import REVIEW_CONFIDENCE
+from ledgerloom.functions.text import let
 from ledgerloom.plans.extraction import RECEIPT, anchors, clean_answer, deterministic_receipt, is_complete, merged_answer, post_process, prompt_context
 
 Provider = Callable[[pd.DataFrame], pd.DataFrame]
@@ -24,19 +27,53 @@ ANSWER = "is_receipt string, date string, vendor string, " + ", ".join(f"{f} str
 
 
 def answer_json(text: F.Column) -> F.Column:
-    """The first JSON object in an answer, freed of code fences. Braces nest two deep at most."""
+    """The first JSON object in an answer, freed of code fences: up to the brace that closes the first one, however deep they nest; empty if none does."""
     bare = F.regexp_replace(text, r"```(?:json)?", "")
-    return F.regexp_extract(bare, r"(?s)(\{(?:[^{}]|\{[^{}]*\})*\})", 1)
+
+    def ends(s: F.Column) -> F.Column:
+        pieces = F.regexp_extract_all(s, F.lit(r"([{}][^{}]*)"), F.lit(1))
+        step = F.transform(pieces, lambda p: F.when(p.startswith("{"), 1).otherwise(-1))
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+
+        def walk(a: F.Column, x: F.Column) -> F.Column:
+            depth = a["depth"] + x["step"]
+            done = a["done"] | (depth <= 0)
+            return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), (a["size"] + F.when(done, 1).otherwise(F.length(x["piece"]))).alias("size"), done.alias("done")))
+
+        walked = F.aggregate(F.arrays_zip(pieces.alias("piece"), step.alias("step")), start, walk)
+        return F.when(walked["done"] & s.startswith("{"), F.substring(s, F.lit(1), walked["size"])).otherwise("")
+
+    return F.coalesce(let(F.regexp_extract(bare, r"(?s)(\{.*)", 1), ends), F.lit(""))
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df in the shared checkpoint folder: no provider is asked twice for a row, and plans stay small."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerloom-"))
     return df.checkpoint()
 
 
+def within(provider: Provider, seconds: float = 300.0, tries: int = 1) -> Provider:
+    """provider with a limit of time for each call and so many tries; when all fail, the answers are null, and the deterministic receipt stands."""
+
+    def limited(frame: pd.DataFrame) -> pd.DataFrame:
+        for _ in range(tries):
+            pool = ThreadPoolExecutor(1)
+            try:
+                return pool.submit(provider, frame).result(seconds)
+            except Exception as e:
+                print(f"provider failed: {e!r}", file=sys.stderr)
+            finally:
+                pool.shutdown(wait=False, cancel_futures=True)
+        return frame[["doc_id"]].assign(answer=None)
+
+    return limited
+
+
 def ask(rows: DataFrame, provider: Provider) -> DataFrame:
     """doc_id and answer for rows of doc_id, text and context."""
 

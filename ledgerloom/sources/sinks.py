@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+import time
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import safe_title
+from ledgerloom.functions.amounts import shown
+from ledgerloom.functions.fixed import RECEIPT_TAG
+from ledgerloom.functions.text import blank_to_null, pipeline_title, safe_title
 from ledgerloom.operators import ledger
+from ledgerloom.operators.documents import custom_fields, merged_tags
 
 
-def export_csv(receipts: DataFrame, categories: DataFrame, year: int, path: str) -> None:
-    """One year's export; a year of receipts is small enough for one file."""
-    ledger.csv_rows(receipts, categories, year).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+def export_csv(receipts: DataFrame, categories: DataFrame, year: int, path: str, *, one_file: bool = False) -> None:
+    """One year's export: files that follow one another in the order of dates, each with a header; or one file, for few rows."""
+    rows = ledger.csv_rows(receipts, categories, year)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
 def report(receipts: DataFrame, categories: DataFrame, year: int) -> dict[str, DataFrame]:
@@ -47,15 +53,47 @@ def write_back_rows(receipts: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.select("document_id", safe_title(F.col("date"), F.col("vendor")).alias("title"), created.alias("created"), F.to_json(fields).alias("fields"))
 
 
-def write_back(rows: DataFrame, send: Callable[[Row], None]) -> None:
-    """Sends each row from the executors; a failure of one row is counted and stops no other."""
+def batch_write_back(receipts: DataFrame, categories: DataFrame) -> DataFrame:
+    """What a batch sends for its receipts: document_id, the receipt tag to add, a title if date and vendor are known, and
+    fields as JSON. Amounts are written as plain numbers here."""
+    rows = ledger.with_category(receipts, categories)
+    amount = F.coalesce("total", F.lit(0.0))
+    fields = F.struct(
+        F.coalesce("vendor", F.lit("")).alias("Vendor"),
+        F.when(amount == 0, "0").otherwise(shown(amount)).alias("Amount"),
+        F.coalesce("category_name", F.lit("")).alias("Category"),
+        F.coalesce(blank_to_null(F.col("currency")), F.lit("CAD")).alias("Currency"),
+    )
+    return rows.select("document_id", F.lit(RECEIPT_TAG).alias("tag"), pipeline_title(F.col("date"), F.col("vendor")).alias("title"), F.to_json(fields).alias("fields"))
+
+
+def merged_payload(updates: DataFrame, existing: DataFrame, definitions: DataFrame) -> DataFrame:
+    """doc_id, tags and custom_fields (all that a document has afterwards) from updates (doc_id, tag_ids, fields as a map of
+    names) and what the source holds (doc_id, tags, custom_fields); of updates for one document the greatest tag ids count."""
+    pairs = updates.select("doc_id", F.explode("fields").alias("name", "value"))
+    old = existing.select("doc_id", F.explode("custom_fields").alias("x")).select("doc_id", "x.field", "x.value")
+    fields = custom_fields(pairs, definitions, old).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("custom_fields"))
+    tags = updates.groupBy("doc_id").agg(F.max("tag_ids").alias("tag_ids")).join(existing.select("doc_id", F.transform("tags", lambda t: t["id"]).alias("tags")), "doc_id", "left")
+    return tags.select("doc_id", merged_tags(F.col("tags"), F.col("tag_ids")).alias("tags")).join(fields, "doc_id", "left")
+
+
+def write_back(rows: DataFrame, send: Callable[[Row], None], *, tries: int = 3, wait: float = 1.0) -> int:
+    """Sends each row from the executors, up to ``tries`` times, and returns how many failed; a failure of one row stops no
+    other. A lost task sends its rows again, and what it had counted as failed is counted again."""
     failed = rows.sparkSession.sparkContext.accumulator(0)
 
     def each(part: Iterable[Row]) -> None:
         for row in part:
-            try:
-                send(row)
-            except Exception:
-                failed.add(1)
+            for attempt in range(tries):
+                try:
+                    send(row)
+                    break
+                except Exception as e:
+                    if attempt + 1 == tries:
+                        failed.add(1)
+                        print(f"write-back of {row!r} failed: {e!r}", file=sys.stderr)
+                    else:
+                        time.sleep(wait)
 
     rows.foreachPartition(each)
+    return failed.value

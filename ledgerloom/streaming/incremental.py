@@ -3,62 +3,115 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.functions.text import blank_to_null, content_hash, normalize_vendor, strip
-from ledgerloom.operators.documents import changes, usable
-from ledgerloom.plans.providers import Provider, parse
+from ledgerloom.functions.fixed import DEFAULT_SETTINGS
+from ledgerloom.functions.text import blank_to_null, content_hash, normalize_vendor
+from ledgerloom.operators import catalog, review
+from ledgerloom.operators.documents import batch_stats, changes, is_statement, shortened, usable
+from ledgerloom.plans.providers import Provider, kept, parse
+from ledgerloom.sources.sinks import batch_write_back
 
 
 def latest(docs: DataFrame) -> DataFrame:
-    """One row a document: of several the greatest text, so that a batch's order does not matter."""
+    """One row a document: of several that of the greatest text and tag, so that a batch's order does not matter. The
+    grouping deals documents out by the key that the join with the state needs, so texts are shuffled once."""
     return docs.groupBy("doc_id").agg(F.max(F.struct("text", "tagged")).alias("x")).select("doc_id", "x.*")
 
 
-def process(docs: DataFrame, state: DataFrame, *, as_of_year: int, provider: Provider | None = None, force: bool = False, parity: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(new state, parsed receipts) for docs (doc_id, text, tagged).
+def process(docs: DataFrame, state: DataFrame, *, as_of_year: int, provider: Provider | None = None, settings: dict | None = None, force: bool = False, limit: int | None = None, parity: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(new state, parsed receipts) for docs (doc_id, text, tagged); limit: the first so many by doc_id only.
 
-    A text too short to parse ends as an error. Its hash is kept only with parity, where the next run then
-    takes it for done.
+    settings are those of catalog.settings: text_model (a new one has texts parsed again and is kept in the state),
+    use_stored_text_first, skip_vision_if_text_exists, force_rescan. A text too short to parse ends as an error; its hash
+    is kept only with parity, where the next run then takes it for done. A statement of an account is done without a
+    receipt; of other large texts a parser gets the beginning and the end.
     """
-    docs = latest(docs)
-    found = docs.join(changes(docs, state, force=force), "doc_id").withColumn("text", strip(F.coalesce("text", F.lit(""))))
-    todo = found.where("needs_parse")
-    parsed = parse(todo.where(usable(F.col("text"))).select("doc_id", "text"), as_of_year=as_of_year, provider=provider)
+    chosen = {k: v == "true" for k, v in DEFAULT_SETTINGS.items()} | {"text_model": None} | (settings or {})
+    if limit is not None:
+        docs = docs.orderBy("doc_id").limit(limit)
+    found = changes(
+        latest(docs), state, text_model=chosen["text_model"], stored_first=chosen["use_stored_text_first"],
+        skip_vision=chosen["skip_vision_if_text_exists"], force=force or chosen["force_rescan"],
+    )
+    found = found.withColumn("statement", F.col("needs_ocr") & is_statement(F.col("used"))).withColumn("used", F.when(F.col("needs_ocr") & ~F.col("statement"), shortened(F.col("used"))).otherwise(F.col("used")))
+    todo = found.where("needs_parse AND NOT statement").where(usable(F.col("used"))).select("doc_id", F.col("used").alias("text"))
+    parsed = parse(todo, as_of_year=as_of_year, provider=provider)
     receipts = parsed.where("is_receipt").select("doc_id", "receipt.*").withColumn("normalized_vendor", normalize_vendor(F.col("vendor")))
-    fails = F.col("needs_parse") & ~usable(F.col("text"))
-    status = F.when(F.col("text") == "", "skipped").when(fails, "error").otherwise("done")
-    error = F.when(F.col("text") == "", "No usable text").when(fails, "text_too_short")
-    old = state.select("doc_id", F.col("parse_hash").alias("_parse"), F.col("has_receipt").alias("_has"))
-    hashed = F.when(F.col("needs_parse") & (F.lit(parity) | ~fails), content_hash(F.col("text"))).otherwise(F.col("_parse"))
+    parsing = F.col("needs_parse") & ~F.col("statement")
+    fails = parsing & ~usable(F.col("used"))
     if provider is None:  # then whatever is parsed is a receipt
-        new = F.col("needs_parse") & ~fails
+        new = parsing & ~fails
     else:
+        receipts = kept(receipts)
         found = found.join(receipts.select("doc_id", F.lit(True).alias("_receipt")), "doc_id", "left")
         new = F.coalesce("_receipt", F.lit(False))
-    touched = found.join(old, "doc_id", "left").select(
+    statement = F.concat(F.lit("statement_detected:"), F.length("used").cast("string"), F.lit("_chars"))
+    held = parsing & (F.lit(parity) | ~fails)
+    touched = found.select(
         "doc_id",
         "content_hash",
-        blank_to_null(F.col("text")).alias("ocr_text"),
-        hashed.alias("parse_hash"),
-        F.lit(None).cast("string").alias("text_model"),
-        status.alias("last_status"),
-        error.alias("error_message"),
-        (F.coalesce("_has", F.lit(False)) | new).alias("has_receipt"),
+        blank_to_null(F.col("used")).alias("ocr_text"),
+        F.when(held, content_hash(F.col("used"))).otherwise(F.col("parse_hash")).alias("parse_hash"),
+        F.when(held, F.lit(chosen["text_model"])).otherwise(F.col("text_model")).alias("text_model"),
+        F.when(F.col("used") == "", "skipped").when(fails, "error").otherwise("done").alias("last_status"),
+        F.when(F.col("used") == "", "No usable text").when(fails, "text_too_short").when(F.col("statement"), statement).alias("error_message"),
+        (F.col("has_receipt") | new).alias("has_receipt"),
     )
     untouched = state.join(docs.select("doc_id"), "doc_id", "left_anti")
-    return untouched.unionByName(touched), receipts
+    return untouched.select(touched.columns).unionByName(touched), receipts
 
 
-def upsert_receipts(receipts: DataFrame, parsed: DataFrame) -> DataFrame:
-    """receipts keyed by doc_id with parsed ones put in or over; the category stays."""
-    new = parsed.select("doc_id", *[F.col(c).alias(f"_{c}") for c in parsed.columns if c != "doc_id" and c in receipts.columns])
-    hit = new.select("doc_id", F.lit(True).alias("_hit"))
-    rows = receipts.join(new.join(hit, "doc_id"), "doc_id", "full_outer")
-    return rows.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if f"_{c}" in new.columns else F.col(c) for c in receipts.columns])
+def upsert_receipts(receipts: DataFrame, parsed: DataFrame, now: Column | None = None, key: str = "doc_id") -> DataFrame:
+    """receipts with parsed ones put in or over by their key: all that parsed has is taken over, the category stays.
+    With now, that is their updated_at, and the created_at of new ones; a new one's id is its document's."""
+    new = parsed.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in parsed.columns if c != key and c in receipts.columns])
+    rows = receipts.withColumn("_there", F.lit(True)).join(new, key, "full_outer")
+    out = {c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in parsed.columns if f"_{c}" in new.columns}
+    if "id" in receipts.columns and "id" not in out:
+        out["id"] = F.coalesce("id", key)
+    if now is not None:
+        out |= {"updated_at": F.when(F.col("_hit"), now).otherwise(F.col("updated_at")), "created_at": F.when(F.col("_there").isNull(), now).otherwise(F.col("created_at"))}
+    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in receipts.columns])
+
+
+@dataclass
+class Ingested:
+    """The tables after a batch, what is to be written back for it, and its counts."""
+
+    state: DataFrame
+    receipts: DataFrame
+    flags: DataFrame
+    write_back: DataFrame
+    stats: DataFrame
+
+
+def ingest(
+    docs: DataFrame, state: DataFrame, receipts: DataFrame, flags: DataFrame, categories: DataFrame, *, as_of_year: int, now: Column, provider: Provider | None = None,
+    settings: dict | None = None, force: bool = False, limit: int | None = None,
+) -> Ingested:
+    """One batch from texts to the ledger: parse what has changed, put the receipts in, give those without a category that of
+    their vendor's receipt updated last, flag the doubtful ones, and say what goes back to the source.
+
+    receipts and flags are tables of readers.RECEIPTS and readers.FLAGS; a receipt's document_id is the doc_id. Nothing is
+    written: the caller stores the tables as next versions (sinks.write_snapshot). parsed receipts are cut by a
+    checkpoint, so every document is parsed once."""
+    state_after, parsed = process(docs, state, as_of_year=as_of_year, provider=provider, settings=settings, force=force, limit=limit)
+    parsed = kept(parsed.withColumnRenamed("doc_id", "document_id"))
+    batch = parsed.select("document_id")
+    merged = upsert_receipts(receipts, parsed, now, "document_id")
+    touched = merged.join(batch, "document_id", "left_semi")
+    with_category = kept(catalog.infer_category(touched, merged))
+    after = merged.join(batch, "document_id", "left_anti").select(receipts.columns).unionByName(with_category.select(receipts.columns))
+    flagged = review.merge_flags(flags, review.flag(with_category), now)
+    ran = docs.orderBy("doc_id").limit(limit) if limit is not None else docs
+    outcome = state_after.join(ran.select("doc_id").distinct(), "doc_id").join(parsed.select(F.col("document_id").alias("doc_id"), F.size("warnings").alias("n_warnings")), "doc_id", "left")
+    stats = batch_stats(outcome.select(F.col("last_status").alias("status"), F.col("has_receipt").alias("is_receipt"), F.coalesce("n_warnings", F.lit(0)).alias("n_warnings")))
+    return Ingested(state_after, after, flagged, batch_write_back(with_category, categories), stats)
 
 
 def status(spark: SparkSession, name: str = "receipt-batch") -> dict:

@@ -1,5 +1,6 @@
 """Cases derived by hand from the rules, and properties against plain Python."""
 
+import time
 import unicodedata
 
 import pytest
@@ -169,3 +170,18 @@ def test_provider_is_asked_again(spark):
     assert (found[1].receipt.vendor, found[1].receipt.total) == ("Late", 5.0)
     assert (found[2].receipt.vendor, found[2].receipt.total, found[2].receipt.date) == ("Two", 7.5, "2024-02-03")
     assert not found[3].is_receipt and found[3].receipt.warnings == []
+
+
+def test_provider_that_fails_or_takes_too_long(spark):
+    docs = spark.createDataFrame([(1, "no total here, nothing to read at all in this text")], "doc_id long, text string")
+
+    def slow(frame):
+        time.sleep(3)
+        return frame.assign(answer="{}")
+
+    def broken(frame):
+        raise OSError("away")
+
+    for provider in (slow, broken):
+        found = providers.parse(docs, as_of_year=2030, provider=providers.within(provider, seconds=0.2, tries=2)).collect()
+        assert found[0].receipt.total == 0.0 and found[0].is_receipt

@@ -6,9 +6,10 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom import queries
-from ledgerloom.operators import documents
+from ledgerloom.operators import catalog, documents, ledger
 from ledgerloom.sources import readers, sinks
 from ledgerloom.streaming import incremental
 
@@ -119,8 +120,54 @@ def test_write_back_survives_failures(spark):
         if row.document_id % 2:
             raise OSError("away")
 
-    rows = sinks.write_back_rows(readers.receipts(spark, SF), readers.categories(spark, SF))
-    sinks.write_back(rows.limit(20), send)
+    rows = sinks.write_back_rows(readers.receipts(spark, SF), readers.categories(spark, SF)).limit(20)
+    odd = rows.where("document_id % 2 = 1").count()
+    assert sinks.write_back(rows, send, tries=2, wait=0.0) == odd
+
+
+def test_settings_limit_and_models(spark):
+    docs = spark.createDataFrame([(k, DOC.format(k), True) for k in range(1, 5)], "doc_id long, text string, tagged boolean")
+    none = spark.createDataFrame([], readers.STATE)
+    state, parsed = incremental.process(docs, none, as_of_year=2030, limit=2, settings={"text_model": "small"})
+    assert {r.doc_id: r.text_model for r in state.collect()} == {1: "small", 2: "small"} and parsed.count() == 2
+    assert incremental.process(docs.limit(4), state, as_of_year=2030, settings={"text_model": "small"})[1].count() == 2
+    assert incremental.process(docs, state, as_of_year=2030, settings={"text_model": "large"})[1].count() == 4
+    assert incremental.process(docs, state, as_of_year=2030, settings={"force_rescan": True})[1].count() == 4
+    words = "payment due date, minimum payment, annual fee " + "x" * 200_000
+    large = spark.createDataFrame([(1, words, True), (2, "Shop\nTotal 5.00\n" + "y" * 20_000, True)], "doc_id long, text string, tagged boolean")
+    state, parsed = incremental.process(large, none, as_of_year=2030, settings={"use_stored_text_first": False})
+    found = {r.doc_id: r for r in state.collect()}
+    assert found[1].error_message.startswith("statement_detected:200") and not found[1].has_receipt and len(found[2].ocr_text) == 10_036
+    assert [(r.doc_id, r.total) for r in parsed.collect()] == [(2, 5.0)]
+
+
+def test_ingest_twice_changes_nothing(spark):
+    docs = spark.createDataFrame([(1, DOC.format(1), True), (2, "short", True)], "doc_id long, text string, tagged boolean")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    categories = spark.createDataFrame([(1, "Food", None)], readers.CATEGORIES)
+    now = lambda t: F.lit(t).cast("timestamp_ntz")
+    first = incremental.ingest(docs, empty(readers.STATE), empty(readers.RECEIPTS), empty(readers.FLAGS), categories, as_of_year=2030, now=now("2030-01-01"))
+    assert tuple(first.stats.first()) == (2, 1, 0, 1, 0)
+    row = first.receipts.first()
+    assert (row.id, row.document_id, row.vendor, row.total, str(row.created_at), row.category_id) == (1, 1, "Corner Shop", 1.0, "2030-01-01 00:00:00", None)
+    assert first.write_back.count() == 1
+    known = first.receipts.withColumn("category_id", F.lit(1))
+    again = incremental.ingest(docs, first.state, known, first.flags, categories, as_of_year=2030, now=now("2031-01-01"))
+    assert again.write_back.count() == 0 and again.receipts.first().updated_at == row.updated_at
+    forced = incremental.ingest(docs, first.state, known, first.flags, categories, as_of_year=2030, now=now("2031-01-01"), force=True)
+    row = forced.receipts.first()
+    assert (str(row.updated_at), str(row.created_at), row.category_id) == ("2031-01-01 00:00:00", "2030-01-01 00:00:00", 1)
+    assert "Food" in forced.write_back.first().fields
+
+
+def test_repeated_changes_change_once(spark):
+    current = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
+    twice = spark.createDataFrame([("a", "8"), ("a", "9"), ("c", None), ("c", "5")], "key string, value string")
+    assert sorted(map(tuple, catalog.upsert(current, twice, "key").collect())) == [("a", "9"), ("b", "2"), ("c", "5")]
+    receipts = spark.createDataFrame([(1, "x", 1)], "id long, vendor string, category_id int").withColumn("normalized_vendor", F.lit("x"))
+    asked = spark.createDataFrame([(1, "y"), (1, "z")], "id long, vendor string")
+    assert [tuple(r) for r in ledger.patch(receipts, asked, spark.createDataFrame([(1, "c")], "id int, name string")).collect()] == [(1, "z", 1, "z")]
+    assert [r.vendor for r in ledger.lookup(receipts, 1).collect()] == ["x"] and ledger.lookup(receipts, 2).isEmpty()
 
 
 def test_entry_point(spark):
