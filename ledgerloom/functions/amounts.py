@@ -20,8 +20,10 @@ def parse_amount(line: Column) -> Column:
 
 def priority(clean: Column, field: str) -> Column:
     """The greatest priority of the field's labels found in a clean line; null for none."""
-    hits = [F.when(clean.rlike("(?iU)" + pattern), F.lit(p)) for name, pattern, p in LABEL_PATTERNS if name == field]
-    return F.greatest(*hits) if len(hits) > 1 else hits[0]
+    labels = [(pattern, p) for name, pattern, p in LABEL_PATTERNS if name == field]
+    hits = [F.when(clean.rlike("(?iU)" + pattern), F.lit(p)) for pattern, p in labels]
+    # Most lines have no label of a field, which one test of all its patterns tells.
+    return F.when(clean.rlike("(?iU)" + "|".join(f"(?:{pattern})" for pattern, _ in labels)), F.greatest(*hits)) if len(hits) > 1 else hits[0]
 
 
 def amount_lines(lines: Column) -> Column:
