@@ -14,7 +14,7 @@ has one.
 Term weights: count in the unit times ln((1 + units) / (1 + units with the term)) + 1. For lines the units that
 are counted are the lines that speak of a licence (``MARKER``) and the notices; for blocks and files all blocks,
 licence files and texts. A term that none of them has is in 0 units. No unit is left out by its words: only
-those go whose cosine provably cannot reach ``min_cosine`` (see ``_core`` and ``_reachable``).
+those go whose cosine provably cannot reach ``min_cosine`` (see ``_gate`` and ``_reachable``).
 
 Defined cases: a null or empty text has no unit; a null path has no directory and inherits nothing;
 of units with one score, and of texts with one score, the greater name in alphabetical order counts; texts of any
@@ -24,6 +24,7 @@ has no unit; an empty table gives no rows; other columns are not read, whatever
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -71,17 +72,18 @@ def _weight(tf, total, df, log):
     return tf * (log((1.0 + total) / (1.0 + df)) + 1.0)
 
 
-def _core(weights: dict[str, float], min_cosine: float) -> set[str]:
-    """The heaviest terms of a text, so many that a unit without any of them cannot reach min_cosine: by Cauchy and Schwarz
-    its cosine is at most the norm of the other terms over the norm of all. Scores are rounded to four digits, so a little less counts."""
-    left = norm = sum(v * v for v in weights.values())
-    core = set()
-    for term in sorted(weights, key=weights.get, reverse=True):
-        if left < norm * max(0.0, min_cosine - 1e-4) ** 2 * (1 - 1e-9):
-            break
-        core.add(term)
-        left -= weights[term] ** 2
-    return core
+def _gate(unit: F.Column, weights: list[tuple[int, str, dict[str, float]]], min_cosine: float) -> F.Column:
+    """Whether the cosine of a unit with some text may reach min_cosine: by Cauchy and Schwarz it is at most the norm of the
+    text's terms that the unit has, over the norm of all. Scores are rounded to four digits, so a little less counts."""
+    norms = [math.fsum(v * v for v in w.values()) for _, _, w in weights]
+    shares = {t: [w.get(t, 0.0) ** 2 / n for (_, _, w), n in zip(weights, norms, strict=True)] for t in sorted(set().union(*[w for _, _, w in weights]))}
+    table = F.from_json(F.lit(json.dumps(shares)), "map<string,array<double>>")  # a constant
+    sums = F.aggregate(
+        F.array_intersect(_terms(unit), F.map_keys(table)),
+        F.array(*[F.lit(0.0)] * len(weights)),
+        lambda acc, t: F.zip_with(acc, F.element_at(table, t), lambda x, y: x + y),
+    )
+    return F.array_max(sums) >= max(0.0, min_cosine - 1e-4) ** 2 * (1 - 1e-9)
 
 
 def _reachable(units: DataFrame, seen: DataFrame, total: int, weights: list[tuple[int, str, dict[str, float]]], min_cosine: float) -> DataFrame:
@@ -118,11 +120,11 @@ def best_matches(units: DataFrame, counted: DataFrame, texts: list[tuple[str, st
     total = counted.count() + len(texts)
     known = dict(map(tuple, seen.join(F.broadcast(in_texts.distinct()), "term", "left_semi").collect()))  # the texts' terms only
     weights = [(k, name, {term: _weight(n, total, known[term], math.log) for term, n in tf.items()}) for k, name, tf in of_texts]
-    core = sorted(set().union(*[_core(w, min_cosine) for _, _, w in weights]))
     rows = [(k, name, math.fsum(v * v for v in w.values()), term, v) for k, name, w in weights for term, v in w.items()]
     by_text = spark.createDataFrame(rows, "k int, license string, t_norm double, term string, v double")
-    keyed = units.where(F.arrays_overlap(_terms(F.col("unit")), F.array(*map(F.lit, core))))
+    keyed = units.where(_gate(F.col("unit"), weights, min_cosine))
     keyed = keyed.select("_id", F.concat(F.md5("unit"), F.when(F.col("unit").rlike(SEVERAL_LINES), "+").otherwise("")).alias("key"), "unit")
+    keyed = cut(keyed)  # few are left
     near = cut(keyed.join(cut(_reachable(keyed, seen, total, weights, min_cosine)), "key", "left_semi"))
     terms = near.groupBy("key").agg(F.first("unit").alias("unit")).select("key", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     weighted = terms.join(seen, "term", "left").select("key", "term", _weight(F.col("tf"), total, F.coalesce("df", F.lit(0)), F.log).alias("w"))
