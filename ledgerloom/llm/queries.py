@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import licenses, line_dedup, mixing, periodic_runs, quality, toxicity, url_lists, vector_search, winnowing
+from ledgerloom.llm import licenses, line_dedup, mixing, periodic_runs, quality, token_alignment, toxicity, url_lists, vector_search, winnowing
 from ledgerloom.llm.common import table
 from ledgerloom.llm.jaccard_join import near_duplicates
 from ledgerloom.llm.sentencepiece_codec import encode_decode
@@ -60,6 +60,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.query(spark, sf_dir)
+
+
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.query(spark, sf_dir)
 
@@ -71,7 +75,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_quality_rules, op2_toxicity, op3_jaccard_join, op4_license_scans, op5_sentencepiece, op6_url_filters, op7_suffix_dedup,
-        op8_mixing, op9_top_k, op10_line_dedup, op12_winnowing, op13_periodic_runs,
+        op8_mixing, op9_top_k, op10_line_dedup, op11_token_alignment, op12_winnowing, op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
