@@ -2,8 +2,8 @@
 
 Both tokenizers cut a text at a space that follows no white space: no token reaches over such a place from the left, so
 the tokens of the chunk that begins there do not depend on what stands before it. Chunks repeat, so each task aligns the
-distinct chunks that it meets, some hundred thousand characters at a time, and texts are put together from theirs by
-position. For the new chunks of a block the tokens of either side become an interval table (number, id, first byte, byte
+distinct chunks that it meets, and texts are put together from theirs by
+position. For the new chunks of some ``WORK`` characters the tokens of either side become an interval table (number, id, first byte, byte
 after the last, on one line of bytes), which DuckDB joins: a window sum over the ends that both sides share numbers the
 groups; an ASOF join finds the B token in which each A token ends; tokens that end together are links, or, if asked for, all
 that overlap, which the range between two ASOF joins gives.
@@ -36,11 +36,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, table
 
-#: Characters of text whose links share a table of pairs, and that are worked on at once.
+#: Characters of text whose links share a table of pairs.
 BLOCK = 4_000_000
+#: Characters of text whose chunks are aligned at once.
+WORK = 1_000_000
 #: Chunks and characters that a task keeps before its table is emptied.
-TABLE_ROWS = 400_000
-TABLE_CHARS = 20_000_000
+TABLE_ROWS = 250_000
+TABLE_CHARS = 10_000_000
+#: What DuckDB may hold in memory; beyond, it writes to the worker's own folder for the time of a query.
+DUCK_MEMORY = "200MB"
 #: Chunks that one call's line holds, where none has white space in it.
 LINE_CHUNKS = 64
 MARKER = "▁"
@@ -135,7 +139,7 @@ class Aligner:
         import duckdb
 
         self.a, self.b, self.links = a, b, LINKS[links]
-        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": DUCK_MEMORY})
         # An id with what follows it: a comma within a side's part of a group, else a bar after A's and a semicolon after B's.
         self.labels = [f"{i}{after}" for side, follow in ((a, ",|"), (b, ",;")) for after in follow for i in range(len(side.token))]
         self.label_sizes = np.array([len(x) for x in self.labels], np.int64)
@@ -245,7 +249,7 @@ class Aligner:
 
 
 def _results(aligner: Aligner, texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray, str, np.ndarray]]:
-    """Characters, counts, groups and links of every text, worked out for some BLOCK characters at a time."""
+    """Characters, counts, groups and links of every text, worked out for some WORK characters at a time."""
     none = (np.zeros(4, np.int64), "", np.zeros(0, np.int64))
     waiting: list[tuple[str, int, list[str]]] = []  # text, whether it ends here, chunks
     done: list[tuple | None] = []  # of the pieces of a text that is not at its end
@@ -262,11 +266,11 @@ def _results(aligner: Aligner, texts: Iterable[str]) -> Iterator[tuple[int, np.n
         waiting.clear()
 
     for text in texts:
-        found = list(pieces(text, BLOCK)) if len(text) > BLOCK else [chunks(text) if text else []]
+        found = list(pieces(text, WORK)) if len(text) > WORK else [chunks(text) if text else []]
         for i, piece in enumerate(found):
             waiting.append((text, i == len(found) - 1, piece))
-            held += min(len(text), BLOCK)
-            if held >= BLOCK:
+            held += min(len(text), WORK)
+            if held >= WORK:
                 yield from worked()
                 held = 0
     if waiting:

@@ -108,7 +108,7 @@ def test_odd_texts_in_small_blocks_equal_plain_loops(spark, libraries, links, mo
 
 def test_pieces_blocks_and_a_table_that_is_emptied(libraries, monkeypatch):
     a, b = token_alignment.default_models()
-    monkeypatch.setattr(token_alignment, "BLOCK", 40)
+    monkeypatch.setattr(token_alignment, "WORK", 40)
     monkeypatch.setattr(token_alignment, "TABLE_ROWS", 12)
     aligner = token_alignment.Aligner(token_alignment.byte_level(a), token_alignment.sentence_piece(b), "ends")
     texts = [t or "" for t in TEXTS] + ["many short words of one text, " * 9 + " and  spaces \n at all places " * 5 + "▁", "many short words of one text, " * 9]
