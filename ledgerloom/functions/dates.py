@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.fixed import DATE_CONFIRM, DATE_REJECT, ENGLISH_MONTHS, FRENCH_MONTHS, LATE_DATE_PATTERNS, LATE_DATE_PREFER, LATE_DATE_REJECT, LATE_MONTHS
-from ledgerloom.functions.text import let, strip, strip_accents
+from ledgerloom.functions.text import constant, let, strip, strip_accents
 
 _EARLY_MONTHS = FRENCH_MONTHS | ENGLISH_MONTHS
 _MONTH, _FRENCH, _ENGLISH = ("|".join(m) for m in (_EARLY_MONTHS, FRENCH_MONTHS, ENGLISH_MONTHS))
@@ -41,7 +41,7 @@ def _written(text: Column, months: dict[str, int]) -> Column:
 
 def _written_in(s: Column, months: dict[str, int]) -> Column:
     """A month's name, the first number of four digits and the first other number up to 31."""
-    table = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(f"{v:02d}").alias("month")) for k, v in months.items()])
+    table = constant({k: f"{v:02d}" for k, v in months.items()}, "name", "month")
     month = F.get(F.filter(table, lambda m: F.contains(s, m["name"])), F.lit(0))["month"]
     numbers = F.regexp_extract_all(s, F.lit("([0-9]+)"), F.lit(1))
     year = F.get(F.filter(numbers, lambda n: F.length(n) == 4), F.lit(0))
@@ -69,14 +69,16 @@ def parse_late(text: Column, as_of_year: int) -> Column:
     return _real(F.coalesce(*numeric, written), 2000, as_of_year + 1)
 
 
-def _candidates(line: Column, patterns: list[str], parse: Callable[[Column], Column], order: Callable[[Column, int, Column, Column], list[Column]]) -> Column:
-    """Structs (order..., iso) of all dates in a line, for array_max."""
-    def dated(k: int) -> Column:
-        matches = F.regexp_extract_all(line, F.lit(patterns[k]), F.lit(1))
-        ranked = F.transform(matches, lambda m, i: F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order(line, k, i, m))], parse(m).alias("iso")))
-        return F.filter(ranked, lambda x: x["iso"].isNotNull())
+def _candidates(line: Column, patterns: list[str], parse: Callable[[Column], Column], order: Callable[[Column], list[Column]]) -> Column:
+    """Structs (order..., iso) of all dates in a line, for array_max. Matches of all patterns are gathered as structs of k (pattern), i (match) and m (text)
+    before any is read, so that the reading stands in the plan once."""
 
-    return F.concat(*map(dated, range(len(patterns))))
+    def matches(k: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda m, i: F.struct(F.lit(k).alias("k"), i.alias("i"), m.alias("m")))
+
+    found = F.concat(*[matches(k, p) for k, p in enumerate(patterns)])
+    ranked = F.transform(found, lambda x: F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order(x))], parse(x["m"]).alias("iso")))
+    return F.filter(ranked, lambda x: x["iso"].isNotNull())
 
 
 def transaction_date(lines: Column) -> Column:
@@ -85,7 +87,7 @@ def transaction_date(lines: Column) -> Column:
     def of_line(line: Column, at: Column) -> Column:
         clean = strip_accents(F.lower(line))
         score = F.when(clean.rlike("(?iU)" + DATE_CONFIRM), 10).otherwise(0) + F.when(line.rlike(r"[0-9]{1,2}:[0-9]{2}"), 5).otherwise(0) + F.when(at < F.size(lines) * 0.4, 2).otherwise(0)
-        dates = _candidates(line, DATE_PATTERNS, parse_early, lambda _, k, i, m: [score, -at, F.lit(-k), -i])
+        dates = _candidates(line, DATE_PATTERNS, parse_early, lambda x: [score, -at, -x["k"], -x["i"]])
         return F.when(line.rlike("[0-9]{4}") & ~clean.rlike("(?iU)" + DATE_REJECT), dates)
 
     return F.array_max(F.flatten(F.array_compact(F.transform(lines, of_line))))["iso"]
@@ -98,7 +100,7 @@ def late_date(text: Column, as_of_year: int) -> Column:
     def of_line(line: Column, at: Column) -> Column:
         context = F.lower(F.concat(F.when(at > 0, F.get(lines, at - 1)).otherwise(""), F.lit(" "), line))
         score = F.when(context.rlike("(?iU)" + LATE_DATE_PREFER), 5).otherwise(0) + F.when(line.rlike(r"(?U)\b[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?\b"), 3).otherwise(0) + F.when(at < F.size(lines) * 0.5, 1).otherwise(0)
-        dates = _candidates(line, [f"(?iU){p}" for p in LATE_DATE_PATTERNS], lambda m: parse_late(m, as_of_year), lambda line, k, i, m: [score, -at, -F.position(m, line), F.lit(-k)])
+        dates = _candidates(line, [f"(?iU){p}" for p in LATE_DATE_PATTERNS], lambda m: parse_late(m, as_of_year), lambda x: [score, -at, -F.position(x["m"], line), -x["k"]])
         return F.when(line.rlike("[0-9]{4}") & ~context.rlike("(?iU)" + LATE_DATE_REJECT), dates)
 
     return F.array_max(F.flatten(F.array_compact(F.transform(lines, of_line))))["iso"]

@@ -33,6 +33,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def constant(table: dict[str, str], key: str, value: str) -> Column:
+    """A fixed table as an array of structs of two texts, in its order: one expression to read, however long it is."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("array(" + ", ".join(f"struct({quoted(k)} AS {key}, {quoted(v)} AS {value})" for k, v in table.items()) + ")")
+
+
 def bare(word: str) -> str:
     """A word of a fixed table without accents."""
     return "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn")
@@ -42,8 +48,13 @@ def strip_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, *_NFD), r"\p{Mn}+", "")
 
 
+#: All white space, with the four separators that count as such.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """text without white space at its ends; only these are looked at."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def blank_to_null(text: Column) -> Column:

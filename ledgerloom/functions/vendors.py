@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.fixed import BUYER_INLINE, BUYER_LINE, DOMAIN_VENDORS, KNOWN_VENDORS, LATE_DOMAIN_VENDORS, LOGO_VENDORS, MARKETPLACES, NOT_A_VENDOR
-from ledgerloom.functions.text import bare, is_upper, let, strip, strip_accents, title
+from ledgerloom.functions.text import bare, constant, is_upper, let, strip, strip_accents, title
 
 
 def first_contained(text: Column, table: dict[str, str], *, strip_keys: bool = False) -> Column:
     """The value of the first key, in the table's order, that text contains."""
     key = bare if strip_keys else str
-    rows = F.array(*[F.struct(F.lit(key(k)).alias("key"), F.lit(v).alias("value")) for k, v in table.items()])
+    first = {}
+    for k, v in table.items():
+        first.setdefault(key(k), v)
+    rows = constant(first, "key", "value")
     return let(text, lambda t: F.get(F.filter(rows, lambda r: F.contains(t, r["key"])), F.lit(0))["value"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import field_value
 from ledgerloom.functions.fixed import BANK_KEYWORDS, BOTTOM_MARK, LARGE_TEXT_CHARS, LARGE_TEXT_GAP, LARGE_TEXT_HEAD, LARGE_TEXT_TAIL, MIN_TEXT_CHARS, OCR_ROW_GAP, RECEIPT_TAG, STATEMENT_CHARS, STATEMENT_KEYWORDS
-from ledgerloom.functions.text import content_hash, strip
+from ledgerloom.functions.text import content_hash, let, strip
 
 
 def is_pdf(column: str) -> Column:
@@ -15,12 +15,13 @@ def is_pdf(column: str) -> Column:
 
 
 def keyword_hits(text: Column) -> Column:
-    low = F.lower(text)
-    return sum((F.when(F.contains(low, F.lit(k)), 1).otherwise(0) for k in BANK_KEYWORDS), F.lit(0))
+    words = F.array(*map(F.lit, BANK_KEYWORDS))
+    return let(F.lower(text), lambda low: F.size(F.filter(words, lambda k: F.contains(low, k))))
 
 
 def is_statement(text: Column, min_chars: int = STATEMENT_CHARS) -> Column:
-    return (keyword_hits(text) >= STATEMENT_KEYWORDS) & (F.length(text) > min_chars)
+    """Whether a text is long enough and holds enough of the words; only long texts are searched."""
+    return (F.length(text) > min_chars) & (keyword_hits(text) >= STATEMENT_KEYWORDS)
 
 
 def usable(text: Column) -> Column:
@@ -64,13 +65,15 @@ def with_rescan(text: Column, bottom: Column, has_total: Column) -> Column:
     return F.when(~has_total & (strip(bottom) != ""), F.concat(text, F.lit(BOTTOM_MARK), bottom)).otherwise(text)
 
 
-def chosen_text(pdf: Column, engine: Column, vision: Column, vision_method: Column, stored: Column) -> Column:
-    """Struct of text and method: embedded text, else the engine's, else the vision reader's, else the stored text, else failed. A reader that failed gives null."""
+def chosen_text(pdf: Column, engine: Column, vision: Column, vision_method: Column, stored: Column, *, bottom: Column | None = None, has_total: Column | None = None) -> Column:
+    """Struct of text and method: embedded text, else the engine's, else the vision reader's, else the stored text, else failed. A reader that failed gives null.
+
+    The engine's own text must be usable; only then is what a second look at the bottom of the page gave put after it, where has_total is false."""
     pick = lambda text, method: F.struct(text.alias("text"), method.alias("method"))
     long = lambda text: F.coalesce(F.length(text) >= MIN_TEXT_CHARS, F.lit(False))
     return (
         F.when(long(pdf), pick(pdf, F.lit("pdf_direct")))
-        .when(usable(engine), pick(engine, F.lit("engine")))
+        .when(usable(engine), pick(engine if bottom is None else with_rescan(engine, bottom, has_total), F.lit("engine")))
         .when(vision.isNotNull(), pick(vision, F.concat(F.lit("vision_"), vision_method)))
         .when(long(stored), pick(stored, F.lit("stored_fallback")))
         .otherwise(pick(F.lit(""), F.lit("failed")))

@@ -98,7 +98,11 @@ def report_by_category(receipts: DataFrame, categories: DataFrame, year: int | N
 
 def tax_shares(receipts: DataFrame, year: int | None = None) -> DataFrame:
     """Amount of each tax and its share of all tax in per cent with one decimal."""
-    sums = of_year(receipts, year).agg(*[F.coalesce(F.sum(cents(t)), F.lit(0)).cast(CENTS).alias(t) for t in TAXES])
+    return shares(of_year(receipts, year).agg(*[F.coalesce(F.sum(cents(t)), F.lit(0)).cast(CENTS).alias(t) for t in TAXES]))
+
+
+def shares(sums: DataFrame) -> DataFrame:
+    """The rows of tax_shares from one row of sums."""
     all_tax = sum((F.col(t) for t in TAXES[1:]), F.col(TAXES[0]))
     rows = F.stack(F.lit(5), *[x for t in TAXES for x in (F.lit(t.upper()), F.col(t).cast("double"))], F.lit("TOTAL"), F.col("all_tax").cast("double")).alias("tax", "amount")
     share = F.when(F.col("all_tax") == 0, F.when(F.col("tax") == "TOTAL", 100.0).otherwise(0.0)).otherwise(F.round(F.col("amount") * 100 / F.col("all_tax").cast("double"), 1))

@@ -8,7 +8,6 @@ filter first. Without a provider the deterministic receipt stands.
 from __future__ import annotations
 
 import sys
-import tempfile
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -20,6 +19,7 @@ from ledgerloom.functions.amounts import FIELDS
 from ledgerloom.functions.fixed import REVIEW_CONFIDENCE
 from ledgerloom.functions.text import let
 from ledgerloom.plans.extraction import RECEIPT, anchors, clean_answer, deterministic_receipt, is_complete, merged_answer, post_process, prompt_context
+from ledgerloom.sources.folders import shared_folder
 
 Provider = Callable[[pd.DataFrame], pd.DataFrame]
 CORRECTION = "Answer with one JSON object and nothing else."
@@ -50,10 +50,7 @@ def kept(df: DataFrame) -> DataFrame:
     """df in the shared checkpoint folder: no provider is asked twice for a row, and plans stay small."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

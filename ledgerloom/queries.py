@@ -491,8 +491,7 @@ FROM (SELECT doc_id, coalesce(length(text), 0) AS n, trim(coalesce(text, ''), E'
 def chosen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What readers of images would give: embedded text for one in five, an engine's for three, with a second look for one, a vision reader's for four."""
     body, k = F.col("text"), F.col("doc_id") % 5
-    engine = documents.with_rescan(F.when(k <= 2, body), F.lit("Total 5.00"), k != 1)
-    chosen = documents.chosen_text(F.when(k == 0, body), engine, F.when(k <= 3, F.lit("seen")), F.lit("small"), body)
+    chosen = documents.chosen_text(F.when(k == 0, body), F.when(k <= 2, body), F.when(k <= 3, F.lit("seen")), F.lit("small"), body, bottom=F.lit("Total 5.00"), has_total=k != 1)
     return readers.table(spark, sf_dir, "documents").select("doc_id", chosen.alias("x")).select("doc_id", "x.method", F.length("x.text").cast("long").alias("n_chars"))
 
 

@@ -31,11 +31,18 @@ def process(docs: DataFrame, state: DataFrame, *, as_of_year: int, provider: Pro
     is kept only with parity, where the next run then takes it for done. A statement of an account is done without a
     receipt; of other large texts a parser gets the beginning and the end.
     """
-    chosen = {k: v == "true" for k, v in DEFAULT_SETTINGS.items()} | {"text_model": None} | (settings or {})
     if limit is not None:
         docs = docs.orderBy("doc_id").limit(limit)
+    touched, receipts = results(latest(docs), state, as_of_year=as_of_year, provider=provider, settings=settings, force=force, parity=parity)
+    untouched = state.join(docs.select("doc_id"), "doc_id", "left_anti")
+    return untouched.select(touched.columns).unionByName(touched), receipts
+
+
+def results(docs: DataFrame, state: DataFrame, *, as_of_year: int, provider: Provider | None = None, settings: dict | None = None, force: bool = False, parity: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As process, for docs of one row a document: the states of these documents alone, and the parsed receipts. state may hold other documents too."""
+    chosen = {k: v == "true" for k, v in DEFAULT_SETTINGS.items()} | {"text_model": None} | (settings or {})
     found = changes(
-        latest(docs), state, text_model=chosen["text_model"], stored_first=chosen["use_stored_text_first"],
+        docs, state, text_model=chosen["text_model"], stored_first=chosen["use_stored_text_first"],
         skip_vision=chosen["skip_vision_if_text_exists"], force=force or chosen["force_rescan"],
     )
     found = found.withColumn("statement", F.col("needs_ocr") & is_statement(F.col("used"))).withColumn("used", F.when(F.col("needs_ocr") & ~F.col("statement"), shortened(F.col("used"))).otherwise(F.col("used")))
@@ -62,8 +69,7 @@ def process(docs: DataFrame, state: DataFrame, *, as_of_year: int, provider: Pro
         F.when(F.col("used") == "", "No usable text").when(fails, "text_too_short").when(F.col("statement"), statement).alias("error_message"),
         (F.col("has_receipt") | new).alias("has_receipt"),
     )
-    untouched = state.join(docs.select("doc_id"), "doc_id", "left_anti")
-    return untouched.select(touched.columns).unionByName(touched), receipts
+    return touched, receipts
 
 
 def upsert_receipts(receipts: DataFrame, parsed: DataFrame, now: Column | None = None, key: str = "doc_id") -> DataFrame:

@@ -185,3 +185,21 @@ def test_provider_that_fails_or_takes_too_long(spark):
     for provider in (slow, broken):
         found = providers.parse(docs, as_of_year=2030, provider=providers.within(provider, seconds=0.2, tries=2)).collect()
         assert found[0].receipt.total == 0.0 and found[0].is_receipt
+
+
+@pytest.mark.parametrize("n", [30, 39, 40])
+@pytest.mark.parametrize("has_total", [True, False])
+def test_an_engine_text_is_judged_before_the_second_look_is_added(spark, n, has_total):
+    c = lambda x: F.lit(x).cast("string")
+    chosen = documents.chosen_text(c(None), c("x" * n), c("seen"), c("small"), c("y" * 50), bottom=c("Total 5.00"), has_total=F.lit(has_total))
+    got = spark.range(1).select(chosen.alias("x")).first().x
+    if n < 40:
+        assert tuple(got) == ("seen", "vision_small")
+    else:
+        assert tuple(got) == ("x" * n + ("" if has_total else "\n\n[BOTTOM REGION RESCAN]\nTotal 5.00"), "engine")
+
+
+def test_strip_takes_all_white_space_from_the_ends_only(spark):
+    texts = ["", " ", "\t\n\x0b\x0c\r\x1c\x1f \x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000", " a\u3000b ", "\u200ba\u200b", "\ufeffx", "a" * 9 + "\n" * 9]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.s for r in rows.orderBy("i").select(text.strip(F.col("t")).alias("s")).collect()] == [t.strip() for t in texts]
