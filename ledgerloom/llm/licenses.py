@@ -14,7 +14,7 @@ has one.
 Term weights: count in the unit times ln((1 + units) / (1 + units with the term)) + 1. For lines the units that
 are counted are the lines that speak of a licence (``MARKER``) and the notices; for blocks and files all blocks,
 licence files and texts. A term that none of them has is in 0 units. No unit is left out by its words: only
-those go whose cosine provably cannot reach ``min_cosine`` (see ``_gate`` and ``_reachable``).
+those go whose cosine provably cannot reach ``min_cosine`` (see ``_may_reach``).
 
 Defined cases: a null or empty text has no unit; a null path has no directory and inherits nothing;
 of units with one score, and of texts with one score, the greater name in alphabetical order counts; texts of any
@@ -53,8 +53,10 @@ MIN_COSINE = 0.6
 COMMENT = r"[ \t]*+(?:#|//|/\*|\*|--|;|%|<!--)"
 BLOCK = rf"(?md)((?:^{COMMENT}[^\n]*+(?:\n|\z))++|(?:^(?!{COMMENT})[^\n]*\S[^\n]*+(?:\n|\z))++)"
 SEVERAL_LINES = r"\A\s*\S[^\n]*\n\s*\S"
-#: So many terms have their exact document frequency in the bound of _reachable.
-FREQUENT = 10_000
+#: Words that are no terms of the texts are counted by so many hash buckets at first.
+BUCKETS = 1 << 16
+#: Bits of the table of words that are counted exactly, later.
+BITS = 1 << 20
 LICENSE_FILE = r"(^|/)(LICEN[CS]E|COPYING)(\.[a-z]+)?$"
 
 
@@ -72,63 +74,98 @@ def _weight(tf, total, df, log):
     return tf * (log((1.0 + total) / (1.0 + df)) + 1.0)
 
 
-def _gate(unit: F.Column, weights: list[tuple[int, str, dict[str, float]]], min_cosine: float) -> F.Column:
-    """Whether the cosine of a unit with some text may reach min_cosine: by Cauchy and Schwarz it is at most the norm of the
-    text's terms that the unit has, over the norm of all. Scores are rounded to four digits, so a little less counts."""
+def _bucket(term: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _constant(values: list, kind: str) -> F.Column:
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _frequencies(counted: DataFrame, in_texts: DataFrame) -> tuple[int, dict[str, int], dict[int, int]]:
+    """How many units there are, in how many of them each of the texts' terms stands, and by bucket in how many all others stand together, which is as many
+    as any of them at least. Words are counted where they are read: a task sends a row for each bucket and term of the texts at most."""
+    words = counted.select(F.explode(F.array_append(F.array_distinct(_terms(F.col("unit"))), F.lit(""))).alias("term"))
+    mark = words.join(F.broadcast(in_texts.withColumn("known", F.col("term"))), "term", "left")  # the texts' terms, a fixed and small table
+    keys = [F.when(F.col("term") == "", "").otherwise(F.col("known")).alias("known"), F.when(F.col("known").isNull() & (F.col("term") != ""), _bucket(F.col("term"))).alias("bucket")]
+    rows = mark.select(*keys).groupBy("known", "bucket").agg(F.count("*").alias("n")).collect()
+    by_term = {r.known: r.n for r in rows if r.known is not None}
+    return by_term.pop("", 0), by_term, {r.bucket: r.n for r in rows if r.bucket is not None}
+
+
+def _may_reach(unit: F.Column, weights: list[tuple[int, str, dict[str, float]]], idf: dict[str, float], low: list[float], bucket_of: dict[str, int], min_cosine: float) -> F.Column:
+    """Whether the cosine of a unit with some text may reach min_cosine, by two bounds. Scores are rounded to four digits, so a little less counts.
+
+    Cauchy and Schwarz: a cosine is at most the norm of the text's terms that the unit has, over the norm of all. And it is the dot product over both norms,
+    where the square of the unit's norm is at least the square of the sum of its words' idf over the count of distinct words. Values are looked up
+    by bucket: for a dot product the greatest of the bucket's terms, for an idf the least, so all are bounds on the safe side."""
     norms = [math.fsum(v * v for v in w.values()) for _, _, w in weights]
-    shares = {t: [w.get(t, 0.0) ** 2 / n for (_, _, w), n in zip(weights, norms, strict=True)] for t in sorted(set().union(*[w for _, _, w in weights]))}
-    table = F.from_json(F.lit(json.dumps(shares)), "map<string,array<double>>")  # a constant
-    sums = F.aggregate(
-        F.array_intersect(_terms(unit), F.map_keys(table)),
-        F.array(*[F.lit(0.0)] * len(weights)),
-        lambda acc, t: F.zip_with(acc, F.element_at(table, t), lambda x, y: x + y),
-    )
-    return F.array_max(sums) >= max(0.0, min_cosine - 1e-4) ** 2 * (1 - 1e-9)
-
-
-def _reachable(units: DataFrame, seen: DataFrame, total: int, weights: list[tuple[int, str, dict[str, float]]], min_cosine: float) -> DataFrame:
-    """The keys of the units (key, unit) whose cosine with a text may reach min_cosine.
-
-    The dot products are exact sums over a unit's words. The norm is bounded from below: its square is at least the square of
-    the sum of the words' idf over the count of distinct words. The idf is exact for the texts' terms and the ``FREQUENT`` most
-    frequent ones, and for all others that of the last of these. One row a unit leaves the map task."""
-    ordered = seen.orderBy(F.desc("df"), "term").limit(FREQUENT).collect()
-    floor = _weight(1, total, ordered[-1].df, math.log)
-    idf = {r.term: _weight(1, total, r.df, math.log) for r in ordered}
-    in_texts = sorted({term for _, _, w in weights for term in w})
-    exact = dict(map(tuple, seen.join(F.broadcast(units.sparkSession.createDataFrame([(t,) for t in in_texts], "term string")), "term", "left_semi").collect()))
-    idf |= {t: _weight(1, total, exact[t], math.log) for t in in_texts}
-    texts = set(in_texts)
-    known = [(t, v, [v * w.get(t, 0.0) / math.sqrt(math.fsum(x * x for x in w.values())) for _, _, w in weights] if t in texts else None) for t, v in idf.items()]
-    known = units.sparkSession.createDataFrame(known, "term string, idf double, g array<double>")
-    words = _terms(F.col("unit"))
-    rows = units.select("key", F.monotonically_increasing_id().alias("row"), words.alias("words"))
-    rows = rows.select("key", "row", F.size(F.array_distinct("words")).alias("kinds"), F.explode("words").alias("term"))
-    dots = [F.sum(F.coalesce(F.col("g")[k], F.lit(0.0))).alias(f"d{k}") for k in range(len(weights))]
-    sums = rows.join(F.broadcast(known), "term", "left").groupBy("key", "row", "kinds").agg(F.sum(F.coalesce("idf", F.lit(floor))).alias("all"), *dots)
-    most = F.greatest(F.lit(0.0), *[F.col(f"d{k}") for k in range(len(weights))])
-    return sums.where(most * (1 + 1e-9) >= (min_cosine - 1e-4) * F.col("all") / F.sqrt("kinds")).select("key").distinct()
+    shares: list[list[float] | None] = [None] * BUCKETS
+    dots: list[list[float] | None] = [None] * BUCKETS
+    for t in sorted(set().union(*[w for _, _, w in weights])):
+        b = bucket_of[t]
+        for table, values in (
+            (shares, [w.get(t, 0.0) ** 2 / n for (_, _, w), n in zip(weights, norms, strict=True)]),
+            (dots, [idf[t] * w.get(t, 0.0) / math.sqrt(n) for (_, _, w), n in zip(weights, norms, strict=True)]),
+        ):
+            table[b] = values if table[b] is None else list(map(max, table[b], values))
+    zero = F.array(*[F.lit(0.0)] * len(weights))
+    sums = lambda buckets, table: F.aggregate(F.filter(F.transform(buckets, lambda b: F.get(table, b)), lambda x: x.isNotNull()), zero, lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
+    least, slack = max(0.0, min_cosine - 1e-4), 1 - 1e-9
+    of_shares, of_dots, of_low = _constant(shares, "array<array<double>>"), _constant(dots, "array<array<double>>"), _constant(low, "array<double>")
+
+    def test(words: F.Column) -> F.Column:
+        kinds = F.array_distinct(words)
+        own = F.array_max(sums(F.transform(kinds, _bucket), of_shares)) >= least**2 * slack
+        all_idf = F.aggregate(words, F.lit(0.0), lambda acc, t: acc + F.get(of_low, _bucket(t)))
+        return own & (F.array_max(sums(F.transform(words, _bucket), of_dots)) >= least * slack * all_idf / F.sqrt(F.size(kinds)))
+
+    # An array of one array names the words, so that they are found once. A unit without words has no cosine.
+    return F.get(F.transform(F.array(_terms(unit)), lambda words: (F.size(words) > 0) & test(words)), F.lit(0))
+
+
+def _exact(counted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term and df of the terms of wanted. A table of BITS bits says where they are read which words can be among them."""
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(BITS))
+    set_bits = wanted.select((place(F.col("term")) / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(term), {BITS}) % 64 AS INT))").alias("bit"))
+    bits = [0] * (BITS // 64)
+    for r in set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r.word] = r.bits
+    held = _constant(bits, "array<bigint>")
+    may = lambda t: F.getbit(F.get(held, (place(t) / 64).cast("int")), (place(t) % 64).cast("int")) == 1
+    words = counted.select(F.explode(F.filter(F.array_distinct(_terms(F.col("unit"))), may)).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
 
 
 def best_matches(units: DataFrame, counted: DataFrame, texts: list[tuple[str, str]], min_cosine: float, *, n_notices: int = 0) -> DataFrame:
     """_id and best (score, license) of units (_id, unit) that reach min_cosine; term weights are from counted (unit) and the texts.
-    The first n_notices texts are not compared with units of one line."""
+    The first n_notices texts are not compared with units of one line.
+
+    Units are read three times: to count the texts' terms and bound all others, to drop the units that cannot reach min_cosine, and to count the words
+    of those that are left. Only these are written and compared."""
     spark = units.sparkSession
     of_texts = [(k, name, Counter(re.findall(WORD, text.lower()))) for k, (name, text) in enumerate(texts)]
-    in_texts = spark.createDataFrame([(term,) for _, _, tf in of_texts for term in tf], "term string")
-    seen = cut(counted.select(F.explode(F.array_distinct(_terms(F.col("unit")))).alias("term")).union(in_texts).groupBy("term").agg(F.count("*").alias("df")))
-    total = counted.count() + len(texts)
-    known = dict(map(tuple, seen.join(F.broadcast(in_texts.distinct()), "term", "left_semi").collect()))  # the texts' terms only
-    weights = [(k, name, {term: _weight(n, total, known[term], math.log) for term, n in tf.items()}) for k, name, tf in of_texts]
-    rows = [(k, name, math.fsum(v * v for v in w.values()), term, v) for k, name, w in weights for term, v in w.items()]
-    by_text = spark.createDataFrame(rows, "k int, license string, t_norm double, term string, v double")
-    keyed = units.where(_gate(F.col("unit"), weights, min_cosine))
-    keyed = keyed.select("_id", F.concat(F.md5("unit"), F.when(F.col("unit").rlike(SEVERAL_LINES), "+").otherwise("")).alias("key"), "unit")
-    keyed = cut(keyed)  # few are left
-    near = cut(keyed.join(cut(_reachable(keyed, seen, total, weights, min_cosine)), "key", "left_semi"))
-    terms = near.groupBy("key").agg(F.first("unit").alias("unit")).select("key", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    in_texts = spark.createDataFrame(sorted({(term,) for _, _, tf in of_texts for term in tf}), "term string")
+    n_units, of_term, of_bucket = _frequencies(counted, in_texts)
+    total = n_units + len(texts)
+    df = Counter(of_term) + Counter(term for _, _, tf in of_texts for term in tf)
+    idf = {t: _weight(1, total, n, math.log) for t, n in df.items()}
+    weights = [(k, name, {term: n * idf[term] for term, n in tf.items()}) for k, name, tf in of_texts]
+    bucket_of = {r.term: r.b for r in in_texts.select("term", _bucket(F.col("term")).alias("b")).collect()}
+    low = [_weight(1, total, of_bucket.get(b, 0), math.log) for b in range(BUCKETS)]
+    for t, b in bucket_of.items():
+        low[b] = min(low[b], idf[t])
+
+    near = units.where(_may_reach(F.col("unit"), weights, idf, low, bucket_of, min_cosine))
+    near = cut(near.select("_id", F.concat(F.md5("unit"), F.when(F.col("unit").rlike(SEVERAL_LINES), "+").otherwise("")).alias("key"), "unit"))
+    terms = cut(near.groupBy("key").agg(F.first("unit").alias("unit")).select("key", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf")))
+    known = spark.createDataFrame(sorted(df.items()), "term string, df long")
+    others = cut(terms.select("term").distinct().join(F.broadcast(known.select("term")), "term", "left_anti"))
+    seen = cut(_exact(counted, others).unionByName(known))
     weighted = terms.join(seen, "term", "left").select("key", "term", _weight(F.col("tf"), total, F.coalesce("df", F.lit(0)), F.log).alias("w"))
     norms = weighted.groupBy("key").agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
+    rows = [(k, name, math.fsum(v * v for v in w.values()), term, v) for k, name, w in weights for term, v in w.items()]
+    by_text = spark.createDataFrame(rows, "k int, license string, t_norm double, term string, v double")
     # The texts' terms are a fixed, small table.
     dots = weighted.join(F.broadcast(by_text), "term").where((F.col("k") >= n_notices) | F.col("key").endswith("+")).groupBy("key", "k", "license", "t_norm").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     scored = dots.join(norms, "key").select("key", "license", F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("t_norm")), 4).alias("score"))
