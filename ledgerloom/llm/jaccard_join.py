@@ -50,6 +50,8 @@ RADIUS = 1 - SIMILAR / 100
 FLUSH = 2_000_000
 #: Elements of all the sets of a region that one task joins.
 LEAF = 1_000_000
+#: Shuffled divisions, one after the other, after which something must be wrong.
+LEVELS = 64
 #: Pivots of a division.
 PIVOTS = 8
 #: Sets that are compared without a further division.
@@ -365,7 +367,7 @@ def links_of(members: DataFrame, sets: DataFrame, *, leaf: int = LEAF, divided:
     of_two = homes.where("size = 2 AND region != node").select("region")  # these are done
     whole = F.lit(1 << 62)
     active = members.join(of_two, "region", "left_anti").select("region", "node", "n", F.col("region").alias("parent"), whole.alias("was"))
-    for level in range(64):
+    for level in range(LEVELS):
         roots = cut(components(links))
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         parts = active.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
@@ -386,7 +388,7 @@ def links_of(members: DataFrame, sets: DataFrame, *, leaf: int = LEAF, divided:
         if divided is not None:
             divided.append(large.select("region").distinct().count())
         if large.isEmpty():
-            break
+            return links
         outside = large.where("part != core")
         drawn = outside.where(F.pmod(F.xxhash64("node", "region", F.lit(level)), "outside") < PIVOTS).select("region", "node")
         pivots = drawn.union(outside.groupBy("region").agg(F.min("node").alias("node"))).distinct()  # one at least
@@ -395,7 +397,8 @@ def links_of(members: DataFrame, sets: DataFrame, *, leaf: int = LEAF, divided:
         places = near.select(F.xxhash64("region", "pivot").alias("inner"), "node", "region").join(large.select("region", "node", "n"), ["region", "node"])
         again = large.select("region", "node", "n", F.col("region").alias("parent"), F.col("rest").alias("was"))
         active = places.select(F.col("inner").alias("region"), "node", "n", F.col("region").alias("parent"), whole.alias("was")).union(again)
-    return links
+    # What a division leaves unconnected is divided again only while it halves, so this takes more sets than there can be.
+    raise RuntimeError(f"regions are left after {LEVELS} divisions")
 
 
 def row_key(id_col: str, text_col: str) -> F.Column:

@@ -1,11 +1,11 @@
 """Operator 10: removal of repeated lines by overlapping three-line windows. DataFrame functions only.
 
-Every run of ``window`` consecutive lines is hashed (64 bits). Of equal windows anywhere in the table the
+Every run of ``window`` consecutive lines is hashed (128 bits, two hashes of 64). Of equal windows anywhere in the table the
 first by (id, document, line) stays; the lines that the others cover are merged and removed. The first occurrence of
 any line content always stays. Counting is pre-aggregated before the shuffle and the windows' table
 carries no text, so a window that a third of the rows share costs no task more than the others.
 
-A document is told by a hash of its id and text. Rows that share an id are documents of their own if their texts
+A document is told by a hash of its id and text (128 bits). Rows that share an id are documents of their own if their texts
 differ, ordered by that hash; rows that are the same in both have the same windows, so they count as one document and
 all lose the same lines.
 
@@ -26,13 +26,15 @@ WINDOW = 3
 
 
 def _key(id_col: str, text_col: str) -> F.Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col))
+    parts = [F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col)]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 
 
 def _covered(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """doc (the key of a row) and covered, the sorted positions (from 0) of the lines to remove, for documents that have any."""
     lines = docs.select(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), _key(id_col, text_col).alias("doc"), F.split(F.col(text_col), "\n").alias("lines"))
-    hashes = F.transform(F.sequence(F.lit(1), F.size("lines") - (window - 1)), lambda i: F.xxhash64(F.slice("lines", i, window)))
+    both = lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(1), w).alias("b"))
+    hashes = F.transform(F.sequence(F.lit(1), F.size("lines") - (window - 1)), lambda i: both(F.slice("lines", i, window)))
     with scratch():
         found = cut(lines.where(F.size("lines") >= window).select("no_id", "id", "doc", F.posexplode(hashes).alias("at", "hash")))
         place, same = F.struct("no_id", "id", "doc", "at"), F.struct("doc", "at")

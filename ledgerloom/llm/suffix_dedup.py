@@ -48,11 +48,21 @@ HOT = 512
 HELD = 1 << 16
 #: Suffixes that one task merges, on average.
 MERGED = 50_000
+#: Bits of a gram's hash that hold its place; a text with more places is taken in slices.
 _PLACE = np.uint64((1 << 28) - 1)
+SLICE = 1 << 27
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(place in the chunk, document) of every anchor of a whole window."""
+    if len(data) > SLICE + length - 1:
+        # A slice holds the windows that begin in SLICE places; an anchor depends on its window alone.
+        parts = []
+        for a in range(0, len(data) - length + 1, SLICE):
+            part = data[a : a + SLICE + length - 1]
+            parts.append(a + anchors_of(part, np.unique(np.clip(offsets - a, 0, len(part))), length)[0])
+        found = np.unique(np.concatenate(parts))
+        return found, np.searchsorted(offsets, found, "right") - 1
     last = len(data) - length
     if last < 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
