@@ -53,10 +53,12 @@ MIN_COSINE = 0.6
 COMMENT = r"[ \t]*+(?:#|//|/\*|\*|--|;|%|<!--)"
 BLOCK = rf"(?md)((?:^{COMMENT}[^\n]*+(?:\n|\z))++|(?:^(?!{COMMENT})[^\n]*\S[^\n]*+(?:\n|\z))++)"
 SEVERAL_LINES = r"\A\s*\S[^\n]*\n\s*\S"
-#: Words that are no terms of the texts are counted by so many hash buckets at first.
-BUCKETS = 1 << 16
-#: Bits of the table of words that are counted exactly, later.
-BITS = 1 << 20
+#: Words that are no terms of the texts are counted by so many hash buckets at first. Plans hold these tables, so they are short.
+BUCKETS = 1 << 13
+#: Buckets of the texts' terms in the bounds.
+PLACES = 1 << 12
+#: Bits of the table of words that are counted exactly, later: 16 for each, but so many at least and at most.
+LEAST_BITS, MOST_BITS = 1 << 14, 1 << 22
 LICENSE_FILE = r"(^|/)(LICEN[CS]E|COPYING)(\.[a-z]+)?$"
 
 
@@ -74,8 +76,13 @@ def _weight(tf, total, df, log):
     return tf * (log((1.0 + total) / (1.0 + df)) + 1.0)
 
 
-def _bucket(term: F.Column) -> F.Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bucket(term: F.Column, buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def _up(value: float) -> float:
+    """value or a little more, in few digits."""
+    return float(f"{value * 1.0006:.4g}") if value else 0.0
 
 
 def _constant(values: list, kind: str) -> F.Column:
@@ -87,48 +94,58 @@ def _frequencies(counted: DataFrame, in_texts: DataFrame) -> tuple[int, dict[str
     as any of them at least. Words are counted where they are read: a task sends a row for each bucket and term of the texts at most."""
     words = counted.select(F.explode(F.array_append(F.array_distinct(_terms(F.col("unit"))), F.lit(""))).alias("term"))
     mark = words.join(F.broadcast(in_texts.withColumn("known", F.col("term"))), "term", "left")  # the texts' terms, a fixed and small table
-    keys = [F.when(F.col("term") == "", "").otherwise(F.col("known")).alias("known"), F.when(F.col("known").isNull() & (F.col("term") != ""), _bucket(F.col("term"))).alias("bucket")]
+    keys = [F.when(F.col("term") == "", "").otherwise(F.col("known")).alias("known"), F.when(F.col("known").isNull() & (F.col("term") != ""), _bucket(F.col("term"), BUCKETS)).alias("bucket")]
     rows = mark.select(*keys).groupBy("known", "bucket").agg(F.count("*").alias("n")).collect()
     by_term = {r.known: r.n for r in rows if r.known is not None}
     return by_term.pop("", 0), by_term, {r.bucket: r.n for r in rows if r.bucket is not None}
 
 
-def _may_reach(unit: F.Column, weights: list[tuple[int, str, dict[str, float]]], idf: dict[str, float], low: list[float], bucket_of: dict[str, int], min_cosine: float) -> F.Column:
+def _may_reach(unit: F.Column, weights: list[tuple[int, str, dict[str, float]]], idf: dict[str, float], low: list[float], place_of: dict[str, int], min_cosine: float) -> F.Column:
     """Whether the cosine of a unit with some text may reach min_cosine, by two bounds. Scores are rounded to four digits, so a little less counts.
 
     Cauchy and Schwarz: a cosine is at most the norm of the text's terms that the unit has, over the norm of all. And it is the dot product over both norms,
     where the square of the unit's norm is at least the square of the sum of its words' idf over the count of distinct words. Values are looked up
     by bucket: for a dot product the greatest of the bucket's terms, for an idf the least, so all are bounds on the safe side."""
     norms = [math.fsum(v * v for v in w.values()) for _, _, w in weights]
-    shares: list[list[float] | None] = [None] * BUCKETS
-    dots: list[list[float] | None] = [None] * BUCKETS
+    shares: list[list[float] | None] = [None] * PLACES
+    dots: list[list[float] | None] = [None] * PLACES
     for t in sorted(set().union(*[w for _, _, w in weights])):
-        b = bucket_of[t]
+        b = place_of[t]
         for table, values in (
             (shares, [w.get(t, 0.0) ** 2 / n for (_, _, w), n in zip(weights, norms, strict=True)]),
             (dots, [idf[t] * w.get(t, 0.0) / math.sqrt(n) for (_, _, w), n in zip(weights, norms, strict=True)]),
         ):
+            values = list(map(_up, values))
             table[b] = values if table[b] is None else list(map(max, table[b], values))
     zero = F.array(*[F.lit(0.0)] * len(weights))
     sums = lambda buckets, table: F.aggregate(F.filter(F.transform(buckets, lambda b: F.get(table, b)), lambda x: x.isNotNull()), zero, lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
     least, slack = max(0.0, min_cosine - 1e-4), 1 - 1e-9
-    of_shares, of_dots, of_low = _constant(shares, "array<array<double>>"), _constant(dots, "array<array<double>>"), _constant(low, "array<double>")
+    of_shares, of_dots, of_low = _constant(shares, "array<array<double>>"), _constant(dots, "array<array<double>>"), _constant([math.floor(x * 100) / 100 for x in low], "array<double>")
+
+    # The same with the greatest value of any text in place of one for each: less sharp and quick, so it comes first.
+    greatest = lambda table: _constant([max(x) if x else 0.0 for x in table], "array<double>")
+    any_share, any_dot = greatest(shares), greatest(dots)
+    total = lambda words, table, n: F.aggregate(words, F.lit(0.0), lambda acc, t: acc + F.get(table, _bucket(t, n)))
 
     def test(words: F.Column) -> F.Column:
         kinds = F.array_distinct(words)
-        own = F.array_max(sums(F.transform(kinds, _bucket), of_shares)) >= least**2 * slack
-        all_idf = F.aggregate(words, F.lit(0.0), lambda acc, t: acc + F.get(of_low, _bucket(t)))
-        return own & (F.array_max(sums(F.transform(words, _bucket), of_dots)) >= least * slack * all_idf / F.sqrt(F.size(kinds)))
+        places = lambda x: F.transform(x, lambda t: _bucket(t, PLACES))
+        norm = total(words, of_low, BUCKETS) / F.sqrt(F.size(kinds))
+        quick = (total(words, any_dot, PLACES) >= least * slack * norm) & (total(kinds, any_share, PLACES) >= least**2 * slack)
+        return quick & (F.array_max(sums(places(words), of_dots)) >= least * slack * norm) & (F.array_max(sums(places(kinds), of_shares)) >= least**2 * slack)
 
     # An array of one array names the words, so that they are found once. A unit without words has no cosine.
     return F.get(F.transform(F.array(_terms(unit)), lambda words: (F.size(words) > 0) & test(words)), F.lit(0))
 
 
 def _exact(counted: DataFrame, wanted: DataFrame) -> DataFrame:
-    """term and df of the terms of wanted. A table of BITS bits says where they are read which words can be among them."""
-    place = lambda t: F.pmod(F.xxhash64(t), F.lit(BITS))
-    set_bits = wanted.select((place(F.col("term")) / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(term), {BITS}) % 64 AS INT))").alias("bit"))
-    bits = [0] * (BITS // 64)
+    """term and df of the terms of wanted. A table of bits says where words are read which of them can be among these."""
+    n, most = LEAST_BITS, 16 * wanted.count()
+    while n < min(most, MOST_BITS):
+        n *= 2
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(n))
+    set_bits = wanted.select((place(F.col("term")) / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(term), {n}) % 64 AS INT))").alias("bit"))
+    bits = [0] * (n // 64)
     for r in set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
         bits[r.word] = r.bits
     held = _constant(bits, "array<bigint>")
@@ -151,17 +168,17 @@ def best_matches(units: DataFrame, counted: DataFrame, texts: list[tuple[str, st
     df = Counter(of_term) + Counter(term for _, _, tf in of_texts for term in tf)
     idf = {t: _weight(1, total, n, math.log) for t, n in df.items()}
     weights = [(k, name, {term: n * idf[term] for term, n in tf.items()}) for k, name, tf in of_texts]
-    bucket_of = {r.term: r.b for r in in_texts.select("term", _bucket(F.col("term")).alias("b")).collect()}
+    where = in_texts.select("term", _bucket(F.col("term"), BUCKETS).alias("bucket"), _bucket(F.col("term"), PLACES).alias("place")).collect()
     low = [_weight(1, total, of_bucket.get(b, 0), math.log) for b in range(BUCKETS)]
-    for t, b in bucket_of.items():
-        low[b] = min(low[b], idf[t])
+    for r in where:
+        low[r.bucket] = min(low[r.bucket], idf[r.term])
 
-    near = units.where(_may_reach(F.col("unit"), weights, idf, low, bucket_of, min_cosine))
+    near = units.where(_may_reach(F.col("unit"), weights, idf, low, {r.term: r.place for r in where}, min_cosine))
     near = cut(near.select("_id", F.concat(F.md5("unit"), F.when(F.col("unit").rlike(SEVERAL_LINES), "+").otherwise("")).alias("key"), "unit"))
     terms = cut(near.groupBy("key").agg(F.first("unit").alias("unit")).select("key", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf")))
     known = spark.createDataFrame(sorted(df.items()), "term string, df long")
     others = cut(terms.select("term").distinct().join(F.broadcast(known.select("term")), "term", "left_anti"))
-    seen = cut(_exact(counted, others).unionByName(known))
+    seen = known if others.isEmpty() else cut(_exact(counted, others).unionByName(known))
     weighted = terms.join(seen, "term", "left").select("key", "term", _weight(F.col("tf"), total, F.coalesce("df", F.lit(0)), F.log).alias("w"))
     norms = weighted.groupBy("key").agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
     rows = [(k, name, math.fsum(v * v for v in w.values()), term, v) for k, name, w in weights for term, v in w.items()]
