@@ -104,7 +104,7 @@ def _may_reach(unit: F.Column, weights: list[tuple[int, str, dict[str, float]]],
     """Whether the cosine of a unit with some text may reach min_cosine, by two bounds. Scores are rounded to four digits, so a little less counts.
 
     Cauchy and Schwarz: a cosine is at most the norm of the text's terms that the unit has, over the norm of all. And it is the dot product over both norms,
-    where the square of the unit's norm is at least the square of the sum of its words' idf over the count of distinct words. Values are looked up
+    where the unit's norm is bounded at first by its square, which is at least the square of the sum of its words' idf over the count of distinct words, then by its counts. Values are looked up
     by bucket: for a dot product the greatest of the bucket's terms, for an idf the least, so all are bounds on the safe side."""
     norms = [math.fsum(v * v for v in w.values()) for _, _, w in weights]
     shares: list[list[float] | None] = [None] * PLACES
@@ -132,7 +132,15 @@ def _may_reach(unit: F.Column, weights: list[tuple[int, str, dict[str, float]]],
         places = lambda x: F.transform(x, lambda t: _bucket(t, PLACES))
         norm = total(words, of_low, BUCKETS) / F.sqrt(F.size(kinds))
         quick = (total(words, any_dot, PLACES) >= least * slack * norm) & (total(kinds, any_share, PLACES) >= least**2 * slack)
-        return quick & (F.array_max(sums(places(words), of_dots)) >= least * slack * norm) & (F.array_max(sums(places(kinds), of_shares)) >= least**2 * slack)
+        # Of the words in order, the k-th of a kind adds k^2 - (k - 1)^2 to the square of its count.
+        start = F.struct(F.lit("").alias("word"), F.lit(0).alias("k"), F.lit(0.0).alias("square"))
+
+        def counted(acc: F.Column, t: F.Column) -> F.Column:
+            k, idf_of_t = F.when(acc["word"] == t, acc["k"] + 1).otherwise(1), F.get(of_low, _bucket(t, BUCKETS))
+            return F.struct(t.alias("word"), k.alias("k"), (acc["square"] + (2 * k - 1) * idf_of_t * idf_of_t).alias("square"))
+
+        sharp = F.sqrt(F.aggregate(F.array_sort(words), start, counted, lambda acc: acc["square"]))
+        return quick & (F.array_max(sums(places(words), of_dots)) >= least * slack * sharp) & (F.array_max(sums(places(kinds), of_shares)) >= least**2 * slack)
 
     # An array of one array names the words, so that they are found once. A unit without words has no cosine.
     return F.get(F.transform(F.array(_terms(unit)), lambda words: (F.size(words) > 0) & test(words)), F.lit(0))
@@ -230,23 +238,41 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs.select("doc_id", "text", F.expr(PATH_SQL).alias("path")))
 
 
-_NOTICES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(TEMPLATES.items()))
-SQL = f"""
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _scored(p: str, units: str, counted: str, texts: list[tuple[str, str]], n_notices: int) -> str:
+    """Tables that end in {p}_best (unit, best) for distinct units (unit, several) of a table; counted (unit) gives the term weights."""
+    rows = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(texts))
+    weight = "tf * (ln((1.0 + total) / (1.0 + coalesce(df, 0))) + 1.0)"
+    return f"""
+{p}_texts(k, license, text) AS (VALUES {rows}),
+{p}_ut AS (SELECT unit, several, term, count(*) AS tf FROM (SELECT unit, several, unnest(regexp_extract_all(lower(unit), '{WORD}')) AS term FROM (SELECT DISTINCT unit, several FROM {units})) GROUP BY ALL),
+{p}_nt AS (SELECT k, license, term, count(*) AS tf FROM (SELECT k, license, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM {p}_texts) GROUP BY ALL),
+{p}_total AS (SELECT (SELECT count(*) FROM {counted}) + {len(texts)} AS total),
+{p}_seen AS (SELECT term, sum(n) AS df FROM (SELECT term, n FROM (SELECT unit, count(*) AS n FROM {counted} GROUP BY unit) JOIN (SELECT DISTINCT unit, term FROM {p}_ut) USING (unit) UNION ALL SELECT term, 1 FROM {p}_nt) GROUP BY term),
+{p}_w AS (SELECT unit, several, term, {weight} AS w FROM {p}_ut LEFT JOIN {p}_seen USING (term), {p}_total),
+{p}_v AS (SELECT k, license, term, {weight} AS v FROM {p}_nt JOIN {p}_seen USING (term), {p}_total),
+{p}_vn AS (SELECT k, sum(v * v) AS t_norm FROM {p}_v GROUP BY k),
+{p}_wn AS (SELECT unit, sum(w * w) AS norm FROM {p}_w GROUP BY unit),
+{p}_score AS (SELECT unit, k, license, round(sum(w * v) / sqrt(any_value(norm) * any_value(t_norm)), 4) AS score
+  FROM {p}_w JOIN {p}_v USING (term) JOIN {p}_vn USING (k) JOIN {p}_wn USING (unit) WHERE k >= {n_notices} OR several GROUP BY unit, k, license),
+{p}_best AS (SELECT unit, max(struct_pack(score := score, license := license)) AS best FROM {p}_score WHERE score >= {MIN_COSINE} GROUP BY unit)"""
+
+
+_NOTICES = sorted(TEMPLATES.items())
+SQL = rf"""
 WITH files AS (SELECT doc_id, text, {PATH_SQL} AS path FROM documents),
-lines AS (SELECT doc_id, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files) WHERE regexp_matches(lower(line), '{MARKER}')),
-notices(license, line) AS (VALUES {_NOTICES}),
-counts AS (SELECT line, count(*) AS n FROM lines GROUP BY line),
-total AS (SELECT (SELECT coalesce(sum(n), 0) FROM counts) + {len(TEMPLATES)} AS total),
-terms AS (SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest(regexp_extract_all(lower(line), '{WORD}')) AS term FROM counts) GROUP BY ALL),
-nterms AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(line), '{WORD}')) AS term FROM notices) GROUP BY ALL),
-seen AS (SELECT term, sum(n) AS df FROM (SELECT term, n FROM terms UNION ALL SELECT term, 1 FROM nterms) GROUP BY term),
-w AS (SELECT line, term, tf * (ln((1.0 + total) / (1.0 + df)) + 1.0) AS w FROM terms JOIN seen USING (term), total),
-v AS (SELECT license, term, tf * (ln((1.0 + total) / (1.0 + df)) + 1.0) AS v FROM nterms JOIN seen USING (term), total),
-tn AS (SELECT license, sum(v * v) AS t_norm FROM v GROUP BY license),
-wn AS (SELECT line, sum(w * w) AS norm FROM w GROUP BY line),
-scored AS (SELECT line, license, round(sum(w * v) / sqrt(any_value(norm) * any_value(t_norm)), 4) AS score
-  FROM w JOIN v USING (term) JOIN tn USING (license) JOIN wn USING (line) GROUP BY line, license),
-own AS (SELECT doc_id, max(struct_pack(score := score, license := license)) AS own FROM lines JOIN scored USING (line) WHERE score >= {MIN_COSINE} GROUP BY doc_id),
+lines AS (SELECT doc_id, trim(line) AS unit, false AS several FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files)),
+marked AS (SELECT unit FROM lines WHERE regexp_matches(lower(unit), '{MARKER}')),
+plain AS (SELECT doc_id, path, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM files),
+parts AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM plain)),
+kinds AS (SELECT *, CASE WHEN regexp_matches(line, '^[ \t]*(#|//|/\*|\*|--|;|%|<!--)') THEN 1 WHEN regexp_matches(line, '\S') THEN 2 ELSE 0 END AS kind FROM parts),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) AS island FROM kinds WHERE kind > 0),
+pieces AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS unit FROM islands GROUP BY doc_id, kind, island UNION ALL SELECT doc_id, text FROM plain WHERE regexp_matches(path, '{LICENSE_FILE}') AND text IS NOT NULL),
+blocks AS (SELECT doc_id, unit, regexp_matches(unit, '^\s*\S[^\n]*\n\s*\S') AS several FROM pieces),{_scored("line", "lines", "marked", _NOTICES, 0)},{_scored("block", "blocks", "blocks", _NOTICES + license_texts(), len(_NOTICES))},
+own AS (SELECT doc_id, max(best) AS own FROM (SELECT doc_id, best FROM lines JOIN line_best USING (unit) UNION ALL SELECT doc_id, best FROM blocks JOIN block_best USING (unit)) GROUP BY doc_id),
 placed AS (SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, own FROM files LEFT JOIN own USING (doc_id)),
 given AS (SELECT dir AS given_dir, max(own) AS given FROM placed WHERE regexp_matches(path, '{LICENSE_FILE}') AND own IS NOT NULL GROUP BY dir),
 near AS (SELECT dir, arg_max(struct_pack(given := given, given_dir := given_dir), length(given_dir)) AS near
