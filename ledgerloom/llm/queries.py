@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import licenses, line_dedup, mixing, periodic_runs, quality, token_alignment, toxicity, url_lists, vector_search, winnowing
-from ledgerloom.llm.common import table
+from ledgerloom.llm import licenses, line_dedup, mixing, periodic_runs, quality, token_alignment, topics, toxicity, url_lists, vector_search, winnowing
+from ledgerloom.llm.common import cut, table
 from ledgerloom.llm.jaccard_join import near_duplicates
 from ledgerloom.llm.sentencepiece_codec import encode_decode
 from ledgerloom.llm.suffix_dedup import remove_repeats
@@ -48,7 +48,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixing.sample(docs, mixing.rake(docs)).drop("text")
+    topic = topics.topic_of(F.col("text"), topics.fit(docs))
+    prepared = mixing.prepare(docs, topic=topic)
+    # What the cells and the draw need, without the texts, so that these are read once.
+    narrow = cut(prepared.withColumn(mixing.ROW, F.col(mixing.ROW).dropFields("text")))
+    return mixing.copies(narrow, mixing.rake(narrow))
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

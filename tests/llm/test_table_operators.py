@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import common, licenses, line_dedup, mixing, queries, url_lists, vector_search
+from ledgerloom.llm import common, licenses, line_dedup, mixing, queries, topics, url_lists, vector_search
 from ledgerloom.llm.sentencepiece_codec import Codec, default_model
 from tests.llm.test_text_operators import brute_components, shingles
 
@@ -133,8 +133,8 @@ def test_gate_of_licenses_keeps_all_pairs(spark, monkeypatch):
     best = lambda: sorted(map(tuple, licenses.best_matches(units, units, texts, 0.6).collect()))
     gated = best()
     # With few buckets and bits, bounds are loose and words are counted that nobody asked for.
-    monkeypatch.setattr(licenses, "BUCKETS", 7)
-    monkeypatch.setattr(licenses, "BITS", 64)
+    for name, n in (("BUCKETS", 7), ("PLACES", 5), ("LEAST_BITS", 64), ("MOST_BITS", 64)):
+        monkeypatch.setattr(licenses, name, n)
     assert gated == best()
     monkeypatch.setattr(licenses, "_may_reach", lambda *_: F.lit(True))
     assert gated == best() and len(gated) > 8
@@ -160,7 +160,7 @@ def test_mixing_like_plain_raking(spark):
     rng = random.Random(8)
     rows = [(k, " ".join(["w"] * rng.randint(0, 60)) + rng.choice(["", " 7", " | a | b"]), rng.choice("AAAAAB") if k % 9 else None, rng.choice(["en", "fr"]), k, "y") for k in range(600)]
     docs = spark.createDataFrame([*rows, (1000, None, "A", "en", 1, "y"), (1001, "", "B", "fr", 1, "y"), (None, "w", None, None, None, None)], "doc_id long, text string, source string, lang string, n int, row string").repartition(5)
-    mixture = mixing.rake(docs)
+    mixture = mixing.rake(docs, max_ratio=1e9)
     out = mixing.sample(docs, mixture).collect()
     assert len(out) == 603 and mixture.change < 1e-6 and out[0].row in ("y", None)
     cells = Counter()
@@ -183,8 +183,9 @@ def test_mixing_like_plain_raking(spark):
     fixed = mixing.rake(docs, {"source": {"A": 1.0}})
     assert {r.ratio for r in mixing.sample(docs, fixed).where("source = 'B' AND n_tokens > 0").collect()} == {0.0}
     assert mixing.sample(docs.where("doc_id < 0"), mixing.rake(docs.where("doc_id < 0"))).count() == 0
-    with pytest.raises(ValueError, match="more than 1 cells"):
-        mixing.rake(docs, max_cells=1)
+    table = mixing.rake(docs, max_cells=1, max_ratio=1e9, sweeps=40)
+    assert table.table is not None and table.change < 1e-6 and math.isclose(table.sampled_share(), mixture.sampled_share(), rel_tol=1e-4)
+    assert {(r.doc_id, r.sampled) for r in mixing.sample(docs, table).collect()} == same
 
 
 def test_mixing_sample_meets_skewed_targets(spark):
@@ -207,13 +208,52 @@ def test_mixing_sample_meets_skewed_targets(spark):
         assert abs(sum(r.n_tokens for r in taken if r.source == k) / total - v / sum(aims.values())) < 0.02
 
 
+def test_mixing_copies_meet_skewed_targets_whatever_a_rare_cell_wants(spark):
+    rows = [(k, " ".join(["w"] * 20), "rare" if k < 12 else "hot" if k % 3 == 0 else f"s{k % 5}", "en" if k % 2 else "fr", "x" if k % 7 else "y") for k in range(20000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, subject string").repartition(3)
+    targets = {"topic": {"x": 0.6, "y": 0.4}, "lang": {"en": 0.3, "fr": 0.7}, "source": {"hot": 0.2, **{f"s{k}": 0.1594 for k in range(5)}, "rare": 0.003}}
+    prepared = mixing.prepare(docs, topic=F.col("subject"))
+    mixture = mixing.rake(prepared, targets)
+    found = mixing.copies(prepared, mixture).collect()
+    total = sum(r.n_tokens * r.copies for r in found)
+    assert abs(total / (20 * len(rows)) - 1) < 0.02 and mixture.sampled_share() < 0.3
+    for d, shares in targets.items():
+        for value, share in shares.items():
+            assert abs(sum(r.n_tokens * r.copies for r in found if r[d] == value) / total - share / sum(shares.values())) < 0.02
+    bound = mixing.rake(prepared, targets | {"source": {"hot": 0.2, "rare": 0.8}})
+    assert max(r for *_, r in bound.cells) == mixing.MAX_RATIO and bound.missed["source"] > 0.7 and max(mixture.missed.values()) < 0.001
+
+
+def test_many_cells_are_raked_as_a_table(spark):
+    docs = spark.range(130_000).selectExpr("id AS doc_id", "concat_ws(' ', array_repeat('w', int(1 + id % 3))) AS text", "concat('s', id) AS source", "IF(id % 4 = 0, 'en', 'fr') AS lang", "concat('t', id % 3) AS topic")
+    mixture = mixing.rake(docs, {"lang": {"en": 0.5, "fr": 0.5}}, topic=F.col("topic"), sweeps=40, tolerance=1e-3)
+    assert mixture.table is not None and mixture.table.count() == 130_000
+    sums = mixture.table.groupBy("lang").agg((F.sum(F.col("n") * F.col("ratio")) / F.lit(260_000)).alias("share")).collect()
+    assert all(abs(r.share - 0.5) < 0.02 for r in sums)
+    assert mixing.copies(docs, mixture, topic=F.col("topic")).where("copies > 0").count() > 60_000
+
+
+def test_topics_tell_kinds_of_text_apart(spark):
+    rng = random.Random(3)
+    kinds = [[f"{c}{k}" for k in range(30)] for c in "abc"]
+    rows = [(k, " ".join(rng.choices(kinds[k % 3], k=rng.randint(5, 60)))) for k in range(300)] + [(300, None), (301, ""), (302, " .,! "), (303, kinds[0][0] * 3 + " " + " ".join(kinds[1] * 3000))]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    model = topics.fit(docs, topics=3, sample=150)
+    found = {r.doc_id: r.t for r in docs.select("doc_id", topics.topic_of(F.col("text"), model).alias("t")).collect()}
+    names = [{found[k] for k in range(300) if k % 3 == j} for j in range(3)]
+    assert all(len(x) == 1 for x in names) and len(set.union(*names)) == 3
+    assert [found[k] for k in (300, 301, 302)] == ["none"] * 3 and {found[303]} == names[1]
+    nothing = topics.fit(docs.where("doc_id IN (300, 301)"))
+    assert {r.t for r in docs.select(topics.topic_of(F.col("text"), nothing).alias("t")).collect()} == {"none"}
+
+
 def test_mixing_stage_meets_its_targets_without_weights(spark):
-    rows = [(k, " ".join(["w"] * 20) + (" | a" if k % 100 == 7 else ""), "hot" if k % 3 == 0 else f"s{k % 19}", "en") for k in range(6000)]
+    words = {"prose": ["rain", "sun", "wind", "tree"], "rare": ["table", "row", "cell", "sum"]}
+    rows = [(k, " ".join(words["rare" if k % 100 == 7 else "prose"] * 5), "hot" if k % 3 == 0 else f"s{k % 19}", "en") for k in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
     out = corpus_pipeline.mixing_stage(spark, docs, SF)
     assert out.columns == docs.columns
-    topic = lambda text: "tabular" if " | " in text else "prose"
-    for kind in (lambda r: r.source, lambda r: topic(r.text)):
+    for kind in (lambda r: r.source, lambda r: "table" in r.text):
         natural, real = Counter(), Counter()
         for counts, found in ((natural, docs.collect()), (real, out.collect())):
             for r in found:
