@@ -8,7 +8,7 @@ and all intermediate tables when the next stage has read them.
 2. Line dedup: later occurrences of repeated three-line windows go from the texts; n_chars follows.
 3. N-gram Jaccard join: of each group of near copies the document with the smallest id stays (null ids come last; ties
    by a hash of the text); rows alike in id and text are one document, with an id or without.
-4. Mixing: sources, languages and topics are raked to tempered shares, and documents are sampled to them; one whose
+4. Mixing: sources, languages and topics (nearest centroids) are raked to tempered shares, and documents are sampled to them; one whose
    ratio exceeds 1 may be repeated, so an id may come several times. All ratios are scaled so that no more rows come
    out than went in.
 5. SentencePiece: the texts that are left are encoded.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, quality
+from ledgerloom.llm import mixing, quality, topics
 from ledgerloom.llm.common import cut, drop, kept, scratch
 from ledgerloom.llm.jaccard_join import one_of_each
 from ledgerloom.llm.line_dedup import dedup_lines
@@ -41,8 +41,10 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixture = mixing.rake(docs)
-    return mixing.resample(docs, mixture, scale=mixing.fitting_scale(docs, mixture))
+    topic = topics.topic_of(F.col("text"), topics.fit(docs))
+    prepared = cut(mixing.prepare(docs, topic=topic))  # texts are read once; cells and scale read the narrow columns
+    mixture = mixing.rake(prepared)
+    return mixing.resample(prepared, mixture, scale=mixing.fitting_scale(prepared, mixture))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

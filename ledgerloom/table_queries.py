@@ -61,7 +61,7 @@ def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("int").alias("part"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("content_hash"))
 
 
-@query("SELECT id, 0.0 AS qst, 'CAD' AS currency, gst FROM ledger")
+@query("SELECT id, CAST(0 AS DOUBLE) AS qst, 'CAD' AS currency, gst FROM ledger")
 def upgraded_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts of the first layout, which had neither QST nor currency."""
     path = fresh_folder(spark, "old")

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom import queries
+from ledgerloom import queries, table_queries  # noqa: F401  the latter adds its own
 from ledgerloom.operators import catalog, documents, ledger
 from ledgerloom.sources import readers, sinks
 from ledgerloom.streaming import incremental
