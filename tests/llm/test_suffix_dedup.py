@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 
@@ -92,3 +93,14 @@ def test_merge_sorts_and_knows_common_prefixes():
         out = [parts[r][i] for r, i, _ in order]
         assert out == sorted(s for p in parts for s in p)
         assert [n for *_, n in order] == [0 if k == 0 else common_prefix(out[k - 1], s) for k, s in enumerate(out)]
+
+
+def test_long_texts_are_searched_in_slices(monkeypatch):
+    data = np.random.default_rng(5).integers(97, 100, 6000).astype(np.uint8)
+    offsets = np.array([0, 50, 50, 1000, 1150, 6000])
+    whole = suffix_dedup.anchors_of(data, offsets, 200)
+    assert len(whole[0]) > 50
+    for size in (300, 701):
+        monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        for a, b in zip(whole, suffix_dedup.anchors_of(data, offsets, 200), strict=True):
+            assert a.tolist() == b.tolist()

@@ -58,6 +58,15 @@ def test_line_dedup(spark):
     again = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc")], "doc_id int, text string")
     assert [r.text for r in line_dedup.dedup_lines(again).collect()] == ["a\nb\nc"] * 2
     assert line_dedup.dedup_lines(docs, counts=False).columns == docs.columns
+
+
+def test_lines_whose_hashes_collide_are_told_apart(spark, monkeypatch):
+    """The first of two hashes takes three values only, of windows and of documents."""
+    rng, real = random.Random(7), F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(3)) if len(c) in (1, 3) else real(*c))
+    texts = {k: "\n".join(rng.choice("abcd") * rng.randint(0, 2) for _ in range(20)) for k in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == brute_lines(texts)
     assert line_dedup.dedup_lines(docs.where("doc_id < 0")).count() == 0
 
 

@@ -179,6 +179,13 @@ def test_jaccard_join_divides_by_shuffles_again_and_again(spark):
     assert sum(n > 0 for n in divided) >= 2
 
 
+def test_jaccard_join_never_leaves_a_region_undone_in_silence(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEVELS", 1)
+    docs = spark.createDataFrame(list(enumerate(family(random.Random(3), 160, 4))), "doc_id long, text string")
+    with pytest.raises(RuntimeError, match="regions are left"):
+        jaccard_join.near_duplicates(docs, leaf=1500)
+
+
 def test_jaccard_join_of_null_and_shared_ids(spark):
     text = " ".join(f"w{k}" for k in range(80))
     rows = [(None, text), (5, text + " x"), (7, text + " y z"), (None, "a b c d e f"), (None, "a b c d e f"), (3, None), (3, ""), (None, " "), (9, "p q r s t u v"), (9, text + " q"), (5, text + " x")]
