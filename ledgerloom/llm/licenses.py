@@ -159,7 +159,8 @@ def _exact(counted: DataFrame, wanted: DataFrame) -> DataFrame:
     held = _constant(bits, "array<bigint>")
     may = lambda t: F.getbit(F.get(held, (place(t) / 64).cast("int")), (place(t) % 64).cast("int")) == 1
     words = counted.select(F.explode(F.filter(F.array_distinct(_terms(F.col("unit"))), may)).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
+    # wanted is distinct. A semi-join would be moved below the aggregation, to all words.
+    return words.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term")
 
 
 def best_matches(units: DataFrame, counted: DataFrame, texts: list[tuple[str, str]], min_cosine: float, *, n_notices: int = 0) -> DataFrame:
