@@ -135,6 +135,12 @@ def receipts_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page(stored, rollups.groups(stored), after=pages.Cursor("2017-06-15", 100), category_id=3, limit=200).select("id", "date", "vendor", "total")
 
 
+@query("SELECT id, vendor, date, total FROM ledger WHERE id = 7")
+def receipt_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One receipt by its id."""
+    return L.lookup(readers.receipts(spark, sf_dir), 7).select("id", "vendor", "date", "total")
+
+
 @query("SELECT id, vendor FROM ledger WHERE vendor ILIKE '%bl_e%t st%'")
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts by a part of the vendor's name with wildcards, by postings."""
