@@ -140,7 +140,8 @@ def _may_reach(unit: F.Column, weights: list[tuple[int, str, dict[str, float]]],
             return F.struct(t.alias("word"), k.alias("k"), (acc["square"] + (2 * k - 1) * idf_of_t * idf_of_t).alias("square"))
 
         sharp = F.sqrt(F.aggregate(F.array_sort(words), start, counted, lambda acc: acc["square"]))
-        return quick & (F.array_max(sums(places(words), of_dots)) >= least * slack * sharp) & (F.array_max(sums(places(kinds), of_shares)) >= least**2 * slack)
+        dot = F.array_max(sums(places(words), of_dots))
+        return quick & (dot >= least * slack * norm) & (F.array_max(sums(places(kinds), of_shares)) >= least**2 * slack) & (dot >= least * slack * sharp)
 
     # An array of one array names the words, so that they are found once. A unit without words has no cosine.
     return F.get(F.transform(F.array(_terms(unit)), lambda words: (F.size(words) > 0) & test(words)), F.lit(0))
