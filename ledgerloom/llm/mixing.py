@@ -30,6 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import topics
 from ledgerloom.llm.common import cut, drop
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -99,6 +100,12 @@ def prepare(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias(ROW), *dimensions, tokens.alias("n"), drawn.alias("drawn"))
 
 
+def with_topics(prepared: DataFrame) -> DataFrame:
+    """A prepared table that has the column vector (topics.vector_of) with the topics of a fit to all of it."""
+    model = topics.Topics(*topics.centroids_of(prepared.select("vector.*"), topics.TOPICS))
+    return prepared.withColumn("topic", topics.topic_at(F.col("vector"), model)).drop("vector")
+
+
 def _missed(reached: np.ndarray, wanted: np.ndarray) -> float:
     total = wanted.sum()
     return float(np.abs(reached - wanted).sum() / 2 / total) if total else 0.0

@@ -401,3 +401,14 @@ def test_pipeline_of_nothing(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_topics_are_fitted_to_all_texts(spark):
+    """All 12,002 texts count for the idf, a kind of two texts has its own centroid, and the fit is the same however the table is dealt."""
+    made = [(i, f"alpha beta gamma {'delta' if i % 2 else 'epsilon'}") for i in range(12_000)] + [(20_000 + i, "violin cello oboe flute") for i in range(2)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    one, other = topics.fit(docs.repartition(7), topics=3), topics.fit(docs.repartition(3), topics=3)
+    assert (one.idf == other.idf).all() and (one.centroids == other.centroids).all() and len(one.centroids) == 3
+    assert one.idf.max() == pytest.approx(np.log(1 + len(made)) + 1)
+    found = {r.doc_id: r.t for r in docs.where("doc_id < 2 OR doc_id >= 20000").select("doc_id", topics.topic_of(F.col("text"), one).alias("t")).collect()}
+    assert len({found[0], found[1], found[20_000]}) == 3 and found[20_000] == found[20_001]
