@@ -21,7 +21,14 @@ def keyword_hits(text: Column) -> Column:
 
 def is_statement(text: Column, min_chars: int = STATEMENT_CHARS) -> Column:
     """Whether a text is long enough and holds enough of the words; only long texts are searched."""
-    return (F.length(text) > min_chars) & (keyword_hits(text) >= STATEMENT_KEYWORDS)
+    return (F.length(text) > min_chars) & let(F.lower(text), _enough_keywords)
+
+
+def _enough_keywords(low: Column) -> Column:
+    """keyword_hits(low) >= STATEMENT_KEYWORDS; when so many are found, the rest are not looked for."""
+    words = F.array(*map(F.lit, BANK_KEYWORDS))
+    hits = F.aggregate(words, F.lit(0), lambda n, k: F.when(n >= STATEMENT_KEYWORDS, n).when(F.contains(low, k), n + 1).otherwise(n))
+    return hits >= STATEMENT_KEYWORDS
 
 
 def usable(text: Column) -> Column:
@@ -36,7 +43,8 @@ def shortened(text: Column, limit: int = LARGE_TEXT_CHARS) -> Column:
 
 def good_text(text: Column) -> Column:
     """Whether embedded text can be used: 20 characters, 85 % of them printable, few unreadable font codes."""
-    size, unprintable = F.length(text), F.regexp_count(text, F.lit(r"[\p{C}\p{Zl}\p{Zp}&&[^\n\t]]"))
+    # What is printable in ASCII is told first, which is much cheaper than a character's category.
+    size, unprintable = F.length(text), F.regexp_count(text, F.lit(r"[[^\x20-\x7E\n\t]&&[\p{C}\p{Zl}\p{Zp}]]"))
     codes = F.regexp_count(text, F.lit(r"\(cid:[0-9]+\)"))
     return F.coalesce((size >= 20) & ((size - unprintable) / size >= 0.85) & ~((codes > 5) & (codes * 8 / size > 0.15)), F.lit(False))
 
