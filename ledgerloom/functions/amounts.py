@@ -6,16 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.fixed import AMOUNT, AMOUNT_AT_END, LABEL_PATTERNS, MATH_ADJUSTABLE, MATH_TOLERANCE, MAX_TAX_RATIO, OCR_LOOKALIKES, PENALTIES, TAXES
-from ledgerloom.functions.text import strip, strip_accents
+from ledgerloom.functions.text import let, strip, strip_accents
 
 FIELDS = ["total", "pre_tax", *TAXES]
 
 
 def parse_amount(line: Column) -> Column:
     """The first amount of a line, else one at its end; a comma may be the decimal point, a sign is dropped."""
+    # Each step is worked out once and only where it can give something: a line without a point or comma has no amount, and casts of what is no number are dear.
     first = F.regexp_extract(line, "(?iU)" + AMOUNT, 1)
-    found = F.when(first != "", first).otherwise(F.regexp_extract(line, "(?U)" + AMOUNT_AT_END, 1))
-    return F.replace(found, F.lit(","), F.lit(".")).try_cast("double")
+    found = let(first, lambda x: F.when(x != "", x).otherwise(F.regexp_extract(line, "(?U)" + AMOUNT_AT_END, 1)))
+    number = let(found, lambda x: F.when(x != "", F.replace(x, F.lit(","), F.lit(".")).try_cast("double")))
+    return F.when(F.contains(line, F.lit(".")) | F.contains(line, F.lit(",")), number)
 
 
 def priority(clean: Column, field: str) -> Column:

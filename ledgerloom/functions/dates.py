@@ -20,6 +20,9 @@ DATE_PATTERNS = [
     rf"(?iU)\b((?:le\s+)?[0-9]{{1,2}}\s+(?:{_FRENCH})\w*\.?\s*,?\s*[0-9]{{4}})\b",
 ]
 
+#: What a line has that holds a date: figures, or the first letters of a month's name (with what Unicode folds to them). It is tested before the patterns, of which each is dearer.
+_MAY_BE_DATED = r"(?i)[0-9][-/\.][0-9]{1,2}[-/\.][0-9]|j(?:an|u[iıİln])|f[eéÉ][vb]|ma[riyıİ]|a(?:[vp]r|o[uûÛ]|ug)|[sſ]ep|oct|nov|d[eéÉ]c"
+
 
 def _joined(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
@@ -50,20 +53,26 @@ def _written_in(s: Column, months: dict[str, int]) -> Column:
 
 
 def _real(iso: Column, first_year: int, last_year: Column | int) -> Column:
-    day = F.try_to_date(iso, "yyyy-MM-dd")
-    return F.when(day.isNotNull() & F.year(day).between(first_year, last_year), iso)
+    in_years = lambda i: let(F.try_to_date(i, "yyyy-MM-dd"), lambda day: F.when(day.isNotNull() & F.year(day).between(first_year, last_year), i))
+    return let(iso, in_years)
 
 
 def parse_early(text: Column) -> Column:
     """A date as the first parser reads it: years 2000 to 2035."""
-    s = F.regexp_replace(F.lower(strip(text)), r"(?U)^le\s+", "")
+    return let(F.regexp_replace(F.lower(strip(text)), r"(?U)^le\s+", ""), _parsed_early)
+
+
+def _parsed_early(s: Column) -> Column:
     iso = F.coalesce(_numeric(s, r"^([0-9]{4})[-/]([0-9]{2})[-/]([0-9]{2})$", (1, 2, 3)), _either_order(s), _written(s, _EARLY_MONTHS))
     return _real(iso, 2000, 2035)
 
 
 def parse_late(text: Column, as_of_year: int) -> Column:
     """A date as the post-processor reads it: from 2000 to the end of the year after as_of_year."""
-    s = strip(text)
+    return let(strip(text), lambda s: _parsed_late(s, as_of_year))
+
+
+def _parsed_late(s: Column, as_of_year: int) -> Column:
     numeric = [_numeric(s, r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$", (1, 2, 3)), _either_order(s), _numeric(s, r"^([0-9]{4})[/\-]([0-9]{2})[/\-]([0-9]{2})$", (1, 2, 3)), _numeric(s, r"^([0-9]{4})([0-9]{2})([0-9]{2})$", (1, 2, 3))]
     written = _written(F.regexp_replace(F.lower(s), r"(?U)^le\s+", ""), LATE_MONTHS)
     return _real(F.coalesce(*numeric, written), 2000, as_of_year + 1)
@@ -85,10 +94,13 @@ def transaction_date(lines: Column) -> Column:
     """Of the dates on lines that no label rejects: confirmed +10, with a time +5, in the first 40 % +2; ties: line, pattern, match."""
 
     def of_line(line: Column, at: Column) -> Column:
-        clean = strip_accents(F.lower(line))
+        dated = let(strip_accents(F.lower(line)), lambda clean: of_clean(line, clean, at))
+        return F.when(line.rlike("[0-9]{4}") & line.rlike(_MAY_BE_DATED), dated)
+
+    def of_clean(line: Column, clean: Column, at: Column) -> Column:
         score = F.when(clean.rlike("(?iU)" + DATE_CONFIRM), 10).otherwise(0) + F.when(line.rlike(r"[0-9]{1,2}:[0-9]{2}"), 5).otherwise(0) + F.when(at < F.size(lines) * 0.4, 2).otherwise(0)
         dates = _candidates(line, DATE_PATTERNS, parse_early, lambda x: [score, -at, -x["k"], -x["i"]])
-        return F.when(line.rlike("[0-9]{4}") & ~clean.rlike("(?iU)" + DATE_REJECT), dates)
+        return F.when(~clean.rlike("(?iU)" + DATE_REJECT), dates)
 
     return F.array_max(F.flatten(F.array_compact(F.transform(lines, of_line))))["iso"]
 
@@ -99,8 +111,11 @@ def late_date(text: Column, as_of_year: int) -> Column:
 
     def of_line(line: Column, at: Column) -> Column:
         context = F.lower(F.concat(F.when(at > 0, F.get(lines, at - 1)).otherwise(""), F.lit(" "), line))
+        return F.when(line.rlike("[0-9]{4}") & line.rlike(_MAY_BE_DATED), let(context, lambda c: of_context(line, c, at)))
+
+    def of_context(line: Column, context: Column, at: Column) -> Column:
         score = F.when(context.rlike("(?iU)" + LATE_DATE_PREFER), 5).otherwise(0) + F.when(line.rlike(r"(?U)\b[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?\b"), 3).otherwise(0) + F.when(at < F.size(lines) * 0.5, 1).otherwise(0)
         dates = _candidates(line, [f"(?iU){p}" for p in LATE_DATE_PATTERNS], lambda m: parse_late(m, as_of_year), lambda x: [score, -at, -F.position(x["m"], line), -x["k"]])
-        return F.when(line.rlike("[0-9]{4}") & ~context.rlike("(?iU)" + LATE_DATE_REJECT), dates)
+        return F.when(~context.rlike("(?iU)" + LATE_DATE_REJECT), dates)
 
     return F.array_max(F.flatten(F.array_compact(F.transform(lines, of_line))))["iso"]

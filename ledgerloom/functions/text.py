@@ -45,7 +45,8 @@ def bare(word: str) -> str:
 
 
 def strip_accents(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, *_NFD), r"\p{Mn}+", "")
+    # Most texts are ASCII, where there is nothing to fold.
+    return let(text, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(F.translate(t, *_NFD), r"\p{Mn}+", "")))
 
 
 #: All white space, with the four separators that count as such.
