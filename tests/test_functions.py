@@ -203,3 +203,23 @@ def test_strip_takes_all_white_space_from_the_ends_only(spark):
     texts = ["", " ", "\t\n\x0b\x0c\r\x1c\x1f \x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000", " a\u3000b ", "\u200ba\u200b", "\ufeffx", "a" * 9 + "\n" * 9]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r.s for r in rows.orderBy("i").select(text.strip(F.col("t")).alias("s")).collect()] == [t.strip() for t in texts]
+
+
+def test_consistent_amounts_of_seven_digits_are_not_flagged(spark):
+    """Amounts lose their seventh digit; where what is left adds up, the reference gives no warning."""
+    said = "Shop\nDate: 2018-01-02\nSubtotal 1100000.00\nGST 44000.00\nTOTAL 1144000.00"
+    r = providers.parse(spark.createDataFrame([(1, said)], "doc_id long, text string"), as_of_year=2034).first().receipt
+    assert (r.pre_tax, r.gst, r.total, r.warnings) == (100000.0, 44000.0, 144000.0, [])
+
+
+def test_equal_boxes_share_a_row(spark):
+    boxes = [(1, 0.0, "a"), (1, 20.0, "b"), (1, 20.0, "b"), (1, 30.0, "c")]
+    found = documents.text_rows(spark.createDataFrame(boxes, "doc_id long, y double, text string").withColumn("ord", F.col("text")))
+    assert sorted((r.row, r.text) for r in found.collect()) == [(1, "a"), (2, "b b c")]
+
+
+def test_months_in_any_case_pass_the_test_before_the_date_patterns(spark):
+    names = [*dates.FRENCH_MONTHS, *dates.ENGLISH_MONTHS, *dates.LATE_MONTHS]
+    lines = [f"{n} 3, 2021" for m in names for n in (m, m.upper(), m.capitalize())] + ["2021-02-03", "3/2/2021", "3.2.2021", "2021/02/03"]
+    assert all(values(spark, lines, lambda x: x.rlike(dates._MAY_BE_DATED), kind="string"))
+    assert values(spark, ["TOTAL 1144000.00", "GST 44000.00"], lambda x: x.rlike(dates._MAY_BE_DATED)) == [False, False]
