@@ -26,6 +26,15 @@ from ledgerloom.streaming.incremental import latest, results, upsert_receipts
 LATEST = "normalized_vendor string, category_id int, updated_at {time}, id long"
 
 
+#: Receipts, or states with their texts, that a bucket is to hold: some 100 MB with the longest usual texts, so that the task that merges it stays small.
+BUCKET_ROWS = 100_000
+
+
+def buckets_for(rows: int, least: int = 8) -> int:
+    """How many buckets a store of so many documents needs. A merge is a task for each bucket, so their number follows the ledger, not the size of one task."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def open_store(spark: SparkSession, root: str, *, buckets: int = BUCKETS, receipts: str = readers.RECEIPTS, flags: str = readers.FLAGS) -> Store:
     """The ledger's store; the receipts' and flags' schemas may have columns of their own."""
     time = next(x.split()[1] for x in receipts.split(", ") if x.split()[0] == "updated_at")

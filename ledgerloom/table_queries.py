@@ -26,6 +26,11 @@ RECEIPTS = readers.RECEIPTS.replace("timestamp_ntz", "string")
 FLAGS = readers.FLAGS.replace("timestamp_ntz", "string")
 
 
+def _buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Buckets for a receipt of each order."""
+    return store.buckets_for(readers.table(spark, sf_dir, "orders").count())
+
+
 def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = lambda i, name: F.struct(F.lit(i).alias("id"), F.lit(name).cast("string").alias("name"))
     tags = F.when(F.col("doc_id") % 2 == 0, F.array(tag(1, "receipt"))).otherwise(F.array(tag(1, None), tag(2, None)))
@@ -79,7 +84,7 @@ after AS (SELECT p.*, c.name AS category FROM patched p LEFT JOIN categories c O
 
 def _edited(spark: SparkSession, sf_dir: str) -> Store:
     rows = readers.receipts(spark, sf_dir)
-    found = store.open_store(spark, fresh_folder(spark, "store"), buckets=8, receipts=RECEIPTS, flags=FLAGS)
+    found = store.open_store(spark, fresh_folder(spark, "store"), buckets=_buckets(spark, sf_dir), receipts=RECEIPTS, flags=FLAGS)
     store.load(found, rows.withColumn("created_at", F.col("date")).select(*[F.col(f.name).cast(f.dataType) for f in found.schema("receipts")]))
     category = "CASE WHEN id % 28 = 0 THEN 99 WHEN id % 20 = 0 THEN 0 WHEN id % 12 = 0 THEN 1 END"
     asked = found.read("receipts").where("id % 4 = 0").select("id", "document_id", F.expr("concat('New & Co. ', id % 100)").alias("vendor"), F.lit(1.5).alias("total"), F.expr(category).alias("category_id"))
@@ -115,7 +120,7 @@ def stored_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readers.receipts(spark, sf_dir)
     said = F.when(F.col("id") % 20 == 0, F.lit(_SPOILT)).when(F.col("id") % 10 == 0, F.concat("receipt_text", F.lit("\nthank you"))).otherwise(F.col("receipt_text"))
     docs = rows.select(F.col("id").alias("doc_id"), said.alias("text"), F.lit(True).alias("tagged"))
-    found = store.open_store(spark, fresh_folder(spark, "store"), buckets=8, receipts=RECEIPTS, flags=FLAGS)
+    found = store.open_store(spark, fresh_folder(spark, "store"), buckets=_buckets(spark, sf_dir), receipts=RECEIPTS, flags=FLAGS)
     old, before, none = rows.where("id % 9 != 0").withColumn("created_at", F.col("date")), text.content_hash(F.col("receipt_text")), F.lit(None).cast("string")
     state = old.select(
         F.col("id").alias("doc_id"), before.alias("content_hash"), F.col("receipt_text").alias("ocr_text"), before.alias("parse_hash"), none.alias("text_model"), F.lit("done").alias("last_status"), none.alias("error_message"), F.lit(True).alias("has_receipt")
@@ -175,7 +180,7 @@ def limited_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT document_id, vendor, date, {_READ.format('total')} AS total FROM ledger")
 def streamed_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that arrive as files, taken up by a stream and put into a store, batch by batch."""
-    source, found = fresh_folder(spark, "arrivals"), store.open_store(spark, fresh_folder(spark, "store"), buckets=8, receipts=RECEIPTS, flags=FLAGS)
+    source, found = fresh_folder(spark, "arrivals"), store.open_store(spark, fresh_folder(spark, "store"), buckets=_buckets(spark, sf_dir), receipts=RECEIPTS, flags=FLAGS)
     docs = readers.ledger(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("receipt_text").alias("text"), F.lit(True).alias("tagged"))
     docs.write.parquet(source)
     categories = readers.categories(spark, sf_dir)

@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import table_queries
 from ledgerloom.operators import ledger, rollups
 from ledgerloom.sources import readers
 from ledgerloom.streaming import incremental
@@ -91,3 +93,16 @@ def test_a_batch_equals_the_batch_step_and_counts_once(spark, tmp_path):
     again = S.ingest(store, docs, names, as_of_year=2034, now=F.lit("2020-03-02"), batch_id=1)
     assert again.stats["processed"] == 9 and again.write_back.count() == 1  # the untagged one is read again
     holds(spark, store)
+
+
+@pytest.mark.parametrize(("orders", "wanted"), [(0, 8), (800_000, 8), (800_001, 9), (54_000_000, 540)])
+def test_buckets_follow_the_rows(orders, wanted):
+    assert S.buckets_for(orders) == wanted
+
+
+def test_queries_open_stores_with_buckets_for_their_tables(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET_ROWS", 100)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    opened = table_queries._edited(spark, "/root/testdata/sf0.001")
+    assert opened.buckets == -(-orders // 100) > 8
+    assert len(opened.manifest(opened.version())["tables"]["receipts"]) > 8
