@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.fixed import AMOUNT, AMOUNT_AT_END, LABEL_PATTERNS, MATH_ADJUSTABLE, MATH_TOLERANCE, MAX_TAX_RATIO, OCR_LOOKALIKES, PENALTIES, TAXES
-from ledgerloom.functions.text import let, strip, strip_accents
+from ledgerloom.functions.text import contains_any, is_ascii, let, strip, strip_accents
 
 FIELDS = ["total", "pre_tax", *TAXES]
 
@@ -14,18 +16,28 @@ FIELDS = ["total", "pre_tax", *TAXES]
 def parse_amount(line: Column) -> Column:
     """The first amount of a line, else one at its end; a comma may be the decimal point, a sign is dropped."""
     # Each step is worked out once and only where it can give something: a line without a point or comma has no amount, and casts of what is no number are dear.
-    first = F.regexp_extract(line, "(?iU)" + AMOUNT, 1)
-    found = let(first, lambda x: F.when(x != "", x).otherwise(F.regexp_extract(line, "(?U)" + AMOUNT_AT_END, 1)))
-    number = let(found, lambda x: F.when(x != "", F.replace(x, F.lit(","), F.lit(".")).try_cast("double")))
-    return F.when(F.contains(line, F.lit(".")) | F.contains(line, F.lit(",")), number)
+    def number(flags: str) -> Column:
+        found = let(F.regexp_extract(line, f"(?i{flags}){AMOUNT}", 1), lambda x: F.when(x != "", x).otherwise(F.regexp_extract(line, f"(?i{flags}){AMOUNT_AT_END}", 1)))
+        return let(found, lambda x: F.when(x != "", F.replace(x, F.lit(","), F.lit(".")).try_cast("double")))
+
+    quick = F.when(line.rlike("[0-9][.,][0-9][0-9]"), number(""))
+    return F.when(F.contains(line, F.lit(".")) | F.contains(line, F.lit(",")), F.when(is_ascii(line), quick).otherwise(number("U")))
+
+
+def first_words(pattern: str) -> list[str]:
+    """The letters that a match of a label's pattern begins with: one of these."""
+    found = re.match(r"\(([a-z|]+)\)(?![?*{])|([a-z]+)(?![?*{])", pattern)
+    return (found[1] or found[2]).split("|")
 
 
 def priority(clean: Column, field: str) -> Column:
     """The greatest priority of the field's labels found in a clean line; null for none."""
-    labels = [(pattern, p) for name, pattern, p in LABEL_PATTERNS if name == field]
-    hits = [F.when(clean.rlike("(?iU)" + pattern), F.lit(p)) for pattern, p in labels]
+    labels = sorted([(pattern, p) for name, pattern, p in LABEL_PATTERNS if name == field], key=lambda x: -x[1])
+    # An ASCII line in lower case needs no flags, and the words that a pattern begins with tell most lines without it.
+    quick = F.coalesce(*[F.when(contains_any(clean, first_words(pattern)) & clean.rlike(pattern), F.lit(p)) for pattern, p in labels])
+    found = F.coalesce(*[F.when(clean.rlike("(?iU)" + pattern), F.lit(p)) for pattern, p in labels])
     # Most lines have no label of a field, which one test of all its patterns tells.
-    return F.when(clean.rlike("(?iU)" + "|".join(f"(?:{pattern})" for pattern, _ in labels)), F.greatest(*hits)) if len(hits) > 1 else hits[0]
+    return F.when(is_ascii(clean), quick).when(clean.rlike("(?iU)" + "|".join(f"(?:{pattern})" for pattern, _ in labels)), found)
 
 
 def amount_lines(lines: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,9 +45,22 @@ def bare(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn")
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def has(text: Column, pattern: str) -> Column:
+    """Whether the pattern is found in text under (?iU). In ASCII these flags only cost time: letters have no other forms there, and classes hold the same characters."""
+    return F.when(is_ascii(text), text.rlike("(?i)" + pattern)).otherwise(text.rlike("(?iU)" + pattern))
+
+
+def contains_any(text: Column, words: Iterable[str]) -> Column:
+    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in words])
+
+
 def strip_accents(text: Column) -> Column:
     # Most texts are ASCII, where there is nothing to fold.
-    return let(text, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(F.translate(t, *_NFD), r"\p{Mn}+", "")))
+    return let(text, lambda t: F.when(is_ascii(t), t).otherwise(F.regexp_replace(F.translate(t, *_NFD), r"\p{Mn}+", "")))
 
 
 #: All white space, with the four separators that count as such.
@@ -90,10 +104,9 @@ def clean_vendor(vendor: Column) -> Column:
     """A vendor for display: no placeholder, capitals or accents, 200 characters at most."""
     from ledgerloom.functions.fixed import PLACEHOLDER_VENDOR
 
-    name = strip(vendor)
-    spaced = F.regexp_replace(name, r"(?U)\s+", " ")
-    cased = F.when(is_upper(spaced) & (F.length(spaced) > 3), title(spaced)).otherwise(spaced)
-    return F.when((vendor != "") & ~name.rlike("(?iU)" + PLACEHOLDER_VENDOR), F.left(strip_accents(cased), F.lit(200)))
+    cased = lambda x: F.when(is_upper(x) & (F.length(x) > 3), title(x)).otherwise(x)
+    shown = lambda name: F.when(~has(name, PLACEHOLDER_VENDOR), F.left(strip_accents(let(F.regexp_replace(name, r"(?U)\s+", " "), cased)), F.lit(200)))
+    return F.when(vendor != "", let(strip(vendor), shown))
 
 
 def safe_title(date: Column, vendor: Column) -> Column:

@@ -223,3 +223,42 @@ def test_months_in_any_case_pass_the_test_before_the_date_patterns(spark):
     lines = [f"{n} 3, 2021" for m in names for n in (m, m.upper(), m.capitalize())] + ["2021-02-03", "3/2/2021", "3.2.2021", "2021/02/03"]
     assert all(values(spark, lines, lambda x: x.rlike(dates._MAY_BE_DATED), kind="string"))
     assert values(spark, ["TOTAL 1144000.00", "GST 44000.00"], lambda x: x.rlike(dates._MAY_BE_DATED)) == [False, False]
+
+
+def _with_flags_everywhere(monkeypatch):
+    """The parsing functions without their short ways for ASCII."""
+    never = lambda t: F.lit(False) & t.isNull()
+    for module in (amounts, dates, text):
+        monkeypatch.setattr(module, "is_ascii", never)
+
+
+def test_short_ways_for_ascii_find_the_same(spark, monkeypatch):
+    lines = [
+        "Subtotal 12.50", "SUB  TOTAL: 7,10 CAD", "Grand total 5.00", "Total taxes on 1.25", "total current charges 3.33", "sous-total 4.44", "Solde du 9.99", "tps @ 5 % 1.10", "TVQ 9,975 % 2.20", "rst tax 1.00",
+        "netto 1.00", "monthly charge 8.80", "$ 12.3", "Inc.", "a,b.c", "x 1234567.89", "montant dû 3.10", "\uff11\uff12.50 total", "ſubtotal 2.00", "provincial tax 1.01 usd", "-5.00", "1.2.34 total", "payer: 10.00  ",
+    ]
+    dated = [
+        "Date: 2024-03-05", "Bill date March 5, 2024 10:15", "due date 2024-01-01", "5 août 2023", "le 3 fevrier 2022", "Sept. 9 2021", "Deſ 4 2023", "x 12/11/2020 y 13.02.2019", "2024/02/30 or 2023/02/28", "order 20240301-5",
+        "3 marſ 2024", "print date 2001-02-03", "reçu le 2020-01-02", "8 avr2022", "TOTAL 328362.70", "January2024 5 May 2022",
+    ]
+    names = ["bill to:", "ACME Inc.", "Ship to: x", "12 main street", "514-555", "ab", "Reçu 5", "invoice", "CAFÉ DU NORD", "See amazon.ca", "sold by some amazon", "tim hortons #5", "hydro-québec", "x.ca y.net", "unknown", "N/A"]
+    both = lambda x: F.struct(amounts.labelled_amounts(amounts.ranked_lines(amounts.amount_lines(F.array(x)))), dates.transaction_date(F.array(x)), dates.late_date(x, 2034))
+    who = lambda x: F.struct(vendors.find_vendor(x, F.array(x, F.lit("Target"))), text.clean_vendor(x), vendors.by_late_domain(x))
+    quick = values(spark, lines + dated, both), values(spark, names, who)
+    _with_flags_everywhere(monkeypatch)
+    assert quick == (values(spark, lines + dated, both), values(spark, names, who))
+
+
+def test_words_and_signs_that_tell_patterns(spark):
+    for _, pattern, _ in amounts.LABEL_PATTERNS:
+        assert amounts.first_words(pattern)
+    assert amounts.first_words(r"(gst|tps)\s*x") == ["gst", "tps"]
+    assert amounts.first_words("taxes?") == ["taxe"]
+    for pattern, name in vendors.MARKETPLACES:
+        assert all(name.lower() in part for part in pattern.split("|"))
+
+
+def test_a_text_is_split_once_for_late_dates(spark):
+    """The plan names the split once; it stood in the lambda, so that a text was split again for every dated line."""
+    plan = spark.createDataFrame([("x",)], "t string").select(dates.late_date(F.col("t"), 2034))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(t#") == 1
