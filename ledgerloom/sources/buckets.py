@@ -6,8 +6,8 @@ names, writes these to new folders and publishes one file: all tables change tog
 keep their files, and buckets that no key falls into keep theirs byte for byte. If another batch has published meanwhile, nothing is
 published and ``Conflict`` is raised: begin again. A lost task or driver leaves folders that no version names, which ``vacuum`` deletes.
 
-A merge is one shuffle of the touched buckets and the changes, by bucket: old and new rows of a key meet in an aggregation, and as its
-tasks already hold whole buckets, they write one file each. Cost follows the buckets touched, not the table; with changes of one row per
+A merge is one shuffle of the touched buckets and the changes, by bucket: old and new rows of a key meet in an aggregation, and as each of its
+tasks holds one whole bucket, it writes one file; a hash of the buckets would put several into one task, and more the more buckets there are. Cost follows the buckets touched, not the table; with changes of one row per
 bucket or more that is all of it, so choose buckets of some 100 MB.
 """
 
@@ -146,7 +146,7 @@ class Batch:
             row = F.struct(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
             return df.select(store.bucket(table).alias("_bucket"), *key, *[(row if n == name else F.lit(None).cast(kind)).alias(n) for n in ("_old", "_new")])
 
-        both = side(self.read(table, touched), "_old").unionByName(side(changes, "_new")).repartition(len(touched), "_bucket")
+        both = side(self.read(table, touched), "_old").unionByName(side(changes, "_new")).repartitionById(store.buckets, F.col("_bucket"))
         met = both.groupBy("_bucket", *key).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
         old, new = F.col("_old"), F.col("_new")
         made = combine(old, new) if combine else {}

@@ -98,3 +98,17 @@ def test_vacuum_keeps_what_versions_name(spark, store):
     assert {str(p.parent.relative_to(root)) for p in root.glob("data/**/*.parquet")} == used
     again = buckets.Store(spark, store.files.root, TABLES, 99)
     assert again.buckets == 8 and again.version() == 4
+
+
+def test_every_bucket_has_a_task_of_its_own(spark, tmp_path):
+    """Bucket numbers that are hashed to tasks meet in some of them."""
+    store = buckets.Store(spark, f"file://{tmp_path}/store", TABLES, 40)
+    batch = store.begin()
+    new = spark.range(4000).select(F.col("id").alias("k"), F.lit("a").alias("a"), F.spark_partition_id().alias("n"))
+
+    def combine(old, new):
+        return {"n": F.spark_partition_id()}
+
+    seen = batch.merge("t", new, combine)
+    held = batch.read("t").select(store.bucket("t").alias("b"), "n").distinct().collect()
+    assert len(seen) == len(held) == len({r.n for r in held}) == 40
