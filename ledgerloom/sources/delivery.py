@@ -1,7 +1,7 @@
 """Write-back that survives lost tasks: every payload of a document is sent once and counted once.
 
-A payload is known by its document and the hash of what is sent. Before a task sends one it appends a claim to a journal file of its own, and
-afterwards the outcome; the files lie in a folder that all executors mount. A task that Spark repeats reads the journals of its partition
+A payload is known by its document and the hash of what is sent. Before a task sends one it appends a claim to a journal file of its own, together
+with the outcome of the one before, so that the disk is waited for once a payload; the files lie in a folder that all executors mount. A task that Spark repeats reads the journals of its partition
 first, and a run that is repeated folds all journals into the outcome table first, so what has an outcome is never sent again. A claim without an
 outcome is in doubt: the task was lost between the two, with one payload at most. Such a payload is settled by asking the receiver
 (``has``), or, without that, sent again; the hash goes along as an idempotency key either way.
@@ -64,12 +64,25 @@ class Journal:
                         if line.endswith("\n"):  # one cut short was followed by nothing
                             x = json.loads(line)
                             (self.claimed if x["status"] == "claimed" else self.done).add((x["document_id"], x["payload_hash"]))
+        self.waiting = ""
         self.file = open(f"{folder}/part-{partition}-{uuid.uuid4().hex}.jsonl", "a", encoding="utf-8")  # noqa: SIM115
 
     def note(self, key: tuple, status: str, tries: int = 0) -> None:
-        self.file.write(json.dumps({"document_id": key[0], "payload_hash": key[1], "status": status, "tries": tries}) + "\n")
-        self.file.flush()
-        os.fsync(self.file.fileno())
+        """Notes a claim on disk, with the outcome before it; an outcome alone waits for the next claim or the end, as nothing is sent in between."""
+        self.waiting += json.dumps({"document_id": key[0], "payload_hash": key[1], "status": status, "tries": tries}) + "\n"
+        if status == "claimed":
+            self.keep()
+
+    def keep(self) -> None:
+        if self.waiting:
+            self.file.write(self.waiting)
+            self.file.flush()
+            os.fsync(self.file.fileno())
+            self.waiting = ""
+
+    def close(self) -> None:
+        self.keep()
+        self.file.close()
 
 
 def deliver(rows: DataFrame, send: Callable[[Row, str], None], folder: str, *, has: Callable[[Row, str], bool] | None = None, tries: int = 3, wait: float = 1.0) -> dict[str, int]:
@@ -109,7 +122,7 @@ def deliver(rows: DataFrame, send: Callable[[Row, str], None], folder: str, *, h
                     if tried < tries:
                         time.sleep(wait)
             journal.note(key, status, tried)
-        journal.file.close()
+        journal.close()
 
     todo.foreachPartition(each)
     _fold(rows, folder)

@@ -66,6 +66,21 @@ def test_an_attempt_that_is_repeated_reads_the_journal_of_the_first(tmp_path):
     assert (again.done, again.claimed, other.claimed) == ({(1, "a")}, {(1, "a"), (2, "b")}, set())
 
 
+def test_the_disk_is_waited_for_once_a_payload(tmp_path, monkeypatch):
+    waits = []
+    monkeypatch.setattr(delivery.os, "fsync", waits.append)
+    journal = delivery.Journal(str(tmp_path), 1)
+    for i in range(10):
+        journal.note((i, "a"), "claimed")
+        # Before a payload is sent its claim is on disk, and the outcome of every one before it.
+        seen = delivery.Journal(str(tmp_path), 1)
+        assert (len(seen.claimed), len(seen.done)) == (i + 1, i)
+        journal.note((i, "a"), "sent", 1)
+    journal.close()
+    assert len(waits) == 11
+    assert len(delivery.Journal(str(tmp_path), 1).done) == 10
+
+
 def test_failures_are_counted_once_and_tried_again(spark, rows, tmp_path):
     folder = str(tmp_path / "w")
     assert delivery.deliver(rows.unionByName(rows), sender(tmp_path, fails={7, 8}), folder, tries=2, wait=0) == {"sent": 58, "failed": 2}
