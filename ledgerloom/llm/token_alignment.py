@@ -37,14 +37,16 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import cut, table
 
 #: Characters of text whose links share a table of pairs.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Characters of text whose chunks are aligned at once.
 WORK = 1_000_000
+#: Characters of new chunks that are encoded and joined at once: what both libraries and DuckDB hold meanwhile is some hundred bytes for each.
+PORTION = 250_000
 #: Chunks and characters that a task keeps before its table is emptied.
 TABLE_ROWS = 250_000
 TABLE_CHARS = 10_000_000
 #: What DuckDB may hold in memory; beyond, it writes to the worker's own folder for the time of a query.
-DUCK_MEMORY = "200MB"
+DUCK_MEMORY = "100MB"
 #: Chunks that one call's line holds, where none has white space in it.
 LINE_CHUNKS = 64
 MARKER = "▁"
@@ -91,6 +93,20 @@ def pieces(text: str, most: int) -> Iterator[list[str]]:
         start = place.end()
 
 
+def portions(found: list[str], most: int) -> Iterator[list[str]]:
+    """found in lists of no more than most characters, or of one longer text."""
+    some: list[str] = []
+    held = 0
+    for c in found:
+        if some and held + len(c) > most:
+            yield some
+            some, held = [], 0
+        some.append(c)
+        held += len(c)
+    if some:
+        yield some
+
+
 def byte_values() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others counted up from 256."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -188,6 +204,11 @@ class Aligner:
             self.clear()
             new = list(dict.fromkeys(found))
             self.chars = sum(map(len, new))
+        for some in portions(new, PORTION):
+            self.learn_new(some)
+
+    def learn_new(self, new: list[str]) -> None:
+        """Aligns chunks that are not in the table, all at once."""
         plain, alone = [], []
         for c in new:
             (plain if c.split() == [c] and MARKER not in c else alone).append(c)

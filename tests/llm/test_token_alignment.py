@@ -127,3 +127,19 @@ def test_defined_cases(spark):
     assert token_alignment.weigh(token_alignment.align(docs.where("false"))).collect() == []
     with pytest.raises(ValueError):
         token_alignment.align(docs.withColumnRenamed("doc_id", "block"), id_col="block")
+
+
+def test_new_chunks_are_aligned_in_portions(monkeypatch):
+    """What is encoded and joined at once is bounded, however many chunks of the texts are new."""
+    assert list(token_alignment.portions(["aa", "b", "cccc", "d"], 3)) == [["aa", "b"], ["cccc"], ["d"]]
+    assert list(token_alignment.portions([], 3)) == []
+    path_a, path_b = token_alignment.default_models()
+    aligner = token_alignment.Aligner(token_alignment.byte_level(path_a), token_alignment.sentence_piece(path_b), "ends")
+    texts = [" ".join(f"word{i * 7919 % 1000} x{i}" for i in range(k, k + 200)) for k in range(0, 2000, 200)]
+    whole = [(c.tolist(), g, p.tolist()) for _, c, g, p in token_alignment._results(aligner, texts)]
+    aligner.clear()
+    seen, align = [], aligner.align
+    monkeypatch.setattr(token_alignment, "PORTION", 1000)
+    monkeypatch.setattr(aligner, "align", lambda a, *rest: seen.append(int(aligner.a.size[a].sum())) or align(a, *rest))
+    assert [(c.tolist(), g, p.tolist()) for _, c, g, p in token_alignment._results(aligner, texts)] == whole
+    assert len(seen) > 5 and max(seen) <= 2000
