@@ -99,9 +99,11 @@ def enqueue(state: DataFrame, docs: DataFrame) -> DataFrame:
 def changes(docs: DataFrame, state: DataFrame, *, text_model: str | None = None, stored_first: bool = True, skip_vision: bool = True, force: bool = False) -> DataFrame:
     """What each document needs. docs: doc_id, text, tagged; state: doc_id, content_hash, ocr_text, parse_hash, text_model, has_receipt.
 
-    Also used, the text that a parser gets (the stored text of the state where nothing is to be read again), and of the
-    state parse_hash, text_model and has_receipt. Of rows of docs that share an id each gives a row."""
-    old = state.select("doc_id", F.col("content_hash").alias("_content"), F.col("ocr_text").alias("_ocr"), F.col("parse_hash").alias("_parse"), F.col("text_model").alias("_model"), "has_receipt")
+    Also used, the text that a parser gets (the stored text of the state where nothing is to be read again), of the state parse_hash, text_model and
+    has_receipt, and was, the state as it was (null fields for none). Of rows of docs that share an id each gives a row."""
+    named = {"content_hash": "_content", "ocr_text": "_ocr", "parse_hash": "_parse", "text_model": "_model", "last_status": "_status", "error_message": "_error", "has_receipt": "has_receipt"}
+    named = {c: a for c, a in named.items() if c in state.columns}
+    old = state.select("doc_id", *[F.col(c).alias(a) for c, a in named.items()])
     rows = docs.select("doc_id", strip(F.coalesce("text", F.lit(""))).alias("text"), "tagged").join(old, "doc_id", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     rows = rows.withColumn("content_hash", content_hash(F.col("text")))
@@ -118,7 +120,7 @@ def changes(docs: DataFrame, state: DataFrame, *, text_model: str | None = None,
     fresh = ~content_hash(F.col("used")).eqNullSafe(F.col("_parse")) | F.col("_parse").isNull()
     rows = rows.withColumn("needs_parse", (F.col("used") != "") & (fresh | F.col("model_changed") | F.col("forced")))
     flags = ["content_changed", "model_changed", "has_text", "forced", "use_stored", "needs_ocr", "needs_parse"]
-    return rows.select("doc_id", "content_hash", *flags, "used", F.col("_parse").alias("parse_hash"), F.col("_model").alias("text_model"), yes(F.col("has_receipt")).alias("has_receipt"))
+    return rows.select("doc_id", "content_hash", *flags, "used", F.col("_parse").alias("parse_hash"), F.col("_model").alias("text_model"), yes(F.col("has_receipt")).alias("has_receipt"), F.struct(*[F.col(a).alias(c) for c, a in named.items()]).alias("was"))
 
 
 def batch_stats(results: DataFrame) -> DataFrame:

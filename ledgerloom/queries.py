@@ -16,6 +16,7 @@ from ledgerloom.operators import catalog, documents, review
 from ledgerloom.operators import ledger as L
 from ledgerloom.plans import extraction, providers
 from ledgerloom.sources import readers, sinks
+from ledgerloom.sources.folders import fresh_folder, write
 from ledgerloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -438,6 +439,13 @@ last AS (SELECT normalized_vendor, arg_max(category_id, struct_pack(u := updated
 after AS (SELECT m.* EXCLUDE category_id, CASE WHEN touched THEN coalesce(category_id, inferred) ELSE category_id END AS category_id FROM merged m LEFT JOIN last USING (normalized_vendor))"""
 
 
+def written_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with its texts as a table of its own: documents, states and receipts come from it, and each would join the given tables again."""
+    path = fresh_folder(spark, "receipts")
+    write(readers.receipts(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
 def _ingested(spark: SparkSession, sf_dir: str) -> incremental.Ingested:
     rows = readers.receipts(spark, sf_dir)
     said = F.when(F.col("id") % 20 == 0, F.lit(_SPOILT)).when(F.col("id") % 10 == 0, F.concat("receipt_text", F.lit("\nthank you"))).otherwise(F.col("receipt_text"))

@@ -5,10 +5,11 @@ for every table and bucket which folder holds it. A batch begins at the newest v
 names, writes these to new folders and publishes one file: all tables change together or not at all, readers of the older version
 keep their files, and buckets that no key falls into keep theirs byte for byte. If another batch has published meanwhile, nothing is
 published and ``Conflict`` is raised: begin again. A lost task or driver leaves folders that no version names, which ``vacuum`` deletes.
+What a batch stages goes as soon as it is no longer read, at the latest when it is published.
 
 A merge is one shuffle of the touched buckets and the changes, by bucket: old and new rows of a key meet in an aggregation, and as each of its
 tasks holds one whole bucket, it writes one file; a hash of the buckets would put several into one task, and more the more buckets there are. Cost follows the buckets touched, not the table; with changes of one row per
-bucket or more that is all of it, so choose buckets of some 100 MB.
+bucket or more that is all of it, so choose buckets of some 100 MB. Of a table of many buckets only a part is shuffled at a time, as shuffle files come on top of both versions.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerloom.sources.folders import Files
+from ledgerloom.sources.folders import Files, write
 
 #: From the old and the new row of a key (structs, null where there is none) to the columns that the key's row has
 #: afterwards; columns that are left out are taken from the new row, else the old one. ``GONE``: whether the row goes.
 Combine = Callable[[Column, Column], dict[str, Column]]
 GONE = "_gone"
 BUCKETS = 64
+#: A merge into many buckets goes in so many parts at most, each of so many buckets at least, so that its shuffle holds a part of the table at a time.
+PARTS, PART_BUCKETS = 4, 64
 
 
 class Conflict(RuntimeError):
@@ -112,6 +115,7 @@ class Batch:
         manifest = store.manifest(version)
         self.held, self.notes = {t: dict(manifest["tables"].get(t, {})) for t in store.tables}, dict(manifest["notes"])
         self.folder, self.merges = f"data/{time.time():.0f}-{uuid.uuid4().hex[:12]}", 0
+        self.staged: list[tuple[DataFrame, str]] = []
 
     def touched(self, table: str, keys: DataFrame) -> list[int]:
         """The buckets that keys (with the key columns) fall into; as many numbers at most as there are buckets."""
@@ -126,19 +130,38 @@ class Batch:
         return self.read(table, self.touched(table, keys))
 
     def stage(self, df: DataFrame) -> DataFrame:
-        """df, written beside the batch's files and read back, so that it is worked out once and not again after a failure. It stays until a vacuum."""
+        """df, written beside the batch's files and read back, so that it is worked out once and not again after a failure. It stays until it is dropped or
+        the batch published; after a failure, until a vacuum."""
         self.merges += 1
-        path = f"{self.store.files.root}/{self.folder}/{self.merges:02d}-staged"
-        df.write.parquet(path)
-        return self.store.spark.read.schema(df.schema).parquet(path)
+        folder = f"{self.folder}/{self.merges:02d}-staged"
+        write(df, f"{self.store.files.root}/{folder}")
+        out = self.store.spark.read.schema(df.schema).parquet(f"{self.store.files.root}/{folder}")
+        self.staged.append((out, folder))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes what stage() gave, once nothing reads it any more."""
+        for df, folder in self.staged:
+            if any(df is x for x in frames):
+                self.store.files.delete(folder)
+        self.staged = [x for x in self.staged if not any(x[0] is y for y in frames)]
 
     def merge(self, table: str, changes: DataFrame, combine: Combine | None = None) -> list[int]:
         """Puts changes (the key and any columns) into the table and returns the buckets rewritten. Of several changes for a key the greatest row counts.
-        changes is worked out twice: give what stage() returns, or something cheap."""
-        store, key = self.store, list(self.store.tables[table].key)
+        changes is worked out once where the table is empty, else once more than there are parts: give what stage() returns, or something cheap."""
+        if not self.held[table]:  # there is nothing to read, so the buckets are those that are written
+            return self._merge(table, changes, [], combine)
         touched = self.touched(table, changes)
-        if not touched:
-            return []
+        parts = max(1, min(PARTS, len(touched) // PART_BUCKETS))
+        for part in range(parts):
+            only = touched[part::parts]
+            if only:
+                self._merge(table, changes if parts == 1 else changes.where(self.store.bucket(table).isin(only)), only, combine)
+        return touched
+
+    def _merge(self, table: str, changes: DataFrame, touched: list[int], combine: Combine | None) -> list[int]:
+        """merge() for the changes of some buckets, or of all where the table is empty."""
+        store, key = self.store, list(self.store.tables[table].key)
         fields = [f for f in store.schema(table) if f.name not in key]
         kind = StructType(fields).simpleString()
 
@@ -156,8 +179,9 @@ class Batch:
             met = met.where(~F.coalesce(made[GONE], F.lit(False)))
         self.merges += 1
         folder = f"{self.folder}/{self.merges:02d}-{table}"
-        met.select("_bucket", *[out[f.name].alias(f.name) for f in store.schema(table)]).write.partitionBy("_bucket").parquet(f"{store.files.root}/{folder}")
+        write(met.select("_bucket", *[out[f.name].alias(f.name) for f in store.schema(table)]), f"{store.files.root}/{folder}", "_bucket")
         written = {n.removeprefix("_bucket=") for n in store.files.names(folder) if n.startswith("_bucket=")}
+        touched = touched or sorted(map(int, written))
         for b in map(str, touched):
             if b in written:
                 self.held[table][b] = f"{folder}/_bucket={b}"
@@ -165,9 +189,10 @@ class Batch:
                 self.held[table].pop(b, None)
         return touched
 
-    def publish(self, **notes: object) -> int:
-        """Makes this batch the newest version, with notes put over the older ones."""
+    def publish(self, *kept: DataFrame, **notes: object) -> int:
+        """Makes this batch the newest version, with notes put over the older ones. What was staged goes, but for kept, which stays until a vacuum."""
         version = self.parent + 1
         if not self.store.files.publish(f"versions/{version:08d}.json", {"buckets": self.store.buckets, "tables": self.held, "notes": self.notes | notes}):
             raise Conflict(f"version {version} was published by another batch")
+        self.drop(*[df for df, _ in self.staged if not any(df is x for x in kept)])
         return version

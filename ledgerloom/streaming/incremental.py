@@ -40,35 +40,59 @@ def process(docs: DataFrame, state: DataFrame, *, as_of_year: int, provider: Pro
 
 def results(docs: DataFrame, state: DataFrame, *, as_of_year: int, provider: Provider | None = None, settings: dict | None = None, force: bool = False, parity: bool = False) -> tuple[DataFrame, DataFrame]:
     """As process, for docs of one row a document: the states of these documents alone, and the parsed receipts. state may hold other documents too."""
-    chosen = {k: v == "true" for k, v in DEFAULT_SETTINGS.items()} | {"text_model": None} | (settings or {})
+    return outcomes(looked_at(docs, state, settings=settings, force=force), as_of_year=as_of_year, provider=provider, settings=settings, parity=parity)
+
+
+def _chosen(settings: dict | None) -> dict:
+    return {k: v == "true" for k, v in DEFAULT_SETTINGS.items()} | {"text_model": None} | (settings or {})
+
+
+def looked_at(docs: DataFrame, state: DataFrame, *, settings: dict | None = None, force: bool = False) -> DataFrame:
+    """What each of docs, one row a document, needs (documents.changes), with the text that a parser would get."""
+    chosen = _chosen(settings)
     found = changes(
         docs, state, text_model=chosen["text_model"], stored_first=chosen["use_stored_text_first"],
         skip_vision=chosen["skip_vision_if_text_exists"], force=force or chosen["force_rescan"],
     )
-    found = found.withColumn("statement", F.col("needs_ocr") & is_statement(F.col("used"))).withColumn("used", F.when(F.col("needs_ocr") & ~F.col("statement"), shortened(F.col("used"))).otherwise(F.col("used")))
+    return found.withColumn("statement", F.col("needs_ocr") & is_statement(F.col("used"))).withColumn("used", F.when(F.col("needs_ocr") & ~F.col("statement"), shortened(F.col("used"))).otherwise(F.col("used")))
+
+
+def idle() -> Column:
+    """Whether a row of looked_at is not parsed and its state stays as it is."""
+    after = _state(F.lit(False), parity=False, text_model=None)
+    return ~F.col("needs_parse") & F.struct(*[c.alias(n) for n, c in after.items()]).eqNullSafe(F.struct(*[F.col("was")[n].alias(n) for n in after]))
+
+
+def _state(new: Column, *, parity: bool, text_model: str | None) -> dict[str, Column]:
+    """The state of a row of looked_at afterwards; new: whether a receipt was found."""
+    parsing = F.col("needs_parse") & ~F.col("statement")
+    fails = parsing & ~usable(F.col("used"))
+    statement = F.concat(F.lit("statement_detected:"), F.length("used").cast("string"), F.lit("_chars"))
+    held = parsing & (F.lit(parity) | ~fails)
+    return {
+        "content_hash": F.col("content_hash"),
+        "ocr_text": blank_to_null(F.col("used")),
+        "parse_hash": F.when(held, content_hash(F.col("used"))).otherwise(F.col("parse_hash")),
+        "text_model": F.when(held, F.lit(text_model)).otherwise(F.col("text_model")),
+        "last_status": F.when(F.col("used") == "", "skipped").when(fails, "error").otherwise("done"),
+        "error_message": F.when(F.col("used") == "", "No usable text").when(fails, "text_too_short").when(F.col("statement"), statement),
+        "has_receipt": F.col("has_receipt") | new,
+    }
+
+
+def outcomes(found: DataFrame, *, as_of_year: int, provider: Provider | None = None, settings: dict | None = None, parity: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The states and the parsed receipts of what looked_at gives; it is worked out for each of the two."""
     todo = found.where("needs_parse AND NOT statement").where(usable(F.col("used"))).select("doc_id", F.col("used").alias("text"))
     parsed = parse(todo, as_of_year=as_of_year, provider=provider)
     receipts = parsed.where("is_receipt").select("doc_id", "receipt.*").withColumn("normalized_vendor", normalize_vendor(F.col("vendor")))
-    parsing = F.col("needs_parse") & ~F.col("statement")
-    fails = parsing & ~usable(F.col("used"))
     if provider is None:  # then whatever is parsed is a receipt
-        new = parsing & ~fails
+        new = F.col("needs_parse") & ~F.col("statement") & usable(F.col("used"))
     else:
         receipts = kept(receipts)
         found = found.join(receipts.select("doc_id", F.lit(True).alias("_receipt")), "doc_id", "left")
         new = F.coalesce("_receipt", F.lit(False))
-    statement = F.concat(F.lit("statement_detected:"), F.length("used").cast("string"), F.lit("_chars"))
-    held = parsing & (F.lit(parity) | ~fails)
-    touched = found.select(
-        "doc_id",
-        "content_hash",
-        blank_to_null(F.col("used")).alias("ocr_text"),
-        F.when(held, content_hash(F.col("used"))).otherwise(F.col("parse_hash")).alias("parse_hash"),
-        F.when(held, F.lit(chosen["text_model"])).otherwise(F.col("text_model")).alias("text_model"),
-        F.when(F.col("used") == "", "skipped").when(fails, "error").otherwise("done").alias("last_status"),
-        F.when(F.col("used") == "", "No usable text").when(fails, "text_too_short").when(F.col("statement"), statement).alias("error_message"),
-        (F.col("has_receipt") | new).alias("has_receipt"),
-    )
+    after = _state(new, parity=parity, text_model=_chosen(settings)["text_model"])
+    touched = found.select("doc_id", *[c.alias(n) for n, c in after.items()])
     return touched, receipts
 
 

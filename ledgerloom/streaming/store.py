@@ -21,7 +21,7 @@ from ledgerloom.plans.providers import Provider
 from ledgerloom.sources import readers
 from ledgerloom.sources.buckets import BUCKETS, GONE, Batch, Combine, Keyed, Store
 from ledgerloom.sources.sinks import batch_write_back
-from ledgerloom.streaming.incremental import latest, results, upsert_receipts
+from ledgerloom.streaming.incremental import idle, latest, looked_at, outcomes, upsert_receipts
 
 LATEST = "normalized_vendor string, category_id int, updated_at {time}, id long"
 
@@ -50,9 +50,10 @@ def load(store: Store, receipts: DataFrame, state: DataFrame | None = None, flag
     batch = store.begin()
     receipts = batch.stage(receipts)
     _put(batch, receipts.limit(0), receipts)
+    batch.drop(receipts)
     for table, rows in (("state", state), ("flags", flags)):
         if rows is not None:
-            batch.merge(table, batch.stage(rows))
+            batch.merge(table, rows)
     return batch.publish()
 
 
@@ -89,7 +90,9 @@ def _retract(batch: Batch, before: DataFrame, after: DataFrame) -> None:
 def _put(batch: Batch, before: DataFrame, after: DataFrame) -> None:
     """Replaces the receipts before by those after in all tables that hold them; either side may lack rows of the other. Both are staged."""
     batch.merge("latest", _contenders(after), _later)
-    batch.merge("sums", batch.stage(rollups.difference(before, after)), rollups.added)
+    sums = batch.stage(rollups.difference(before, after))
+    batch.merge("sums", sums, rollups.added)
+    batch.drop(sums)
     batch.merge("receipts", after)
     batch.merge("receipts", before.select("document_id").join(after.select("document_id"), "document_id", "left_anti"), lambda old, new: {GONE: new.isNotNull()})
 
@@ -108,29 +111,39 @@ def ingest(
     batch_id: int | None = None, name: str = "receipt-batch",
 ) -> Done | None:
     """incremental.ingest on a store, published as one version. With batch_id, that of a stream, a batch that the store already has is passed over (None), so
-    that one repeated after a failure counts once. Counts are observed while states and receipts are written; no job is run for them."""
+    that one repeated after a failure counts once. Counts are observed while states and receipts are written; no job is run for them. Documents that are
+    neither parsed nor get another state are counted and then left out, so that what a batch writes follows what has changed, not what it looks at."""
     if batch_id is not None and store.notes().get(name, -1) >= batch_id:
         return None
     batch = store.begin()
     docs = batch.stage(latest(docs))
-    touched, parsed = results(docs, batch.read_for("state", docs), as_of_year=as_of_year, provider=provider, settings=settings, force=force)
-    states, warned = Observation(), Observation()
+    same, states, warned = Observation(), Observation(), Observation()
+    passed = [F.count_if(c).alias(n) for n, c in {"processed": idle(), "skipped": idle() & (F.col("used") == ""), "receipts": idle() & (F.col("used") != "") & F.col("has_receipt")}.items()]
+    found = batch.stage(looked_at(docs, batch.read_for("state", docs), settings=settings, force=force).observe(same, *passed).where(~idle()).drop("was"))
+    batch.drop(docs)
+    touched, parsed = outcomes(found, as_of_year=as_of_year, provider=provider, settings=settings)
     receipt = ~F.col("last_status").isin("error", "skipped") & F.col("has_receipt")
     counts = {"processed": F.count("*"), "errors": F.count_if(F.col("last_status") == "error"), "skipped": F.count_if(F.col("last_status") == "skipped"), "receipts": F.count_if(receipt)}
     touched = batch.stage(touched.observe(states, *[c.alias(n) for n, c in counts.items()]))
     parsed = batch.stage(parsed.withColumnRenamed("doc_id", "document_id").observe(warned, F.count_if(F.size("warnings") > 0).alias("flagged")))
+    batch.drop(found)
 
     before = batch.stage(batch.read_for("receipts", parsed).join(parsed.select("document_id"), "document_id", "left_semi"))
     merged = batch.stage(upsert_receipts(before, parsed, now, "document_id"))
+    batch.drop(parsed)
     _retract(batch, before, merged)
     # A receipt without a category gets its vendor's latest one, in which the batch's own receipts count.
     known = batch.read_for("latest", merged).unionByName(_contenders(merged)).withColumn("category_id", F.col("category_id").cast("int"))
     after = batch.stage(catalog.infer_category(merged, known))
+    batch.drop(merged)
     _put(batch, before, after)
+    batch.drop(before)
     batch.merge("state", touched)
+    batch.drop(touched)
     batch.merge("flags", review.flag(after), _flagged(now))
-    version = batch.publish(**({name: batch_id} if batch_id is not None else {}))
-    return Done(version, dict(states.get) | dict(warned.get), batch_write_back(after, categories))
+    version = batch.publish(after, **({name: batch_id} if batch_id is not None else {}))
+    stats = {n: count + same.get.get(n, 0) for n, count in states.get.items()}
+    return Done(version, stats | dict(warned.get), batch_write_back(after, categories))
 
 
 def _flagged(now: Column) -> Combine:

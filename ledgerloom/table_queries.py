@@ -15,7 +15,7 @@ from ledgerloom.functions import text
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import pages, rollups, search
 from ledgerloom.plans import providers
-from ledgerloom.queries import _INGEST, _READ, _SPOILT, AS_OF, NOW, YEAR, query, total
+from ledgerloom.queries import _INGEST, _READ, _SPOILT, AS_OF, NOW, YEAR, query, total, written_receipts
 from ledgerloom.sources import delivery, paged, readers, sinks
 from ledgerloom.sources.buckets import Store
 from ledgerloom.sources.folders import fresh_folder
@@ -117,7 +117,7 @@ def stored_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_INGEST + " SELECT id, document_id, vendor, normalized_vendor, date, total, category_id, updated_at, created_at FROM after")
 def stored_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch step on a store: only touched buckets are written."""
-    rows = readers.receipts(spark, sf_dir)
+    rows = written_receipts(spark, sf_dir)
     said = F.when(F.col("id") % 20 == 0, F.lit(_SPOILT)).when(F.col("id") % 10 == 0, F.concat("receipt_text", F.lit("\nthank you"))).otherwise(F.col("receipt_text"))
     docs = rows.select(F.col("id").alias("doc_id"), said.alias("text"), F.lit(True).alias("tagged"))
     found = store.open_store(spark, fresh_folder(spark, "store"), buckets=_buckets(spark, sf_dir), receipts=RECEIPTS, flags=FLAGS)

@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.sources import buckets
+from ledgerloom.sources import buckets, folders
 
 TABLES = {"t": buckets.Keyed(("k",), "k long, a string, n int"), "pair": buckets.Keyed(("x", "y"), "x string, y int, n long")}
 
@@ -112,3 +113,34 @@ def test_every_bucket_has_a_task_of_its_own(spark, tmp_path):
     seen = batch.merge("t", new, combine)
     held = batch.read("t").select(store.bucket("t").alias("b"), "n").distinct().collect()
     assert len(seen) == len(held) == len({r.n for r in held}) == 40
+
+
+def test_merges_in_parts_are_one_change(spark, store, monkeypatch):
+    monkeypatch.setattr(buckets, "PART_BUCKETS", 1)
+    batch = store.begin()
+    batch.merge("t", spark.range(100).select(F.col("id").alias("k"), F.lit("a").alias("a"), F.lit(1).alias("n")))
+    first = batch.publish()
+    batch = store.begin()
+    changes = batch.stage(spark.range(50, 150).select(F.when(F.col("id") != 149, F.col("id")).alias("k"), F.lit("b").alias("a")))
+    touched = batch.merge("t", changes, lambda old, new: {"n": F.coalesce(old["n"], F.lit(0)) + 1, buckets.GONE: old["n"].isNotNull() & new.isNotNull()})
+    assert len({f.rsplit("/", 1)[0] for f in batch.held["t"].values()}) == buckets.PARTS and touched == list(range(8))
+    second = batch.publish()
+    assert rows(store.read("t", first)) == sorted(((k, "a", 1) for k in range(100)), key=repr)
+    assert rows(store.read("t", second)) == sorted([(k, "a", 2) for k in range(50)] + [(k, "b", 1) for k in [*range(100, 149), None]], key=repr)
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.length()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("use", [lambda df, path: folders.write(df, path)])
+def test_shuffle_files_go_with_their_query(spark, tmp_path, use):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(spark), spark.conf.get(key)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")).join(spark.range(5).withColumnRenamed("id", "k"), "k")
+    use(df, f"file://{tmp_path}/out")
+    end = time.time() + 10
+    while shuffle_files(spark) - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and spark.conf.get(key) == setting

@@ -106,3 +106,32 @@ def test_queries_open_stores_with_buckets_for_their_tables(spark, monkeypatch):
     opened = table_queries._edited(spark, "/root/testdata/sf0.001")
     assert opened.buckets == -(-orders // 100) > 8
     assert len(opened.manifest(opened.version())["tables"]["receipts"]) > 8
+
+
+def staged(store):
+    """The folders that batches have staged and not deleted."""
+    return [f"{d}/{n}" for d in store.files.names("data") for n in store.files.names(f"data/{d}") if n.endswith("-staged")]
+
+
+def test_a_batch_leaves_only_what_it_has_changed(spark, tmp_path):
+    store = S.open_store(spark, f"file://{tmp_path}/s", buckets=16, receipts=RECEIPTS, flags=FLAGS)
+    names = spark.createDataFrame(CATEGORIES, "id int, name string")
+    schema = "doc_id long, text string, tagged boolean"
+    docs = [(i, text("Red Shop", "2018-03-04", 20.5 + i), True) for i in range(60)] + [(70, None, True), (71, "short", True)]
+    S.load(store, spark.createDataFrame([receipt(random.Random(1), i) for i in range(5)], RECEIPTS))
+    assert staged(store) == []
+    first = S.ingest(store, spark.createDataFrame(docs, schema), names, as_of_year=2034, now=F.lit("2020-03-01"))
+    assert len(staged(store)) == 1 and first.write_back.count() == 60  # what is written back is still there
+    before = store.manifest(first.version)["tables"]["state"]
+    docs[7] = (7, text("Blue Shop", "2018-03-05", 9.5), True)
+    again = S.ingest(store, spark.createDataFrame(docs, schema), names, as_of_year=2034, now=F.lit("2020-03-02"))
+    assert again.stats == {"processed": 62, "errors": 1, "skipped": 1, "receipts": 60, "flagged": 0}
+    after = store.manifest(again.version)["tables"]["state"]
+    assert before.keys() == after.keys() and len(before) > 2
+    changed = {b for b in before if before[b] != after[b]}
+    held = spark.createDataFrame([(7,), (71,)], "doc_id long").select(store.bucket("state")).collect()  # a short text is looked at again each time
+    assert {str(held[0][0])} <= changed <= {str(r[0]) for r in held}
+    assert len(staged(store)) == 2
+    S.patch(store, spark.createDataFrame([(3, 3, "New & Co")], "id long, document_id long, vendor string"), names, F.lit("2020-04-01"))
+    assert len(staged(store)) == 2
+    holds(spark, store)
