@@ -19,7 +19,7 @@ from ledgerloom.functions.amounts import FIELDS
 from ledgerloom.functions.fixed import REVIEW_CONFIDENCE
 from ledgerloom.functions.text import let
 from ledgerloom.plans.extraction import RECEIPT, anchors, clean_answer, deterministic_receipt, is_complete, merged_answer, post_process, prompt_context
-from ledgerloom.sources.folders import shared_folder
+from ledgerloom.sources.folders import brief_shuffles, shared_folder
 
 Provider = Callable[[pd.DataFrame], pd.DataFrame]
 CORRECTION = "Answer with one JSON object and nothing else."
@@ -51,7 +51,8 @@ def kept(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    with brief_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()  # what a query leaves is settled where its frame is made
 
 
 def within(provider: Provider, seconds: float = 300.0, tries: int = 1) -> Provider:

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.plans import providers
 from ledgerloom.sources import buckets, folders
 
 TABLES = {"t": buckets.Keyed(("k",), "k long, a string, n int"), "pair": buckets.Keyed(("x", "y"), "x string, y int, n long")}
@@ -134,7 +135,7 @@ def shuffle_files(spark):
     return {found.apply(i).getName() for i in range(found.length()) if found.apply(i).getName().startswith("shuffle_")}
 
 
-@pytest.mark.parametrize("use", [lambda df, path: folders.write(df, path)])
+@pytest.mark.parametrize("use", [lambda df, path: folders.write(df, path), lambda df, path: providers.kept(df)])
 def test_shuffle_files_go_with_their_query(spark, tmp_path, use):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before, setting = shuffle_files(spark), spark.conf.get(key)
