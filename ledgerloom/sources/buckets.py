@@ -30,7 +30,7 @@ from ledgerloom.sources.folders import Files, write
 Combine = Callable[[Column, Column], dict[str, Column]]
 GONE = "_gone"
 BUCKETS = 64
-#: A merge into many buckets goes in so many parts at most, each of so many buckets at least, so that its shuffle holds a part of the table at a time.
+#: What shuffles many buckets goes in so many parts at most, each of so many buckets at least, so that the shuffle holds a part of the table at a time.
 PARTS, PART_BUCKETS = 4, 64
 
 
@@ -125,6 +125,12 @@ class Batch:
         """The table as this batch has it, or only some buckets."""
         return self.store.of_folders(table, self.held[table], only)
 
+    def parts(self, table: str, keys: DataFrame) -> list[tuple[list[int], DataFrame]]:
+        """The buckets that keys fall into, dealt to one part or a few, each with its rows of keys."""
+        touched = self.touched(table, keys)
+        n = max(1, min(PARTS, len(touched) // PART_BUCKETS))
+        return [(only, keys if n == 1 else keys.where(self.store.bucket(table).isin(only))) for only in (touched[k::n] for k in range(n)) if only]
+
     def read_for(self, table: str, keys: DataFrame) -> DataFrame:
         """The rows of the buckets that keys fall into."""
         return self.read(table, self.touched(table, keys))
@@ -151,13 +157,7 @@ class Batch:
         changes is worked out once where the table is empty, else once more than there are parts: give what stage() returns, or something cheap."""
         if not self.held[table]:  # there is nothing to read, so the buckets are those that are written
             return self._merge(table, changes, [], combine)
-        touched = self.touched(table, changes)
-        parts = max(1, min(PARTS, len(touched) // PART_BUCKETS))
-        for part in range(parts):
-            only = touched[part::parts]
-            if only:
-                self._merge(table, changes if parts == 1 else changes.where(self.store.bucket(table).isin(only)), only, combine)
-        return touched
+        return sorted(b for only, rows in self.parts(table, changes) for b in self._merge(table, rows, only, combine))
 
     def _merge(self, table: str, changes: DataFrame, touched: list[int], combine: Combine | None) -> list[int]:
         """merge() for the changes of some buckets, or of all where the table is empty."""

@@ -12,6 +12,7 @@ receipts (a scan of four columns for those vendors, only in such batches).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -117,16 +118,20 @@ def ingest(
         return None
     batch = store.begin()
     docs = batch.stage(latest(docs))
-    same, states, warned = Observation(), Observation(), Observation()
+    states, warned = Observation(), Observation()
     passed = [F.count_if(c).alias(n) for n, c in {"processed": idle(), "skipped": idle() & (F.col("used") == ""), "receipts": idle() & (F.col("used") != "") & F.col("has_receipt")}.items()]
-    found = batch.stage(looked_at(docs, batch.read_for("state", docs), settings=settings, force=force).observe(same, *passed).where(~idle()).drop("was"))
-    batch.drop(docs)
-    touched, parsed = outcomes(found, as_of_year=as_of_year, provider=provider, settings=settings)
+    # Both sides of the join hold all texts, so it is made a part of the buckets at a time.
+    found, same = [], []
+    for only, part in batch.parts("state", docs):
+        same.append(Observation())
+        found.append(batch.stage(looked_at(part, batch.read("state", only), settings=settings, force=force).observe(same[-1], *passed).where(~idle()).drop("was")))
+    found = found or [looked_at(docs, batch.read("state", []), settings=settings, force=force).drop("was")]
+    touched, parsed = outcomes(reduce(DataFrame.unionByName, found), as_of_year=as_of_year, provider=provider, settings=settings)
     receipt = ~F.col("last_status").isin("error", "skipped") & F.col("has_receipt")
     counts = {"processed": F.count("*"), "errors": F.count_if(F.col("last_status") == "error"), "skipped": F.count_if(F.col("last_status") == "skipped"), "receipts": F.count_if(receipt)}
     touched = batch.stage(touched.observe(states, *[c.alias(n) for n, c in counts.items()]))
     parsed = batch.stage(parsed.withColumnRenamed("doc_id", "document_id").observe(warned, F.count_if(F.size("warnings") > 0).alias("flagged")))
-    batch.drop(found)
+    batch.drop(docs, *found)
 
     before = batch.stage(batch.read_for("receipts", parsed).join(parsed.select("document_id"), "document_id", "left_semi"))
     merged = batch.stage(upsert_receipts(before, parsed, now, "document_id"))
@@ -142,7 +147,7 @@ def ingest(
     batch.drop(touched)
     batch.merge("flags", review.flag(after), _flagged(now))
     version = batch.publish(after, **({name: batch_id} if batch_id is not None else {}))
-    stats = {n: count + same.get.get(n, 0) for n, count in states.get.items()}
+    stats = {n: count + sum(x.get.get(n, 0) for x in same) for n, count in states.get.items()}
     return Done(version, stats | dict(warned.get), batch_write_back(after, categories))
 
 

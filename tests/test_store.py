@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import table_queries
 from ledgerloom.operators import ledger, rollups
-from ledgerloom.sources import readers
+from ledgerloom.sources import buckets, readers
 from ledgerloom.streaming import incremental
 from ledgerloom.streaming import store as S
 
@@ -113,7 +113,9 @@ def staged(store):
     return [f"{d}/{n}" for d in store.files.names("data") for n in store.files.names(f"data/{d}") if n.endswith("-staged")]
 
 
-def test_a_batch_leaves_only_what_it_has_changed(spark, tmp_path):
+@pytest.mark.parametrize("least", [64, 3])
+def test_a_batch_leaves_only_what_it_has_changed(spark, tmp_path, monkeypatch, least):
+    monkeypatch.setattr(buckets, "PART_BUCKETS", least)  # in one part, and in several
     store = S.open_store(spark, f"file://{tmp_path}/s", buckets=16, receipts=RECEIPTS, flags=FLAGS)
     names = spark.createDataFrame(CATEGORIES, "id int, name string")
     schema = "doc_id long, text string, tagged boolean"
@@ -135,3 +137,4 @@ def test_a_batch_leaves_only_what_it_has_changed(spark, tmp_path):
     S.patch(store, spark.createDataFrame([(3, 3, "New & Co")], "id long, document_id long, vendor string"), names, F.lit("2020-04-01"))
     assert len(staged(store)) == 2
     holds(spark, store)
+    assert S.ingest(store, spark.createDataFrame([], schema), names, as_of_year=2034, now=F.lit("2020-03-03")).stats == dict.fromkeys(("processed", "errors", "skipped", "receipts", "flagged"), 0)
